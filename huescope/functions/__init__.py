@@ -1 +1 @@
-
+"""Column expressions: colour, geometry and verdicts."""

@@ -1 +1 @@
-
+"""Relational and per-frame operators."""

@@ -1 +1 @@
-
+"""Registered queries with their adapters and SQL."""

@@ -1 +1 @@
-
+"""Frames, evidence documents and archives in; results out."""

@@ -1 +1 @@
-
+"""Following detections over time."""
