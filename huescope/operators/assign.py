@@ -31,21 +31,27 @@ def match_models(pixels: DataFrame, models: DataFrame) -> DataFrame:
 def exclusive_masks(pixels: DataFrame, models: DataFrame, keys: list[str] = ["image_id", "y", "x"]) -> DataFrame:
     """Each pixel's one model: the smallest hue distance, nobody on a tie.
 
-    Pixels are judged alone, so all models meet in one row by an array of
-    the (few) models instead of a window over pixel keys: no shuffle.
+    Pixels are judged alone, so the (few) models' distances become columns
+    of the pixel's own row instead of a window over pixel keys: no shuffle,
+    and all of it inside generated code.
     """
     m = models.select("bin_id", "hue_center", "hue_tol", "sat_min", "val_min").orderBy("bin_id").limit(1_001).collect()
     if len(m) > 1_000:
         raise ValueError("over a thousand models")
-    claims = []
-    for r in m:
-        got = color.bin_match(F.col("hue"), F.col("sat"), F.col("val"), *(F.lit(float(r[c])) for c in ("hue_center", "hue_tol", "sat_min", "val_min")))
-        claims.append(F.when(got["accepted"], F.struct(got["distance"].alias("d"), F.lit(r.bin_id).alias("bin_id"))))
-    if not claims:
+    if not m:
         return pixels.withColumn("bin_id", F.lit(None).cast("string")).where(F.lit(False))
-    tagged = pixels.withColumn("_c", F.array_sort(F.array_compact(F.array(*claims))))
-    alone = (F.size("_c") == 1) | (F.get("_c", F.lit(0))["d"] < F.get("_c", F.lit(1))["d"])
-    return tagged.where((F.size("_c") > 0) & alone).withColumn("bin_id", F.get("_c", F.lit(0))["bin_id"]).drop("_c")
+    claims = {}
+    for i, r in enumerate(m):
+        got = color.bin_match(F.col("hue"), F.col("sat"), F.col("val"), *(F.lit(float(r[c])) for c in ("hue_center", "hue_tol", "sat_min", "val_min")))
+        claims[f"_d{i}"] = F.when(got["accepted"], got["distance"])
+    best = F.least(*(F.col(c) for c in claims)) if len(m) > 1 else F.col("_d0")
+    won = [F.col(f"_d{i}") == F.col("_best") for i in range(len(m))]
+    alone = sum((F.coalesce(w.cast("int"), F.lit(0)) for w in won), F.lit(0)) == 1
+    name = F.coalesce(*(F.when(w, F.lit(r.bin_id)) for w, r in zip(won, m)))
+    tagged = pixels.withColumns(claims).withColumn("_best", best)
+    # exploding drops unassigned pixels; a filter would be pushed below the
+    # distances and copy their expressions into every mention
+    return tagged.select(*pixels.columns, F.explode(F.when(alone, F.array(name))).alias("bin_id"))
 
 
 def exclusive_keep_frac(pixels: DataFrame, models: DataFrame) -> DataFrame:
