@@ -20,37 +20,86 @@ UNITS = "%|€|£|cents?|cm|degrees?|dollars?|days?|euros?|feet|ft|g|grams?|h|ho
 WINDOW = 8
 
 
-def template_tokens(text: Column) -> Column:
-    """Tokens of the template: words in lower case; ``#d``, ``#u``, ``#n``
-    followed by the replaced value in lower case."""
-    t = F.regexp_replace(text, r"(?<=[\p{Ll},;:] )(\p{Lu}[\p{Ll}\p{M}]+)(?![\p{L}\p{N}])", "#n$1")
-    numbers = F.regexp_replace(t, r"(?<![\p{L}\p{N}#])([0-9]+(?:[.,][0-9]+)*)", " #d$1 ")
-    units = F.regexp_replace(numbers, rf"(?<=[0-9] {{1,2}})({UNITS})(?![\p{{L}}\p{{N}}])", "#u$1")
+#: Placeholders start with this character, then d, u or n, then the replaced value.
+MARK = "\x01"
+_WORDS = r"[\x20\t\n\x0b\f\r]+"
+_PUNCTUATION = r"[!-/:-@\[-`{-~\u00a1\u00ab\u00b7\u00bb\u00bf]+"
+_LEVELS = 3  # bits of the filter that a window must have set
+
+
+def template(text: Column) -> Column:
+    """The text with typed placeholders, in lower case, without punctuation;
+    each pattern starts with a plain character, so that most positions are
+    passed by at once."""
+    t = F.regexp_replace(text, r" (?<![.!?:] )([A-Z\u00c0-\u00de][\p{Ll}]+)(?!\p{L})", f" {MARK}n$1")
+    numbers = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{MARK}])[0-9]+(?:[.,][0-9]+)*", f" {MARK}d$0 ")
+    units = F.regexp_replace(numbers, rf"(?<=[0-9] {{1,2}})({UNITS})(?![\p{{L}}\p{{N}}])", f"{MARK}u$1")
     t = F.when(t.rlike("[0-9]"), units).otherwise(t)
-    return F.filter(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}#%€£.,]+|[.,]+(?![0-9])|(?<![0-9])[.,]+"), lambda x: x != "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), _PUNCTUATION, ""), _WORDS, " "))
 
 
-def _windows(df: DataFrame, sizes: list[int], whole: bool) -> DataFrame:
-    """One row a window: the frame's columns, hash ``w`` and ``slots`` (the
-    replaced values in order; null where the window has none)."""
+def _tokens(df: DataFrame) -> DataFrame:
+    """The frame without its text, with token hashes ``_h`` (placeholders by
+    type only) and the tokens themselves ``_t`` where there are placeholders."""
     keep = [c for c in df.columns if c != "text"]
-    slot = lambda x: x.rlike("^#[dun].")
-    toks = df.withColumn("_t", template_tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    hashed = toks.select(*keep, F.transform("_t", lambda x: F.xxhash64(F.when(x.startswith("#"), F.substring(x, 1, 2)).otherwise(x))).alias("_h"), F.when(F.exists("_t", lambda x: x.startswith("#")), F.transform("_t", lambda x: F.when(slot(x), x).otherwise(F.lit("")))).alias("_v"))
+    plain = df.select(*keep, template(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_s"))
+    marked = F.contains("_s", F.lit(MARK))
+    typed = F.when(marked, F.regexp_replace("_s", f"{MARK}([dun])[^ ]*", f"{MARK}$1")).otherwise(F.col("_s"))
+    tokens = F.when(F.col("_s") == "", F.array().cast("array<string>")).otherwise(F.split(typed, " "))
+    return plain.select(*keep, F.transform(tokens, lambda x: F.xxhash64(x)).alias("_h"), F.when(marked, F.split("_s", " ")).alias("_t"))
+
+
+def _hash(i: Column, size: int) -> Column:
+    return F.xxhash64(F.slice("_h", i + 1, size), F.lit(size))
+
+
+def _bits(hashes: list[int]) -> tuple[Column, int]:
+    """A bit filter of the benchmark's windows as one literal array of longs,
+    of at most 1 MB; more windows only make it less selective."""
+    bits = 1 << 12
+    while bits < 512 * len(hashes) and bits < 1 << 23:
+        bits <<= 1
+    words = [0] * (bits >> 6)
+    for h in hashes:
+        for k in range(_LEVELS):
+            at = ((h & (1 << 64) - 1) >> (21 * k)) & (bits - 1)
+            words[at >> 6] |= 1 << (at & 63)
+    signed = (w - (1 << 64) if w >> 63 else w for w in words)
+    return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>"), bits
+
+
+def _positions(size: int, whole: bool, filter_: tuple[Column, int] | None) -> Column:
+    """Starts of the windows of one size, those only that may be the benchmark's."""
     n = F.size("_h")
+    fits = (n == size) if whole and size < WINDOW else (n >= size)
+    starts = F.when(fits, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+    if filter_ is not None:
+        words, bits = filter_
+
+        def may(i: Column) -> Column:
+            out = None
+            for k in range(_LEVELS):
+                at = F.shiftrightunsigned(_hash(i, size), 21 * k).bitwiseAND(F.lit(bits - 1))
+                hit = F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+                out = hit if out is None else out & hit
+            return out
+
+        starts = F.filter(starts, may)
+    mark = lambda x: F.when(x.startswith(MARK), x).otherwise("")
+    slots = lambda i: F.when(F.col("_t").isNotNull(), F.array_join(F.transform(F.slice("_t", i + 1, size), mark), "|"))
+    return F.transform(starts, lambda i: F.struct(i.alias("i"), _hash(i, size).alias("w"), slots(i).alias("s")))
 
-    def at(size: int) -> Column:
-        last = n - F.lit(size)
-        every = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.slice("_h", i + 1, size), F.lit(size)).alias("w"), F.when(F.col("_v").isNotNull(), F.array_join(F.slice("_v", i + 1, size), "|")).alias("s"), i.alias("i")))
-        fits = (n == size) if whole and size < WINDOW else (n >= size)
-        return F.when(fits, every).otherwise(F.array().cast("array<struct<w:bigint,s:string,i:int>>"))
 
-    arrays = [at(s) for s in sizes]
-    rows = hashed.select(*keep, F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("_w"))
-    return rows.select(*keep, F.col("_w.w").alias("w"), F.when(F.length(F.translate("_w.s", "|", "")) > 0, F.col("_w.s")).alias("slots"), F.col("_w.i").alias("pos"))
+def _windows(tokens: DataFrame, sizes: list[int], whole: bool, filter_: tuple[Column, int] | None = None) -> DataFrame:
+    """One row a window: the frame's columns, hash ``w``, start ``pos`` and
+    ``slots`` (placeholders in their places; null where the window has none)."""
+    keep = [c for c in tokens.columns if c not in ("_h", "_t")]
+    arrays = [_positions(s, whole, filter_) for s in sizes]
+    rows = tokens.select(*keep, F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("_w"))
+    return rows.select(*keep, F.col("_w.w").alias("w"), F.col("_w.i").alias("pos"), F.when(F.contains("_w.s", F.lit(MARK)), F.col("_w.s")).alias("slots"))
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.5, shortest: int = 5, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.5, shortest: int = 5, broadcast_rows: int = 400_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item found in it: doc_id,
     item_id, windows (different ones matched), item_windows, position (of
     the first, in template tokens), reparameterised (a slot differs).
@@ -62,29 +111,29 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float
     ``broadcast_rows`` benchmark windows are broadcast; more are joined by a
     shuffle, whose hot windows adaptive execution splits.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    lengths = items.select(F.size(template_tokens(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("n")).where(F.col("n") >= shortest)
-    short = sorted(r.n for r in lengths.where(F.col("n") < WINDOW).distinct().collect())  # at most WINDOW values
+    items = _tokens(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")))
+    short = sorted(r.n for r in items.select(F.size("_h").alias("n")).where((F.col("n") >= shortest) & (F.col("n") < WINDOW)).distinct().collect())  # at most WINDOW values
     sizes = [*short, WINDOW]
     bench = _windows(items, sizes, whole=True).groupBy("item_id", "w").agg(F.min(F.struct("pos", "slots")).alias("first"))
     bench = bench.select("item_id", "w", F.col("first.slots").alias("item_slots"))
     totals = bench.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    small = bench.count() <= broadcast_rows
+    known = bench.select("w").distinct().limit(broadcast_rows + 1).collect()
+    small = len(known) <= broadcast_rows
     side = F.broadcast(bench) if small else bench
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text"))
-    hits = _windows(rows, sizes, whole=False).join(side, "w")
+    rows = _tokens(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text")))
+    hits = _windows(rows, sizes, whole=False, filter_=_bits([r.w for r in known]) if small else None).join(side, "w")
     first = hits.groupBy("doc_id", "_row", "item_id", "w").agg(F.min("pos").alias("pos"), F.min("item_slots").alias("item_slots"), F.collect_set("slots").alias("seen"))
     # every way in which the document fills the window's slots; the one that agrees with the item wins
     filled = F.when(F.array_contains("seen", F.col("item_slots")), F.col("item_slots")).otherwise(F.array_min("seen"))
     pairs = F.when(F.col("item_slots").isNull(), F.array().cast("array<string>")).otherwise(
-        F.filter(F.zip_with(F.split("item_slots", r"\|"), F.split(filled, r"\|"), lambda a, b: F.when(a != "", F.concat_ws("\x01", a, b))), lambda x: x.isNotNull()))
+        F.filter(F.zip_with(F.split("item_slots", r"\|"), F.split(filled, r"\|"), lambda a, b: F.when(a != "", F.concat_ws("\x02", a, b))), lambda x: x.isNotNull()))
     by = first.withColumn("pairs", pairs).groupBy("doc_id", "_row", "item_id").agg(
         F.count("*").alias("windows"), F.sum(F.when(F.col("item_slots").isNull(), 1).otherwise(0)).alias("plain"), F.min("pos").alias("position"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    left = F.transform("pairs", lambda p: F.substring_index(p, "\x01", 1))
+    left = F.transform("pairs", lambda p: F.substring_index(p, "\x02", 1))
     consistent = F.size(F.array_distinct(left)) == F.size("pairs")
     joined = by.join(F.broadcast(totals) if small else totals, "item_id")
     enough = F.when(consistent, F.col("windows")).otherwise(F.col("plain")) >= F.col("item_windows") * F.lit(coverage)
-    changed = F.exists("pairs", lambda p: F.substring_index(p, "\x01", 1) != F.substring_index(p, "\x01", -1))
+    changed = F.exists("pairs", lambda p: F.substring_index(p, "\x02", 1) != F.substring_index(p, "\x02", -1))
     return joined.where(enough).select("doc_id", "item_id", "windows", "item_windows", F.col("position").cast("long").alias("position"), changed.alias("reparameterised")).distinct()
 
 

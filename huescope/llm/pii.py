@@ -180,7 +180,7 @@ def learn(docs: DataFrame, *, sample: int = 4_000, precision: float = 0.99, id_c
 
     got = some.where(hash_share(F.col("i"), sample / max(n, 1))).mapInArrow(run, "y int, x array<double>").limit(50 * sample).collect()
     got.sort(key=lambda r: (r.x, r.y))
-    return PiiModel(np.array([r.x for r in got]).reshape(len(got), -1), np.array([r.y for r in got], float), precision)
+    return PiiModel(np.array([r.x for r in got]).reshape(len(got), len(got[0].x) if got else 0), np.array([r.y for r in got], float), precision)
 
 
 def _written(spans: list[Span]) -> str:
