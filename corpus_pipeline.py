@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huescope.llm import decontaminate, packing, pii, quality, simhash
+from huescope.llm import decontaminate, neardup, packing, pii, quality
 from huescope.llm.common import table, written
 from huescope.llm.queries import vocabulary_path
 
@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id, one
     row of it if it is repeated."""
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

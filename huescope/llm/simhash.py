@@ -22,18 +22,23 @@ BUCKET = 1_024  # members of a bucket compared in one task; larger ones are deal
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.int32())])
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash over word shingles of the text with A-Z lower-cased."""
+def shingle_hashes(text: bytes, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of the text with A-Z lower-cased, repeats
+    included; of the whole sequence if it is shorter; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, hash_ = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hash_(joined, seed)
+        return np.array([hash_(joined, seed)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     first = np.concatenate(([0], ends[:-shingle])).tolist()
     last = (ends[shingle - 1 :] - 1).tolist()
-    hashes = np.array([hash_(joined[a:b], seed) for a, b in zip(first, last)], "<u8")
+    return np.array([hash_(joined[a:b], seed) for a, b in zip(first, last)], "<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Each bit that is set in over half of the hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):
         part = hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8)
@@ -41,6 +46,11 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash over the text's word shingles."""
+    return simhash(shingle_hashes(text, shingle, seed))
+
+
 def masks(radius: int, level: int = 0) -> list[int]:
     """The covering family's masks; each level deals the bits differently."""
     count = (1 << (radius + 1)) - 1
@@ -49,18 +59,14 @@ def masks(radius: int, level: int = 0) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long, and one more long
-    column if ``extra`` names it; null text is empty."""
-    more = [extra] if extra else []
-
+def fingerprints(docs: DataFrame, *, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long; null text is empty."""
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(x, shingle) for x in utf8(b.column("t"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), *(b.column(c) for c in more)], names=["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), *more)
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -82,9 +88,9 @@ def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _linker(radius: int):
+def _linker(radius: int, bucket: int):
     """Over rows sorted by (t, key): links inside each bucket of at most
-    BUCKET members; members of larger ones come out as hot rows (fp, t)."""
+    ``bucket`` members; members of larger ones come out as hot rows (fp, t)."""
     def run(batches):
         tail = [np.zeros(0, np.int64)] * 3
         over = None  # the bucket that is already known to be too large
@@ -101,12 +107,12 @@ def _linker(radius: int):
             tail = [x[len(t) :] for x in (t, key, fp)]
             if len(cut) and not final and hot_runs != [len(cut) - 1]:
                 last = cut[-1]
-                if size[-1] > BUCKET:  # its further rows are streamed on as hot ones
+                if size[-1] > bucket:  # its further rows are streamed on as hot ones
                     over = (t[last], key[last])
                 else:
                     tail = [x[last:] for x in (t, key, fp)]
                     cut, ends, size = cut[:-1], ends[:-1], size[:-1]
-            hot_runs += [i for i in np.flatnonzero(size > BUCKET) if i not in hot_runs]
+            hot_runs += [i for i in np.flatnonzero(size > bucket) if i not in hot_runs]
             cool = np.ones(len(cut), bool)
             cool[hot_runs] = False
             two = cut[cool & (size == 2)]
@@ -128,7 +134,7 @@ def _linker(radius: int):
     return run
 
 
-def links_within(fps: DataFrame, radius: int = 4, levels: int = 6) -> DataFrame:
+def links_within(fps: DataFrame, radius: int = 4, levels: int = 6, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect whatever lies within ``radius`` bits.
 
     ``fps`` has distinct fingerprints fp.  Inside a bucket only a spanning
@@ -143,7 +149,7 @@ def links_within(fps: DataFrame, radius: int = 4, levels: int = 6) -> DataFrame:
         tables = F.explode(F.array(*(F.struct(F.lit(v + 1).cast("long").alias("v"), F.lit(m).cast("long").alias("m")) for v, m in enumerate(family))))
         dealt = members.select("fp", "t", "mask", tables.alias("x")).select("fp", (F.col("t") * 64 + F.col("x.v")).alias("t"), F.col("mask").bitwiseOR(F.col("x.m")).alias("mask"))
         dealt = dealt.select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        found = written(dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_linker(radius), "a long, b long, hot int"), f"links{level}")
+        found = written(dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_linker(radius, bucket), "a long, b long, hot int"), f"links{level}")
         out.append(found.where("hot = 0").select("a", "b"))
         hot = found.where("hot = 1")
         if hot.isEmpty():
@@ -156,26 +162,13 @@ def links_within(fps: DataFrame, radius: int = 4, levels: int = 6) -> DataFrame:
             path = F.floor(path / 64).cast("long") if k else path
         members = hot.select(F.col("a").alias("fp"), F.col("b").alias("t"), mask.alias("mask"))
     else:
-        raise RuntimeError(f"buckets of over {BUCKET} fingerprints are left after {levels} levels")
+        raise RuntimeError(f"buckets of over {bucket} fingerprints are left after {levels} levels")
     links = out[0]
     for x in out[1:]:
         links = links.union(x)
     return links
 
 
-def _with_component(marked: DataFrame, radius: int) -> DataFrame:
-    """``marked`` (doc_id, fp, ...) and component_id."""
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links_within(classes, radius))
-    if roots is None:
-        of = classes.select("fp", F.col("first").alias("component_id"))
-    else:
-        joined = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-        of = joined.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp")
-
-
 def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row.
 
@@ -186,26 +179,12 @@ def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4, id_co
     id are linked too and have a null component_id if no member has an id.
     """
     marked = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "fingerprints")
-    return _with_component(marked, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, *, radius: int = 4, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, columns unchanged.
-
-    Kept is the row with the group's smallest id (nulls last); of several
-    such rows the one whose text hashes lowest, of equal rows one.
-    """
-    text_hash = F.xxhash64(F.col(text_col).cast("string"))
-    base = docs.withColumn("_hash", text_hash)
-    marked = written(fingerprints(base, shingle=shingle, id_col=id_col, text_col=text_col, extra="_hash"), "fingerprints")
-    grouped = _with_component(marked, radius)
-    group = F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")
-    best = grouped.groupBy("component_id", group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")).alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best._hash").alias("_kept"))
-    often = marked.groupBy("doc_id", "_hash").count().where("count > 1")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept"))
-    left = base.join(kept, same, "left_semi")
-    if often.isEmpty():
-        return left.drop("_hash")
-    again = often.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_kept"))
-    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates([id_col, "_hash"])).drop("_hash")
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(links_within(classes, radius))
+    if roots is None:
+        of = classes.select("fp", F.col("first").alias("component_id"))
+    else:
+        joined = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+        of = joined.join(least, "root").select("fp", "component_id")
+    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from huescope.llm import lmscore, simhash
+from huescope.llm import lmscore, neardup, simhash
 from huescope.llm.common import in_fold, outside_fold
 from huescope.llm.components import components
 from huescope.llm.ppm import END, ByteTrie
@@ -118,12 +118,44 @@ def test_trie_order_follows_its_size(spark):
     assert len(lmscore.learn_trie(words, 4, 1).levels) == 1
 
 
-def test_keep_one_leaves_one_row_of_each_group(spark):
-    base = " ".join(f"w{i}" for i in range(300))
-    texts = [base, base, base.replace("w7 ", "x "), " ".join(f"v{i}" for i in range(300)), None, "", "solo words here"]
+def shingle_set(text, k=5):
+    return set(simhash.shingle_hashes((text or "").encode(), k).tolist())
+
+
+def brute_kept(texts, similarity=0.8):
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= similarity * (len(sets[i]) + len(sets[j]) - common):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_keep_one_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", "solo words here", "solo words here"]
+    for _ in range(25):
+        base = rng.choice(words, int(rng.integers(5, 400))).tolist()
+        texts.append(" ".join(base))
+        for _ in range(int(rng.integers(0, 6))):
+            copy = [w if rng.random() > rng.choice([0.005, 0.02, 0.05]) else "x" for w in base]
+            texts.append(" ".join(copy).upper())
     docs = documents(spark, texts)
-    got = simhash.keep_one(docs)
-    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 3, 4, 6]
+    got = neardup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == brute_kept(texts)
+    assert sorted(r.doc_id for r in neardup.keep_one(docs, bucket=4, broadcast_rows=0).collect()) == brute_kept(texts)
+    assert as_rows(neardup.keep_one(documents(spark, []))) == []
 
 
 def test_pipeline_stages(spark, sf):
