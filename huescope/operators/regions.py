@@ -59,9 +59,11 @@ def contains(outer_bbox: Column, outer_rings: Column, inner_bbox: Column, inner_
     """
     inner = F.coalesce(inner_rings, geometry.rect_as_rings(inner_bbox))
     grid = geometry.region_grid(outer_bbox, working_width)
-    xs, ys = F.sequence(F.lit(0), grid["w"] - 1), F.sequence(F.lit(0), grid["h"] - 1)
     at_x = lambda i: outer_bbox["x"] + (i + 0.5) / grid["w"] * outer_bbox["w"]
     at_y = lambda j: outer_bbox["y"] + (j + 0.5) / grid["h"] * outer_bbox["h"]
+    # only cells under the inner box can lie in the inner region
+    xs = F.filter(F.sequence(F.lit(0), grid["w"] - 1), lambda i: (at_x(i) >= inner_bbox["x"]) & (at_x(i) <= inner_bbox["x"] + inner_bbox["w"]))
+    ys = F.filter(F.sequence(F.lit(0), grid["h"] - 1), lambda j: (at_y(j) >= inner_bbox["y"]) & (at_y(j) <= inner_bbox["y"] + inner_bbox["h"]))
 
     def row(j: Column) -> Column:
         states = F.transform(xs, lambda i: F.when(geometry.point_in_region(inner, at_x(i), at_y(j)), F.when(geometry.point_in_region(outer_rings, at_x(i), at_y(j)), 1).otherwise(2)).otherwise(0))
