@@ -228,9 +228,8 @@ v AS (SELECT image_id, bool_and(inside) AS all_in FROM o GROUP BY 1)
 SELECT image_id, ox <= 0.45 + 1e-9 AND oy <= 0.45 + 1e-9 AND ox + ow >= 0.55 - 1e-9 AND oy + oh >= 0.55 - 1e-9 AND coalesce(all_in, FALSE) AS contains FROM bb LEFT JOIN v USING (image_id)""")
 def region_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Does each polygon hold the square in the middle?"""
-    d = _rings(spark, sf_dir)
-    box = geometry.rings_bbox(F.col("rings"))
-    got = regions.contains(box, F.col("rings"), geometry.rect(0.45, 0.45, 0.1, 0.1), F.lit(None).cast(d.schema["rings"].dataType), F.lit(20))
+    d = _rings(spark, sf_dir).withColumn("box", geometry.rings_bbox(F.col("rings")))
+    got = regions.contains(F.col("box"), F.col("rings"), geometry.rect(0.45, 0.45, 0.1, 0.1), F.lit(None).cast(d.schema["rings"].dataType), F.lit(20))
     return d.select("image_id", F.coalesce(got, F.lit(False)).alias("contains"))
 
 
