@@ -57,6 +57,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Let Arrow batches of texts hold a few MB instead of Spark's 64: texts
+    are copied a few times on their way through Python and back.  A session
+    that has chosen its own size keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, most)
+
+
 def hash_share(column: Column, share: float) -> Column:
     """A repeatable pseudo-random choice of about ``share`` of the values."""
     if share >= 1:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, strings
+from .common import bounded_batches, hash_share, strings
 from .ppm import ByteTrie
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())])
@@ -48,6 +48,7 @@ def predict(docs: DataFrame, tries: dict[str, ByteTrie], held_out: Column, *, id
     text, one without a letter, or no learned language: ``und``, score 0.
     Each row is judged alone, so repeated rows get equal answers.
     """
+    bounded_batches(docs.sparkSession)
     names = sorted(tries)
     model = docs.sparkSession.sparkContext.broadcast([tries[n] for n in names])
 

@@ -21,19 +21,29 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import bounded_batches, utf8, written
 from .ppm import END, ByteTrie, count_grams
 
 LOG2_10 = math.log2(10)
+COUNTED = 400_000  # different words that a task holds before it passes them on
 _WORD = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 _PART = pa.schema([("uid", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64())])
 _PART_SQL = "uid long, word binary, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, bits double"
 
 
 def _count(batches):
-    """Words of a batch with their counts in training texts; 0: only elsewhere."""
+    """Words with their counts in training texts, 0 if they stand only
+    elsewhere; sums over batches until they grow large."""
+    train, other = Counter(), set()
+
+    def counted():
+        for w in other - train.keys():
+            train[w] = 0
+        out = pa.RecordBatch.from_arrays([pa.array(list(train), pa.binary()), pa.array(list(train.values()), pa.int64())], schema=_WORD)
+        train.clear(), other.clear()
+        return out
+
     for b in batches:
-        train, other = Counter(), set()
         for text, use in zip(utf8(b.column("t")), b.column("use").to_pylist()):
             words = text.lower().split()
             if use:
@@ -42,9 +52,9 @@ def _count(batches):
             else:
                 other.update(words)
         other.add(END)
-        for w in other - train.keys():
-            train[w] = 0
-        yield pa.RecordBatch.from_arrays([pa.array(list(train), pa.binary()), pa.array(list(train.values()), pa.int64())], schema=_WORD)
+        if len(train) + len(other) > COUNTED:
+            yield counted()
+    yield counted()
 
 
 def _word_grams(order: int):
@@ -87,6 +97,7 @@ def score(docs: DataFrame, train: Column, held_out: Column, *, order: int = 5, m
     nothing is known, and every byte is equally likely.  Repeated rows are
     counted, and scored, as often as they stand.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("h"), F.coalesce(train, F.lit(False)).alias("use"), F.col(text_col).cast("string").alias("t"))
     counted = written(rows.select("t", "use").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counted")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import bounded_batches, utf8, written
 from .components import components
 from .simhash import links_within, shingle_hashes, simhash
 
@@ -158,6 +158,7 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
     are one group.  The texts are read again to check the candidates, whose
     ids are broadcast up to ``broadcast_rows`` and joined by shuffle beyond.
     """
+    bounded_batches(docs.sparkSession)
     marked = written(sketches(docs, shingle, id_col, text_col), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "hash"))
     classes = written(marked.groupBy("cls").agg(first.alias("best"), F.min("fp").alias("fp"), F.min(F.struct("keys", "sketch")).alias("s"), F.count("*").alias("n")), "classes")

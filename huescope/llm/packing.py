@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Cache, Vocabulary, chunks, segments
-from .common import held, written
+from .common import bounded_batches, held, written
 
 #: Fixed value: the split pattern as the merge library compiles it.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,6 +93,7 @@ def pack(docs: DataFrame, vocabulary_path: str, *, capacity: int = 1_024, end_id
     lies in exactly one piece; a full sequence is short of the capacity by
     less than its piece count (or, for pieces under 32, by less than one piece).
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     vocabulary, lengths = spark.sparkContext.broadcast(Vocabulary(vocabulary_path)), class_lengths(capacity)
     end = np.array([end_id], "<u4").tobytes()

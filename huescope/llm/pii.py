@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boost import BoostedTrees
-from .common import hash_share, strings
+from .common import bounded_batches, hash_share, strings
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns' parts.
@@ -163,6 +163,7 @@ def find(text: str, model: PiiModel | None) -> tuple[list[Span], list[Span]]:
 def learn(docs: DataFrame, *, sample: int = 4_000, precision: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> PiiModel:
     """Learn from the proposals in about ``sample`` documents that hold a
     digit or an at sign, chosen by a hash of the id (null ids take no part)."""
+    bounded_batches(docs.sparkSession)
     some = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("i").isNotNull() & F.col("t").rlike("[0-9@]"))
     n = some.count()
 
@@ -194,6 +195,7 @@ def scan(docs: DataFrame, model: PiiModel | None, *, id_col: str = "doc_id", tex
     Positions are code points, ends exclusive.  A null text counts as empty.
     Each row is judged alone.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
@@ -229,6 +231,7 @@ def redacted(text: str, model: PiiModel | None) -> str:
 def redact(docs: DataFrame, model: PiiModel | None, *, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with all its columns and rows, its texts redacted and, where
     there is one, the character count brought up to date; nulls stay null."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

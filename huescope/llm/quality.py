@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, utf8
+from .common import bounded_batches, hash_share, utf8
 
 _BYTES = np.arange(256)
 #: The byte classes whose shares are features.
@@ -90,6 +90,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, *, sample: int = 1
     """A model from at most about ``sample`` labelled documents, chosen by a
     hash of the id.  Labels other than 0 and 1 are left out, repeated labels
     count once, contradictory ones both.  None without labelled documents."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).distinct()
     n = known.count()
     chosen = known.where(hash_share(F.col("i"), sample / max(n, 1)))
@@ -114,6 +115,7 @@ def score(docs: DataFrame, model: RankingModel | None, held_out: Column, *, id_c
     A null text counts as empty.  Without a model every score is 0.5.
     Each row is judged alone: repeated rows get equal scores.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -129,6 +131,7 @@ def score(docs: DataFrame, model: RankingModel | None, held_out: Column, *, id_c
 
 def keep_good(docs: DataFrame, model: RankingModel | None, *, text_col: str = "text") -> DataFrame:
     """The rows that the model does not reject, with all their columns."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import bounded_batches, utf8, written
 from .components import components
 
 BUCKET = 1_024  # members of a bucket compared in one task; larger ones are dealt finer
@@ -61,6 +61,7 @@ def masks(radius: int, level: int = 0) -> list[int]:
 
 def fingerprints(docs: DataFrame, *, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long; null text is empty."""
+    bounded_batches(docs.sparkSession)
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(x, shingle) for x in utf8(b.column("t"))], np.uint64).view(np.int64)

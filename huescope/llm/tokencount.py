@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPLIT, Cache, Vocabulary, chunks, merged_count, segments
-from .common import held
+from .common import bounded_batches, held
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
@@ -48,6 +48,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, *, limit: int = 512, id_
     The vocabulary file is read on the driver and broadcast; it is a few MB,
     whatever the table's size.
     """
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
 
     def run(batches):
