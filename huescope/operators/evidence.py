@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -166,7 +166,8 @@ def ensure_images(images: DataFrame, paths: DataFrame, capture_epochs: DataFrame
     changed keeps the view of its capture."""
     new = unmaterialised(paths.select("path").distinct(), images).join(capture_epochs, "path", "left")
     last = images.agg(F.max("ord")).first()[0]
-    numbered = new.withColumn("ord", F.lit(-1 if last is None else int(last)) + F.row_number().over(Window.orderBy("path")))
+    # ordered by a distributed sort; the numbers rise but may have gaps
+    numbered = new.orderBy("path").withColumn("ord", F.lit(0 if last is None else int(last) + 1) + F.monotonically_increasing_id())
     return images.unionByName(numbered.select("path", "ord", F.coalesce("capture_epoch", F.lit(view_epoch)).alias("view_epoch"), F.lit(False).alias("excluded"), F.lit(False).alias("auto")), allowMissingColumns=True)
 
 
@@ -249,3 +250,20 @@ def profile_stale(profile: DataFrame, config: DataFrame, models: DataFrame, bins
     c = config.limit(1).join(F.broadcast(p))
     same = geometry.equal(F.col("roi"), F.col("p_roi")) & geometry.rings_equal(F.col("rings"), F.col("p_rings")) & F.col("working_width").eqNullSafe(F.col("p_width"))
     return not c.where(~same).isEmpty() or not stale_models(models, bins).isEmpty()
+
+
+def same_source(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates (camera, roi) that an entry of the same camera and an equal
+    region duplicates; cameras meet by equality, regions within it."""
+    held = entries.select("camera", F.col("roi").alias("held_roi"))
+    return candidates.join(held, (candidates["camera"] == held["camera"]) & geometry.equal(F.col("roi"), F.col("held_roi")), "left_semi")
+
+
+def mixed_aspects(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups whose frames (width, height) do not all share one aspect ratio."""
+    return sizes.groupBy(*keys).agg(F.count_distinct(geometry.reduced_aspect(F.col("width"), F.col("height"))).alias("aspects")).where("aspects > 1")
+
+
+def active_results(results: DataFrame, bins: DataFrame) -> DataFrame:
+    """Results of bins that have not retired."""
+    return results.join(active_bins(bins).select("bin_id"), "bin_id", "left_semi")

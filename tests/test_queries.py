@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from compare import TABLES, normal
-from huescope.plans import queries
+from huescope.plans import more_queries, queries  # noqa: F401
 
 from .conftest import SF
 
