@@ -45,7 +45,7 @@ def grid8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 grids: an embedding's components in reading order, those above
     zero are the mask; its label names the bin."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.concat(F.lit("bin"), F.col("label").cast("string")).alias("bin_id"), F.posexplode("embedding").alias("i", "e"))
-    return e.where("i < 64").select("image_id", "bin_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), (F.col("e") > 0).alias("m"), F.col("e").cast("double").alias("e"))
+    return e.select("image_id", "bin_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), (F.col("e") > 0).alias("m"), F.col("e").cast("double").alias("e"))
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ mm AS (SELECT *, greatest(r, g, b) AS mx, greatest(r, g, b) - least(r, g, b) AS
 sx AS (SELECT *, CASE WHEN c <= 1e-12 THEN NULL WHEN mx = r THEN (CASE WHEN g < b THEN (g - b) / c + 6.0::DOUBLE ELSE (g - b) / c END) WHEN mx = g THEN (b - r) / c + 2.0::DOUBLE ELSE (r - g) / c + 4.0::DOUBLE END AS s6 FROM mm),
 hsv AS (SELECT image_id, y, x, r8, g8, b8, CASE WHEN s6 * 60 >= 360 THEN s6 * 60 - 360 ELSE s6 * 60 END AS hue, CASE WHEN mx > 1e-12 THEN c / mx ELSE 0.0::DOUBLE END AS sat, mx AS val FROM sx)""",
     "grid8": """g0 AS (SELECT vec_id AS image_id, 'bin' || CAST(label AS VARCHAR) AS bin_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS e FROM embeddings),
-grid8 AS (SELECT image_id, bin_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, e > 0 AS m, CAST(e AS DOUBLE) AS e FROM g0 WHERE i < 64)""",
+grid8 AS (SELECT image_id, bin_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, e > 0 AS m, CAST(e AS DOUBLE) AS e FROM g0)""",
     "scan": """scan AS (
   SELECT user_id AS camera, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, ts, event_type,
     value / 400.0::DOUBLE AS area_frac, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0::DOUBLE AS median_sat,

@@ -33,13 +33,14 @@ def set_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.set_labels(t["labels"], given, t["bins"])
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS path, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 7 END AS view_epoch FROM customer WHERE c_custkey >= 50 AND c_custkey < 150")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS path, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 0 WHEN c_custkey % 2 = 0 THEN 1 ELSE 7 END AS view_epoch FROM customer")
 def ensure_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries for files that have none, at the view of their capture."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_custkey").cast("int").alias("ord")).where("ord < 150")
-    held = c.where("ord < 50").select("path", "ord", F.lit(0).alias("view_epoch"), F.lit(False).alias("excluded"), F.lit(False).alias("auto"))
+    """Entries for customers without orders, at the view of their capture."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_custkey").alias("ord"))
+    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ord")).distinct()
+    held = c.join(ordered, "ord", "left_semi").select("path", "ord", F.lit(0).alias("view_epoch"), F.lit(False).alias("excluded"), F.lit(False).alias("auto"))
     epochs = c.where("ord % 2 = 0").select("path", F.lit(1).alias("capture_epoch"))
-    return evidence.ensure_images(held, c, epochs, 7).where("ord >= 50 or view_epoch > 0").select("path", "view_epoch")
+    return evidence.ensure_images(held, c, epochs, 7).select("path", "view_epoch")
 
 
 @query("SELECT coalesce(n.n_name, o.name) AS name, coalesce(n.n_nationkey, o.k) AS k, n.n_nationkey IS NOT NULL AS active FROM (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) n FULL JOIN (SELECT n_nationkey + 2 AS k, 'old' || n_nationkey AS name FROM nation) o ON o.k = n.n_nationkey")
@@ -77,18 +78,18 @@ def misclassified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.misclassified(seen, e).select("image_id", "label")
 
 
-@query("WITH e AS (SELECT c_nationkey % 10 AS camera, round((c_custkey % 4) / 8.0::DOUBLE, 3) AS x FROM customer WHERE c_custkey < 20) SELECT s_suppkey AS k FROM supplier WHERE EXISTS (SELECT 1 FROM e WHERE e.camera = s_nationkey % 10 AND abs(e.x - (s_suppkey % 8) / 8.0::DOUBLE) <= 1e-9)")
+@query("WITH e AS (SELECT c_nationkey AS camera, round((c_custkey % 4) / 8.0::DOUBLE, 3) AS x FROM customer) SELECT s_suppkey AS k FROM supplier WHERE EXISTS (SELECT 1 FROM e WHERE e.camera = s_nationkey AND abs(e.x - (s_suppkey % 8) / 8.0::DOUBLE) <= 1e-9)")
 def duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cameras already set up with the same region."""
     roi = lambda x: geometry.rect(x, F.lit(0.0), F.lit(0.2), F.lit(1.0))
-    held = table(spark, sf_dir, "customer").where("c_custkey < 20").select((F.col("c_nationkey") % 10).alias("camera"), roi(F.col("c_custkey") % 4 / 8.0).alias("roi"))
-    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") % 10).alias("camera"), roi(F.col("s_suppkey") % 8 / 8.0).alias("roi"))
+    held = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("camera"), (F.col("c_custkey") % 4).alias("x")).distinct().select("camera", roi(F.col("x") / 8.0).alias("roi"))
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("camera"), roi(F.col("s_suppkey") % 8 / 8.0).alias("roi"))
     return evidence.same_source(held, asked).select("k")
 
 
-@query("SELECT p_brand, count(DISTINCT CAST((p_size * 2) / gcd(p_size * 2, p_size % 3 + 1) AS BIGINT) || ':' || CAST((p_size % 3 + 1) / gcd(p_size * 2, p_size % 3 + 1) AS BIGINT)) AS aspects FROM part WHERE p_size BETWEEN 1 AND 4 GROUP BY 1 HAVING aspects > 1")
+@query("SELECT p_brand, count(DISTINCT CAST((p_size * 2) / gcd(p_size * 2, p_size % 3 + 1) AS BIGINT) || ':' || CAST((p_size % 3 + 1) / gcd(p_size * 2, p_size % 3 + 1) AS BIGINT)) AS aspects FROM part WHERE p_size >= 1 GROUP BY 1 HAVING aspects > 1")
 def mixed_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "part").where("p_size between 1 and 4").select("p_brand", (F.col("p_size") * 2).alias("width"), (F.col("p_size") % 3 + 1).alias("height"))
+    sizes = table(spark, sf_dir, "part").where("p_size >= 1").select("p_brand", (F.col("p_size") * 2).alias("width"), (F.col("p_size") % 3 + 1).alias("height"))
     return evidence.mixed_aspects(sizes, ["p_brand"])
 
 

@@ -66,9 +66,9 @@ def rgb_to_hsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hsv(spark, sf_dir).select("image_id", "y", "x", *(r(c).alias(c) for c in ("hue", "sat", "val")))
 
 
-@query(cte("hsv", "bins") + " SELECT image_id, y, x, bin_id, round(abs((hue - hue_center + 540) % 360 - 180), 6) AS distance FROM hsv CROSS JOIN bins WHERE image_id % 10 = 0")
+@query(cte("hsv", "bins") + " SELECT image_id, y, x, bin_id, round(abs((hue - hue_center + 540) % 360 - 180), 6) AS distance FROM hsv CROSS JOIN bins")
 def circular_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = hsv(spark, sf_dir).where("image_id % 10 = 0")  # the report is on every tenth camera
+    p = hsv(spark, sf_dir)
     d = color.circular_distance(F.col("hue"), F.col("hue_center"))
     return p.join(assign.models_side(bins(spark))).select("image_id", "y", "x", "bin_id", r(d).alias("distance"))
 
@@ -667,7 +667,7 @@ def stream_stability_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def learn_color_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour models from the pixels that the models' bands hold."""
-    p = assign.exclusive_masks(hsv(spark, sf_dir), bins(spark)).select("bin_id", "image_id", "hue", "sat", "val").where("image_id < 40")
+    p = assign.exclusive_masks(hsv(spark, sf_dir), bins(spark)).select("bin_id", "image_id", "hue", "sat", "val")
     return learning.learn_color_models(p)
 
 
