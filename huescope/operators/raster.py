@@ -67,13 +67,15 @@ def components(labels: np.ndarray) -> pd.DataFrame:
     """Area, half-open box, centroid and first pixel of every component,
     largest first; equal areas by first pixel in reading order."""
     y, x = np.nonzero(labels)
-    if not len(y):
-        return pd.DataFrame(columns=["component", "area", "x0", "y0", "x1", "y1", "cx", "cy", "seed_y", "seed_x"])
     which = labels[y, x]
-    got = pd.DataFrame({"component": which, "y": y, "x": x}).groupby("component", sort=True)
-    out = got.agg(area=("y", "size"), x0=("x", "min"), y0=("y", "min"), x1=("x", "max"), y1=("y", "max"), cx=("x", "mean"), cy=("y", "mean"), seed_y=("y", "first"), seed_x=("x", "first")).reset_index()
-    out[["x1", "y1"]] += 1
-    return out.sort_values(["area", "seed_y", "seed_x"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    order = np.argsort(which, kind="stable")  # reading order within a component
+    y, x, which = y[order], x[order], which[order]
+    start = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, int)
+    area = np.diff(np.append(start, len(which)))
+    over = lambda f, v: f.reduceat(v, start) if len(start) else np.zeros(0, int)
+    found = {"component": which[start], "area": area, "x0": over(np.minimum, x), "y0": over(np.minimum, y), "x1": over(np.maximum, x) + 1, "y1": over(np.maximum, y) + 1, "cx": over(np.add, x) / np.maximum(area, 1), "cy": over(np.add, y) / np.maximum(area, 1), "seed_y": y[start], "seed_x": x[start]}
+    rank = np.lexsort((found["seed_x"], found["seed_y"], -area))
+    return pd.DataFrame({k: v[rank] for k, v in found.items()})
 
 
 def interior_depth(region: np.ndarray) -> np.ndarray:
@@ -245,6 +247,29 @@ def _grid(part: pd.DataFrame, flag: str | None = None) -> tuple[np.ndarray, int,
     return mask, y0, x0
 
 
+def by_frame(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """``run`` on each group's rows as one pandas frame.
+
+    Groups arrive sorted and in batches, so thousands of small frames cost
+    no round trip each, and a task holds a batch and one group at most.
+    """
+    def parts(batches):
+        rest = None
+        for rows in batches:
+            rows = rows if rest is None else pd.concat((rest, rows), ignore_index=True)
+            keyed = rows[keys]
+            cut = np.flatnonzero((keyed != keyed.shift()).any(axis=1).to_numpy())
+            rest = rows.iloc[cut[-1] :] if len(cut) else rows
+            out = [run(rows.iloc[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+            out = [x for x in out if len(x)]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if rest is not None and len(rest):
+            yield run(rest)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(parts, schema)
+
+
 def component_regions(pixels: DataFrame) -> DataFrame:
     """Components of each (image_id, bin_id) among the mask's pixels
     (image_id, bin_id, y, x), numbered by area, largest first."""
@@ -256,7 +281,7 @@ def component_regions(pixels: DataFrame) -> DataFrame:
         out["component"] = range(1, len(out) + 1)
         return out.assign(image_id=part.image_id.iloc[0], bin_id=part.bin_id.iloc[0])[[c.split()[0] for c in COMPONENT.split(", ")]]
 
-    return pixels.select("image_id", "bin_id", "y", "x").groupBy("image_id", "bin_id").applyInPandas(run, COMPONENT)
+    return by_frame(pixels.select("image_id", "bin_id", "y", "x"), ["image_id", "bin_id"], run, COMPONENT)
 
 
 def pixel_components(pixels: DataFrame) -> DataFrame:
@@ -268,7 +293,7 @@ def pixel_components(pixels: DataFrame) -> DataFrame:
         which = labels[part.y.to_numpy() - y0, part.x.to_numpy() - x0]
         return part[["image_id", "bin_id", "y", "x"]].assign(seed_y=named.seed_y.loc[which].to_numpy() + y0, seed_x=named.seed_x.loc[which].to_numpy() + x0)
 
-    return pixels.select("image_id", "bin_id", "y", "x").groupBy("image_id", "bin_id").applyInPandas(run, "image_id long, bin_id string, y int, x int, seed_y int, seed_x int")
+    return by_frame(pixels.select("image_id", "bin_id", "y", "x"), ["image_id", "bin_id"], run, "image_id long, bin_id string, y int, x int, seed_y int, seed_x int")
 
 
 def largest_component(regions: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -296,7 +321,7 @@ def component_holes(grid: DataFrame) -> DataFrame:
         y, x = np.nonzero(found) if found is not None else (np.zeros(0, int), np.zeros(0, int))
         return pd.DataFrame({"image_id": np.full(len(y), part.image_id.iloc[0], np.int64), "y": y + y0, "x": x + x0})
 
-    return grid.select("image_id", "y", "x", "m").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int")
+    return by_frame(grid.select("image_id", "y", "x", "m"), ["image_id"], run, "image_id long, y int, x int")
 
 
 def interior_depths(region: DataFrame) -> DataFrame:
@@ -305,7 +330,7 @@ def interior_depths(region: DataFrame) -> DataFrame:
         mask, y0, x0 = _grid(part)
         return part[["image_id", "y", "x"]].assign(depth=interior_depth(mask)[part.y.to_numpy() - y0, part.x.to_numpy() - x0])
 
-    return region.select("image_id", "y", "x").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, depth int")
+    return by_frame(region.select("image_id", "y", "x"), ["image_id"], run, "image_id long, y int, x int, depth int")
 
 
 def edge_band_filter(named: DataFrame, depths: DataFrame, band: float) -> DataFrame:
@@ -351,4 +376,4 @@ def resolve_candidates(pixels: DataFrame, models: list[Model], *, exclusion: boo
         return out.assign(image_id=part.image_id.iloc[0], denom=denom)[[c.split()[0] for c in CANDIDATE.split(", ")]]
 
     keep = ["image_id", "y", "x", "hue", "sat", "val", *(["in_region"] if has_region else [])]
-    return pixels.select(*keep).groupBy("image_id").applyInPandas(run, CANDIDATE)
+    return by_frame(pixels.select(*keep), ["image_id"], run, CANDIDATE)
