@@ -140,11 +140,11 @@ def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n(a.intersect(b), "and").union(n(a.union(b).distinct(), "or")).union(n(a.exceptAll(b), "minus"))
 
 
-@query(cte("scan") + " SELECT event_id, round(CASE WHEN area_frac > 0 THEN area_frac * 2 * exp(abs(ln(median_sat + 0.1))) / ((1 + exp(abs(ln(median_sat + 0.1)))) * (1 + exp(abs(ln(median_sat + 0.1))))) ELSE 0 END, 6) AS rotated, round(sqrt(area_frac * clip_frac), 6) AS threshold, area_frac > 0.1 AND area_frac < 0.3 OR (clip_frac > 0.5 AND area_frac >= 0.2) AS uncertain FROM scan")
+@query(cte("scan") + " SELECT event_id, round(CASE WHEN area_frac > 0 THEN area_frac * 2 * exp(abs(ln(median_sat + 0.1))) / ((1 + exp(abs(ln(median_sat + 0.1)))) * (1 + exp(abs(ln(median_sat + 0.1))))) ELSE 0 END, 8) AS rotated, round(sqrt(area_frac * clip_frac), 8) AS threshold, area_frac > 0.1 AND area_frac < 0.3 OR (clip_frac > 0.5 AND area_frac >= 0.2) AS uncertain FROM scan")
 def scalar_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("area_frac")
     unsure = verdicts.uncertain_verdict(verdicts.is_uncertain(a, F.lit(0.3), F.lit(0.1)), F.col("clip_frac") > 0.5, a >= 0.2)
-    return scan(spark, sf_dir).select("event_id", r(verdicts.rotated_fill(F.log(F.col("median_sat") + 0.1), a)).alias("rotated"), r(verdicts.geometric_threshold(a, F.col("clip_frac"))).alias("threshold"), unsure.alias("uncertain"))
+    return scan(spark, sf_dir).select("event_id", r(verdicts.rotated_fill(F.log(F.col("median_sat") + 0.1), a), 8).alias("rotated"), r(verdicts.geometric_threshold(a, F.col("clip_frac")), 8).alias("threshold"), unsure.alias("uncertain"))
 
 
 @query(cte("ccl") + ", g AS (SELECT image_id, bin_id, seed_y, seed_x, count(*) AS area FROM named GROUP BY ALL) SELECT image_id, bin_id, area, CAST(row_number() OVER (PARTITION BY image_id, bin_id ORDER BY area DESC, seed_y, seed_x) AS INTEGER) AS rank FROM g")
