@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
+from .raster import by_frame
 
 #: Members of a situation, and the distance under which frames are the same.
 CAPACITY = math.ceil(1 + 100 / 5)
@@ -28,12 +29,15 @@ def _distances(points: np.ndarray) -> np.ndarray:
 
 
 def _separation_without(points: np.ndarray) -> np.ndarray:
-    """For each member, the smallest distance among all others."""
+    """For each member, the smallest distance among all others: the smallest
+    of all, except for the two members that have it."""
     d = _distances(points)
-    out = np.empty(len(points))
-    for i in range(len(points)):
-        rest = np.delete(np.delete(d, i, 0), i, 1)
-        out[i] = rest.min() if rest.size else np.inf
+    closest = np.unravel_index(int(d.argmin()), d.shape)
+    out = np.full(len(points), d[closest])
+    for i in closest:
+        rest = d.copy()
+        rest[i, :] = rest[:, i] = np.inf
+        out[i] = rest.min()
     return out
 
 
@@ -72,7 +76,7 @@ def replay(frames: DataFrame, keys: list[str], order: str, capacity: int = CAPAC
             rows.append([*(getattr(r, k) for k in keys), getattr(r, order), r.path, accept, reason, evict])
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return frames.groupBy(*keys).applyInPandas(run, schema)
+    return by_frame(frames, keys, run, schema)
 
 
 def over_capacity(frames: DataFrame, keys: list[str], order: str, capacity: int = CAPACITY) -> DataFrame:
@@ -85,7 +89,7 @@ def over_capacity(frames: DataFrame, keys: list[str], order: str, capacity: int
         rows = [[*(part[k].iloc[0] for k in keys), path, turn] for turn, path in enumerate(gone, 1)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
-    return frames.groupBy(*keys).applyInPandas(run, schema)
+    return by_frame(frames, keys, run, schema)
 
 
 def situations(entries: DataFrame) -> DataFrame:
