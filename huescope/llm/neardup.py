@@ -31,8 +31,10 @@ from .simhash import links_within, shingle_hashes, simhash
 
 GROUPS_LOG2, SAMPLE, SLOTS_LOG2 = 4, 3, 7
 CLOSEST = 3
+MARGIN = 0.18  # below the similarity; a pair that reaches it agrees in fewer of 128 bytes once in some 700,000
 BUCKET = 2_048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(3).integers(0, 1 << 63, 1 << SLOTS_LOG2, np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("cls", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 _SKETCHES_SQL = "doc_id long, hash long, cls long, fp long, keys array<long>, sketch binary"
 
@@ -46,16 +48,13 @@ def group_keys(shingles: np.ndarray) -> list[int]:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """One byte of the smallest hash in each of 128 parts of the hash range;
-    a part without any borrows from the next that has one."""
-    slots = 1 << SLOTS_LOG2
-    if not len(shingles):
-        return bytes(slots)
-    start = np.searchsorted(shingles, np.arange(slots, dtype=np.uint64) << np.uint64(64 - SLOTS_LOG2))
-    filled = np.append(start[1:], len(shingles)) > start
-    where = np.flatnonzero(filled)
-    source = where[np.searchsorted(where, np.arange(slots)) % len(where)]
-    return ((shingles[start[source]] * _MIX) >> np.uint64(24)).astype(np.uint8).tobytes()
+    """One byte of the smallest hash under each of 128 hash functions.  Each
+    byte agrees by itself with at least the sets' similarity, however few
+    shingles they have, so the share that agrees is a binomial one."""
+    least = np.full(1 << SLOTS_LOG2, ~np.uint64(0))
+    for k in range(0, len(shingles), 2_048):
+        np.minimum(least, (shingles[None, k : k + 2_048] * _FACTORS[:, None]).min(1), out=least)
+    return ((least * _MIX) >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -166,7 +165,7 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
     # a range also parts a bucket that holds much of all rows; each group has an order of its own
     order = ["key", F.expr("substring(sketch, 8 * g + 1, 128)")]
     dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "cls", "sketch")
-    close = dealt.mapInArrow(_closest(similarity - 0.15, bucket), "a long, b long")
+    close = dealt.mapInArrow(_closest(similarity - MARGIN, bucket), "a long, b long")
     # fingerprints may be shared by classes: each class hangs on its fingerprint's smallest
     by_fp = written(classes.groupBy("fp").agg(F.min("cls").alias("head")), "heads")
     names = lambda c: by_fp.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}"))

@@ -158,6 +158,16 @@ def test_keep_one_equals_brute_force(spark):
     assert as_rows(neardup.keep_one(documents(spark, []))) == []
 
 
+def test_short_near_copies_are_found(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(300):
+        words = [f"w{i}" for i in rng.integers(0, 10**6, 9)]
+        texts += [" ".join(words[:8]), " ".join(words)]  # 4 of 5 shingles
+    kept = sorted(r.doc_id for r in neardup.keep_one(documents(spark, texts)).where("doc_id <> 4").collect())
+    assert kept == [i for i in brute_kept(texts) if i != 4]
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "packing"]
