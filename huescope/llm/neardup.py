@@ -11,10 +11,11 @@ few.  A pair of similarity s agrees in a group's three with about s ** 3, so
 all of 16 groups miss a pair of 0.8 once in some 90,000.
 
 Texts with equal sets are one class from the start.  A bucket compares its
-classes by small sketches and names for each only its closest few; each such
-link is then checked exactly on the whole shingle sets.  Whatever connects a
-group by links over the threshold is among its members' closest links, so no
-bucket ever emits all pairs.
+classes by small sketches and names for each its closest few; each such link
+is checked exactly on the whole shingle sets and what it connects becomes one
+component.  Rounds follow that name the next closest of other components,
+until no bucket holds two of different components that the sketches let pass
+and that were not checked.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ MARGIN = 0.18  # below the similarity; a pair that reaches it agrees in fewer of
 BUCKET = 2_048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(3).integers(0, 1 << 63, 1 << SLOTS_LOG2, np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCHES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("cls", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
-_SKETCHES_SQL = "doc_id long, hash long, cls long, fp long, keys array<long>, sketch binary"
+_SKETCHES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("cls", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int64())])
+_SKETCHES_SQL = "doc_id long, hash long, cls long, fp long, keys array<long>, sketch binary, size long"
 
 
 def group_keys(shingles: np.ndarray) -> list[int]:
@@ -61,7 +62,7 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     """What is needed of each row to find its candidates."""
     def run(batches):
         for b in batches:
-            cls, fps, keys, marks = [], [], [], []
+            cls, fps, keys, marks, sizes = [], [], [], [], []
             for text in utf8(b.column("t")):
                 hashes = shingle_hashes(text, shingle)
                 unique = np.unique(hashes)
@@ -69,59 +70,62 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
                 fps.append(simhash(hashes))
                 keys.append(group_keys(unique))
                 marks.append(sketch(unique))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(cls, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=_SKETCHES)
+                sizes.append(len(unique))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(cls, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())], schema=_SKETCHES)
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("t")).mapInArrow(run, _SKETCHES_SQL)
 
 
-def _closest(least: float, bucket: int):
-    """Over rows sorted by key and sketch: links of each class to its closest
-    ones in the bucket.  A bucket of more classes passes by in overlapping
-    runs, so that a task never holds more than one run."""
+def _closest(least: float, similarity: float, first: int, last: int):
+    """Over rows sorted by key: the links of each class to those of another
+    component that rank from ``first`` to ``last`` among its closest in the
+    bucket, and the keys of the buckets where further ones follow."""
     slots = 1 << SLOTS_LOG2
 
-    def links(cls: list[int], marks: list[bytes]):
-        table = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, slots)
-        out = set()
-        for i, mine in enumerate(cls):
-            same = (table == table[i]).sum(1)
-            same[i] = -1
-            best = np.argpartition(-same, CLOSEST)[:CLOSEST] if len(cls) > CLOSEST else range(len(cls))
-            out.update((min(mine, cls[j]), max(mine, cls[j])) for j in best if same[j] >= least * slots)
-        return out
+    def links(cls, comp, n, marks, out):
+        more, step = False, max(1, (1 << 18) // (len(cls) * slots))
+        for a in range(0, len(cls), step):
+            mine = slice(a, a + step)
+            same = (marks[mine, None] == marks[None]).sum(2)
+            near = (same >= least * slots) & (np.minimum(n[mine, None], n) >= similarity * np.maximum(n[mine, None], n))
+            near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+            rank = np.argsort(np.argsort(np.where(near, -same, 1), axis=1, kind="stable"), axis=1, kind="stable")
+            near &= comp[mine, None] != comp
+            more = more or bool((near & (rank >= last)).any())
+            x, y = np.nonzero(near & (rank >= first) & (rank < last))
+            x, y = cls[mine][x], cls[y]
+            out.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+        return more
 
     def run(batches):
-        key, cls, marks, found = None, [], [], set()
-
-        def batch_of():
-            x = np.array(sorted(found), np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+        tail = None
+
+        def found(table, final):
+            nonlocal tail
+            keys = table.column("key").to_numpy()
+            cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            ends = np.append(cut[1:], len(keys))[: len(cut)]
+            if not final and len(cut):
+                tail, cut, ends = table.slice(cut[-1]), cut[:-1], ends[:-1]
+            cls, comp, n = (table.column(c).to_numpy() for c in ("cls", "comp", "n"))
+            out, open_ = set(), []
+            for i in np.flatnonzero(ends - cut > 1):
+                s, e = int(cut[i]), int(ends[i])
+                if comp[s] == comp[s:e].max() == comp[s:e].min():
+                    continue
+                marks = np.frombuffer(b"".join(table.column("sketch").slice(s, e - s).to_pylist()), np.uint8).reshape(-1, slots)
+                if links(cls[s:e], comp[s:e], n[s:e], marks, out):
+                    open_.append(int(keys[s]))
+            x = np.array(sorted(out), np.int64).reshape(-1, 2)
+            pad = [None] * len(open_)
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0].tolist() + pad, pa.int64()), pa.array(x[:, 1].tolist() + pad, pa.int64()), pa.array([None] * len(x) + open_, pa.int64())], names=["a", "b", "key"])
 
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            ends = np.append(cut[1:], len(keys))
-            ids, column = batch.column("cls").to_numpy(), batch.column("sketch")
-            for a, b in zip(cut.tolist(), ends.tolist()):
-                if keys[a] != key:
-                    if len(cls) > 1:
-                        found |= links(cls, marks)
-                    key, cls, marks = keys[a], [], []
-                if b - a == 1 and b < len(keys) and not cls:
-                    continue  # alone in its bucket
-                for c in range(a, b, bucket // 2):
-                    n = min(bucket // 2, b - c)
-                    cls += ids[c : c + n].tolist()
-                    marks += column.slice(c, n).to_pylist()
-                    if len(cls) >= bucket:
-                        found |= links(cls, marks)
-                        cls, marks = cls[len(cls) - bucket // 2 :], marks[len(marks) - bucket // 2 :]
-            yield batch_of()
-        if len(cls) > 1:
-            found |= links(cls, marks)
-        yield batch_of()
+            batch = pa.table(batch.columns, names=batch.schema.names)
+            yield found(pa.concat_tables([tail, batch]).combine_chunks() if tail is not None else batch, False)
+        if tail is not None:
+            yield found(tail, True)
 
     return run
 
@@ -160,28 +164,71 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
     bounded_batches(docs.sparkSession)
     marked = written(sketches(docs, shingle, id_col, text_col), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "hash"))
-    classes = written(marked.groupBy("cls").agg(first.alias("best"), F.min("fp").alias("fp"), F.min(F.struct("keys", "sketch")).alias("s"), F.count("*").alias("n")), "classes")
-    dealt = classes.select("cls", F.col("s.sketch").alias("sketch"), F.posexplode("s.keys").alias("g", "key"))
-    # a range also parts a bucket that holds much of all rows; each group has an order of its own
-    order = ["key", F.expr("substring(sketch, 8 * g + 1, 128)")]
-    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "cls", "sketch")
-    close = dealt.mapInArrow(_closest(similarity - MARGIN, bucket), "a long, b long")
+    classes = written(marked.groupBy("cls").agg(first.alias("best"), F.min("fp").alias("fp"), F.min(F.struct("keys", "sketch", "size")).alias("s"), F.count("*").alias("n")), "classes")
     # fingerprints may be shared by classes: each class hangs on its fingerprint's smallest
     by_fp = written(classes.groupBy("fp").agg(F.min("cls").alias("head")), "heads")
     names = lambda c: by_fp.select(F.col("fp").alias(c), F.col("head").alias(f"h{c}"))
     covered = links_within(by_fp.select("fp"), radius).join(names("a"), "a").join(names("b"), "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
     shared = classes.join(by_fp, "fp").where("cls <> head").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
-    candidates = written(close.union(covered).union(shared).distinct(), "candidates")
-    nodes = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
-    wanted = written(classes.join(nodes, "cls", "left_semi").select("cls", F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_hash")), "wanted")
-    few = wanted.count() <= broadcast_rows
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t"))
-    side = F.broadcast(wanted) if few else wanted
-    read = texts.join(side, F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash"))).select("cls", "t")
-    sets = written(_sets(read, shingle).dropDuplicates(["cls"]), "sets")
-    pairs = candidates.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
-    roots = components(pairs.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
+    sets, links, roots = None, None, None
+
+    def verify(candidates: DataFrame) -> None:
+        """Check the links exactly and renew the components."""
+        nonlocal sets, links, roots
+        nodes = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
+        if sets is not None:
+            nodes = nodes.join(sets.select("cls"), "cls", "left_anti")
+        wanted = written(classes.join(nodes, "cls", "left_semi").select("cls", F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_hash")), "wanted")
+        new = wanted.count()
+        if new or sets is None:
+            side = F.broadcast(wanted) if new <= broadcast_rows else wanted
+            read = texts.join(side, F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash"))).select("cls", "t")
+            read = written(_sets(read, shingle).dropDuplicates(["cls"]), "sets")
+            sets = read if sets is None else sets.union(read)
+        pairs = candidates.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
+        good = written(pairs.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
+        if not good.isEmpty():
+            links = good if links is None else links.union(good)
+            roots = components(links)
+
+    def in_components(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("comp", F.col("cls"))
+        return rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+
+    def compare(rows: DataFrame, others: DataFrame | None = None) -> None:
+        """Link the classes of equal key until no two of different components
+        are left unchecked that their sketches let pass."""
+        first, last = 0, CLOSEST
+        while True:
+            sorted_ = in_components(rows).select("key", "cls", "comp", "n", "sketch").repartition("key").sortWithinPartitions("key", "cls")
+            found = written(sorted_.mapInArrow(_closest(similarity - MARGIN, similarity, first, last), "a long, b long, key long"), "close")
+            close = found.where("a IS NOT NULL").select("a", "b")
+            candidates = written((close if others is None else close.union(others)).distinct(), "candidates")
+            others = None
+            if not candidates.isEmpty():
+                verify(candidates)
+            left = found.where("a IS NULL").select("key").distinct()
+            if left.isEmpty():
+                return
+            rows = rows.join(left, "key", "left_semi")
+            first, last = last, last * 8
+
+    def parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
+        """Rows of hot buckets dealt at random into smaller ones."""
+        part = F.pmod(F.xxhash64("cls", "key"), F.ceil(F.col("m") / (bucket // 2)).cast("long"))
+        marked_ = rows.join(hot, "key", "left")
+        return marked_.withColumn("key", F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", part))).drop("m")
+
+    def hot_of(rows: DataFrame) -> DataFrame:
+        return written(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > bucket), "hot")
+
+    own = classes.select("cls", F.col("s.sketch").alias("sketch"), F.col("s.size").alias("n"), F.posexplode("s.keys").alias("g", "key"))
+    dealt = own.select(F.xxhash64("key").alias("key"), "cls", "n", "sketch")
+    hot = hot_of(dealt)
+    compare(parted(dealt, hot), covered.union(shared))
     if roots is None:
         best = classes.select("best", "n")
     else:

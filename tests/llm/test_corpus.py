@@ -168,6 +168,28 @@ def test_short_near_copies_are_found(spark):
     assert kept == [i for i in brute_kept(texts) if i != 4]
 
 
+def two_families(rng):
+    """Two families of 8 close copies each, 0.8 to 0.9 between them."""
+    base = [f"v{i}" for i in rng.integers(0, 10**6, 405)]
+    other = base[:]
+    for k in (60, 140, 220, 300, 380):
+        other[k] = "changed"
+    out = []
+    for family in (base, other):
+        for k in range(8):
+            copy = family[:]
+            copy[5 + 50 * k % 400] = f"x{k}"
+            out.append(" ".join(copy))
+    return out
+
+
+def test_dense_families_are_connected(spark):
+    rng = np.random.default_rng(21)
+    texts = [t for _ in range(4) for t in two_families(rng)]
+    assert len(brute_kept(texts)) == 4
+    assert sorted({r.doc_id for r in neardup.keep_one(documents(spark, texts)).collect()}) == brute_kept(texts)
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "packing"]
