@@ -15,7 +15,10 @@ classes by small sketches and names for each its closest few; each such link
 is checked exactly on the whole shingle sets and what it connects becomes one
 component.  Rounds follow that name the next closest of other components,
 until no bucket holds two of different components that the sketches let pass
-and that were not checked.
+and that were not checked.  A bucket over the limit is first compared in
+random parts, which joins what is dense; if several components are left, it is
+dealt again by the sketches, and what then is over the limit is compared block
+by block.
 """
 
 from __future__ import annotations
@@ -152,6 +155,33 @@ def _sets(docs: DataFrame, shingle: int):
     return docs.mapInArrow(run, "cls long, s binary")
 
 
+def rebanded(rows: DataFrame) -> DataFrame:
+    """Rows of hot buckets dealt again, by 16 threes of their sketch's bytes."""
+    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.xxhash64("key", i, F.substring("sketch", 3 * i + 1, F.lit(3)))))
+    return rows.select(bands.alias("key"), "cls", "n", "sketch")
+
+
+def blocks(rows: DataFrame, bucket: int) -> DataFrame:
+    """Rows (key, comp, cls, n, sketch) dealt into blocks and each two blocks
+    of a key under a key of their own, so that each two classes meet somewhere
+    unless they are of one component that fills blocks by itself."""
+    part = max(1, bucket // 4)
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    large = sizes.where(F.col("k") > part)
+    small = sizes.where(F.col("k") <= part).groupBy("key").agg(F.sum("k").alias("rest"))
+    placed = rows.join(large, ["key", "comp"], "left").join(small, "key", "left")
+    alone = F.col("k").isNotNull()
+    block = F.struct(alone.alias("alone"), F.when(alone, F.col("comp")).otherwise(0).alias("comp"),
+        F.when(alone, F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.col("k") / part).cast("long"))).otherwise(F.pmod(F.xxhash64("comp", F.lit(1)), F.ceil(F.col("rest") / part).cast("long"))).alias("part"))
+    placed = placed.select("key", "cls", "n", "sketch", block.alias("block"))
+    parts = written(placed.select("key", "block").distinct(), "blocks")
+    other = parts.select("key", F.col("block").alias("other"))
+    pairs = parts.join(other, "key").where((F.col("block") <= F.col("other")) & ~(F.col("block.alone") & F.col("other.alone") & (F.col("block.comp") == F.col("other.comp"))))
+    pairs = pairs.withColumn("task", F.xxhash64("key", "block", "other"))
+    tasks = pairs.select("key", "block", "task").union(pairs.select("key", "other", "task")).distinct()
+    return placed.join(tasks, ["key", "block"]).select(F.col("task").alias("key"), "cls", "n", "sketch")
+
+
 def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radius: int = 4, bucket: int = BUCKET, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group, columns unchanged.
 
@@ -222,6 +252,12 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
         marked_ = rows.join(hot, "key", "left")
         return marked_.withColumn("key", F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", part))).drop("m")
 
+    def unsettled(rows: DataFrame, hot: DataFrame) -> DataFrame:
+        """Rows of the hot buckets that hold more than one component."""
+        rows = rows.join(hot.select("key"), "key", "left_semi")
+        keys = in_components(rows).groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        return rows.join(keys, "key", "left_semi")
+
     def hot_of(rows: DataFrame) -> DataFrame:
         return written(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > bucket), "hot")
 
@@ -229,6 +265,12 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
     dealt = own.select(F.xxhash64("key").alias("key"), "cls", "n", "sketch")
     hot = hot_of(dealt)
     compare(parted(dealt, hot), covered.union(shared))
+    if not hot.isEmpty():
+        again = written(rebanded(unsettled(dealt, hot)), "again")
+        hotter = hot_of(again)
+        compare(parted(again, hotter))
+        if not hotter.isEmpty():
+            compare(written(blocks(in_components(unsettled(again, hotter)), bucket), "tasks"))
     if roots is None:
         best = classes.select("best", "n")
     else:

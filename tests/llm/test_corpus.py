@@ -169,27 +169,39 @@ def test_short_near_copies_are_found(spark):
 
 
 def two_families(rng):
-    """Two families of 8 close copies each, 0.8 to 0.9 between them."""
-    base = [f"v{i}" for i in rng.integers(0, 10**6, 405)]
+    """Two families of 10 close copies each, 0.8 to 0.9 between them."""
+    base = [f"v{i}" for i in rng.integers(0, 10**6, 805)]
     other = base[:]
-    for k in (60, 140, 220, 300, 380):
+    for k in range(30, 800, 60):
         other[k] = "changed"
     out = []
     for family in (base, other):
-        for k in range(8):
+        for k in range(10):
             copy = family[:]
-            copy[5 + 50 * k % 400] = f"x{k}"
+            copy[5 + 80 * k] = f"x{len(out)}"
             out.append(" ".join(copy))
     return out
 
 
 def test_dense_families_are_connected(spark):
     rng = np.random.default_rng(21)
-    texts = [t for _ in range(4) for t in two_families(rng)]
-    assert len(brute_kept(texts)) == 4
+    texts = [t for _ in range(12) for t in two_families(rng)]
+    assert brute_kept(texts) == list(range(0, 240, 20))
     assert sorted({r.doc_id for r in neardup.keep_one(documents(spark, texts)).collect()}) == brute_kept(texts)
 
 
+def test_blocks_let_all_classes_of_a_hot_bucket_meet(spark):
+    rows = [(7, 1 if i < 40 else 2 if i < 70 else i, i, 9, b"s") for i in range(150)] + [(8, i % 2, i, 9, b"s") for i in range(30)]
+    comp = {(k, i): c for k, c, i, _, _ in rows}
+    got = defaultdict(set)
+    for r in neardup.blocks(spark.createDataFrame(rows, "key long, comp long, cls long, n long, sketch binary"), 16).collect():
+        got[r.key].add(r.cls)
+    met = {(a, b) for x in got.values() for a in x for b in x}
+    for key, n in ((7, 150), (8, 30)):
+        assert all((a, b) in met for a in range(n) for b in range(n) if comp[key, a] != comp[key, b])
+    assert max(map(len, got.values())) < 40
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "packing"]
