@@ -40,7 +40,7 @@ def features(text: bytes) -> np.ndarray:
     shape = [
         np.log1p(len(text)), np.log1p(len(words)), len(text) / w, len(different) / w, len(different) / w**0.7, sum(map(eq, words, words[1:])) / w,
         -(seen * np.log2(seen)).sum(), len(set(lines)) / k, np.log1p(len(text) / k), ends / w, np.log1p(w / max(ends, 1)), 1 - letters,
-        (share @ _TABLE[:, 1]) / letters, max(map(len, words[:4096]), default=0),
+        (share @ _TABLE[:, 1]) / letters, max(map(len, words), default=0),
     ]
     return np.concatenate((share @ _TABLE, shape))
 

@@ -88,6 +88,13 @@ def test_quality_on_held_out_documents(spark):
     assert {r.score for r in quality.score(documents(spark), None, F.lit(False)).collect()} == {0.5}
 
 
+def test_quality_sees_a_long_word_anywhere():
+    for at in (10, 4095, 4096, 9000):
+        words = [b"word"] * 10_000
+        words[at] = b"x" * 500
+        assert quality.features(b" ".join(words))[-1] == 500
+
+
 def brute_url(url):
     if url is None or "://" not in url:
         return "", ""
