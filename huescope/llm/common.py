@@ -73,6 +73,13 @@ def hash_share(column: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(column.cast("string")), F.lit(1_000_003)) < F.lit(int(share * 1_000_003))
 
 
+def sample_rows(df: DataFrame, columns: list[str], most: int) -> list:
+    """At most ``most`` rows, those whose columns hash lowest: the same rows
+    whatever the partitions, and no more than ``most`` from each of them."""
+    order = F.xxhash64(*columns)
+    return df.orderBy(order, *columns).limit(most).collect()
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings; null becomes the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -8,11 +8,16 @@ from .data import ODD_TEXTS, as_rows, documents
 
 
 def brute_top(rows, k):
-    out = []
+    """Best product for each pair of ids, over all their rows."""
+    best = {}
     for i, v in rows:
-        if i % 50:
-            continue
-        scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in rows if j != i and len(w) == len(v))
+        for j, w in rows:
+            if i % 50 == 0 and j != i and len(w) == len(v):
+                s = sum(a * b for a, b in zip(v, w))
+                best[i, j] = max(best.get((i, j), s), s)
+    out = []
+    for i in {i for i, _ in best}:
+        scores = sorted((-s, j) for (q, j), s in best.items() if q == i)
         out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -25,13 +30,33 @@ def test_top_k_equals_brute_force_with_ties_and_copies(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.integers(-3, 4, 6).tolist()) for i in range(700)] + [(i, [1, 2, 3, 4, 5, 6]) for i in range(700, 1100)] + [(i, [5, 5]) for i in (1150, 1151)]
     bad = [(2000, None), (2050, [1, None, 3, 4, 5, 6]), (None, [1, 1, 1, 1, 1, 1])]
-    got = topk.top_k(vectors(spark, rows + bad), F.col("vec_id") % 50 == 0, least_shards=3, seed_rows=20, block=7)
+    got = topk.top_k(vectors(spark, rows + bad), F.col("vec_id") % 50 == 0, shard_bytes=2_000, pivots=3, seed_rows=20, block=7)
     assert sorted(as_rows(got)) == brute_top(rows, 5)
 
 
+def test_top_k_of_repeated_ids_and_rows(spark):
+    same = [1, 2, 3, 4]
+    few = [(50, same)] * 6 + [(51, same), (52, [0, 1, 1, 1])]
+    got = topk.top_k(vectors(spark, few), F.col("vec_id") % 50 == 0)
+    assert sorted(as_rows(got)) == [(50, 1, 51, 30), (50, 2, 52, 9)]
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 160)), rng.integers(-2, 3, 4).tolist()) for _ in range(500)]
+    rows += rows[::3]
+    for pivots, size in ((1, 400), (40, 10**6)):
+        got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0, k=3, pivots=pivots, shard_bytes=size, seed_rows=60)
+        assert sorted(as_rows(got)) == brute_top(rows, 3)
+
+
+def test_top_k_of_many_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-9, 10, 1 + i % 40).tolist()) for i in range(1200)] + [(1250, [])]
+    got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0, seed_rows=30, shard_bytes=3_000)
+    assert sorted(as_rows(got)) == brute_top([r for r in rows if r[1]], 5)
+
+
 def test_top_k_of_large_numbers_and_of_nothing(spark):
     rows = [(i, [(i + 1) << 24, -(i << 23), 7]) for i in range(60)]
-    assert sorted(as_rows(topk.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0, least_shards=2))) == brute_top(rows, 5)
+    assert sorted(as_rows(topk.top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0, shard_bytes=500))) == brute_top(rows, 5)
     assert as_rows(topk.top_k(vectors(spark, []), F.lit(True))) == []
     assert as_rows(topk.top_k(vectors(spark, [(0, [1, 2])]), F.lit(True))) == []
 
