@@ -177,3 +177,76 @@ def test_pii_scan_and_redaction(spark, sf):
     assert texts[n] == "mail <EMAIL> or <IP> now" and texts[0] is None and texts[4] == "one"
     assert pii.redact(mine, model).columns == mine.columns
     assert as_rows(pii.scan(documents(spark, []), pii.learn(documents(spark, [])))) == []
+
+
+def pii_model(spark):
+    if not hasattr(pii_model, "made"):
+        pii_model.made = pii.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    return pii_model.made
+
+
+PLANTED = {
+    "phone": ["269 555 3296", "(269) 555 3296", "269-555-3296", "0049 30 1234567", "1 803 555 4188"],
+    "email": ["bob (at) mail (dot) example (dot) com", "jane.roe[at]uni[dot]edu", "max at mail dot example dot org", "eva @ mail.example.net"],
+    "ip": ["10[.]20[.]30[.]40", "192(.)168(.)1(.)17"],
+    "card": ["4111.1111.1111.1111", "5500/0000/0000/0004", "4111 1111 1111 1111 48213377", "7302 4111111111111111"],
+}
+CLEAN = ["on 2024-01-02 at 10:30:45", "version 1.2.3.4000", "look at dot com", "total 1,234,567.89 of 3.14159265", "at last. There it is", "id 473696257 and 8490294829394200", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18", "from 1990 1995 2000 2005", "meet at noon. Then", "999.888.777.666"]
+
+
+def test_pii_trees_add_planted_forms_and_leave_others(spark):
+    model = pii_model(spark)
+    hits = total = 0
+    for kind, forms in PLANTED.items():
+        for form in forms:
+            text = f"please write it down: {form} and tell nobody"
+            base, more = pii.find(text, model)
+            total += 1
+            hits += any(k == kind and text[a:b] in form and len(text[a:b]) > 9 for k, a, b in more)
+            assert all(k == kind for k, _, _ in base + more), (form, base, more)
+    assert hits / total >= 0.9, hits
+    for text in CLEAN:
+        assert pii.find(f"so {text} they say", model) == ([], []), text
+
+
+def test_pii_added_spans_are_disjoint_and_follow_the_scores(spark):
+    model = pii_model(spark)
+    rng = np.random.default_rng(3)
+    forms = [f for x in PLANTED.values() for f in x] + CLEAN + ["a@b.example.org", "+1 (269) 555-3296", "10.0.0.1"]
+    for _ in range(200):
+        text = " ".join(f"{rng.choice(forms)} word" for _ in range(int(rng.integers(1, 9))))
+        base, more = pii.find(text, model)
+        assert base == brute_spans(text)
+        # by definition: the best proposal that meets nothing taken, again and again
+        left = [s for s in pii.proposals(text) if pii.valid(s[0], text[s[1] : s[2]]) and not any(s[1] < b and a < s[2] for _, a, b in base)]
+        scores = model.trees.probability(np.array([pii.describe(text, s) for s in left])) if left else []
+        want = []
+        for p, n in sorted((-p, n) for n, p in enumerate(scores)):
+            s = left[n]
+            if -p >= model.thresholds[s[0]] and not any(s[1] < b and a < s[2] for _, a, b in want):
+                want.append(s)
+        assert more == sorted(want, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
+def test_pii_adds_spans_on_real_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = pii.scan(docs, pii_model(spark)).where("n_added > 0").collect()
+    assert 0 < len(got) < 0.01 * docs.count()
+    texts = {r.doc_id: r.text for r in docs.join(spark.createDataFrame([(r.doc_id,) for r in got], "doc_id long"), "doc_id").collect()}
+    for r in got:
+        base = set(brute_spans(texts[r.doc_id]))
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(","))]
+        added = [s for s in spans if s not in base]
+        assert base <= set(spans) and len(added) == r.n_added
+        assert all(pii.valid(k, texts[r.doc_id][a:b]) for k, a, b in added)
+
+
+def test_pii_of_very_long_texts(spark):
+    import time
+
+    model = pii_model(spark)
+    line = "2024-01-02 10:30:45 host 10.1.2.3 user a@b.com id 473696257 call 269 555 3296\n"
+    for text in (line * (5_000_000 // len(line)), "1 " * 2_000_000, "9" * 5_000_000, "1234 " * 1_000_000, "a at " * 1_000_000):
+        began = time.time()
+        pii.find(text, model)
+        assert time.time() - began < 25
