@@ -1,32 +1,33 @@
 """Harmonic packing of token sequences.
 
-The lengths capacity // k, k = 1, 2, ..., are the reciprocal-capacity
-classes.  Documents may be cut anywhere, so a document is cut greedily into
-pieces of exactly those lengths, and a sequence of class k takes k pieces.
-Each worker numbers its pieces within each class; the workers' counts turn
-that into numbers over all workers, and a piece's number alone gives its
-sequence and its offset: no bin is ever searched for.  Fewer than k pieces
-stay over in each class, some thousands in all whatever the input, and they
-fill the last sequences by decreasing first fit.
+A document of n tokens, n at most the capacity, belongs to the class
+k = capacity // n, whose sequences take k documents each: the lengths between
+two reciprocals of the capacity.  Each worker fills the sequences of each
+class by itself, in the order in which the documents come, so nothing is
+searched and nothing shuffled.  Documents over the capacity have to be cut
+anyway; they fill whole sequences and the gaps that the classes leave.  A
+document that fits is cut only where no longer one is at hand, for the last
+sequences of a worker.  Each worker pads little more than its last sequence.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Cache, Vocabulary, chunks, segments
-from .common import bounded_batches, held, written
+from .common import bounded_batches, held
 
 #: Fixed value: the split pattern as the merge library compiles it.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 class Encoder:
@@ -54,82 +55,149 @@ class Encoder:
         return b"".join(out)
 
 
-def class_lengths(capacity: int) -> list[int]:
-    """The reciprocal-capacity lengths, longest first."""
-    return sorted({capacity // k for k in range(1, capacity + 1)}, reverse=True)
+class Piece:
+    """Token ids [start, end) of one document."""
 
+    __slots__ = ("doc_id", "ids", "total", "start", "end")
 
-def cut(n: int, capacity: int, lengths: list[int]) -> list[int]:
-    """Piece lengths of a document of n tokens."""
-    out, rest = [capacity] * (n // capacity), n % capacity
-    for length in lengths:
-        while length <= rest:
-            out.append(length)
-            rest -= length
-    return out
+    def __init__(self, doc_id, ids: memoryview, total: int, start: int, end: int):
+        self.doc_id, self.ids, self.total, self.start, self.end = doc_id, ids, total, start, end
 
+    def __len__(self) -> int:
+        return self.end - self.start
+
+    def cut(self, n: int) -> "Piece":
+        """Take the first n ids away, as a piece of their own."""
+        first = Piece(self.doc_id, self.ids, self.total, self.start, self.start + n)
+        self.start += n
+        return first
 
-def _last_bins(left: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
-    """(length, which of its left-over pieces, sequence, offset) by first fit."""
-    bins, out = [], []
-    for length in sorted(left, reverse=True):
-        at = 0
-        for k in range(left[length]):
-            while at < len(bins) and bins[at] + length > capacity:
-                at += 1
-            if at == len(bins):
-                bins.append(0)
-            out.append((length, k, at, bins[at]))
-            bins[at] += length
-    return out
 
+class Packer:
+    """One worker's sequences.
+
+    Holds fewer than k documents for each class k, at most ``spare`` tokens
+    (and one document) to fill gaps with, and at most ``waiting`` sequences
+    whose gap could not be filled yet.
+    """
 
-def pack(docs: DataFrame, vocabulary_path: str, *, capacity: int = 1_024, end_id: int = 0, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def __init__(self, capacity: int, first_sequence: int, spare: int = 1 << 16, waiting: int = 256):
+        self.capacity, self.next, self.most_spare, self.most_waiting = capacity, first_sequence, spare, waiting
+        self.classes: dict[int, list[Piece]] = {}
+        self.spare: deque[Piece] = deque()
+        self.spare_tokens = 0
+        self.waiting: deque[list[Piece]] = deque()
+        self.out: list[tuple] = []
+
+    def _close(self, pieces: list[Piece], last: bool = False) -> None:
+        """A sequence of these pieces and of what fills its gap; it waits if
+        nothing can, unless it is the ``last``."""
+        used = sum(map(len, pieces))
+        while used < self.capacity and self.spare:
+            front = self.spare[0]
+            n = min(len(front), self.capacity - used)
+            if n == len(front):
+                self.spare.popleft()
+            self.spare_tokens -= n
+            used += n
+            pieces.append(front.cut(n))
+        if used < self.capacity and not last:
+            self.waiting.append(pieces)
+            return
+        offset = 0
+        for p in pieces:
+            self.out.append((p.doc_id, p.start, len(p), zlib.crc32(p.ids[4 * p.start : 4 * p.end]), p.total, self.next, offset))
+            offset += len(p)
+        self.next += 1
+
+    def _lend(self, piece: Piece) -> None:
+        """A document to be cut: for the sequences that wait, then spare."""
+        self.spare.append(piece)
+        self.spare_tokens += len(piece)
+        while self.waiting and self.spare:
+            self._close(self.waiting.popleft())
+        while self.spare_tokens > max(self.most_spare, self.capacity):
+            self._close([])  # a whole sequence of one or more long documents
+
+    def _lend_emptiest(self) -> None:
+        """Of the sequences that wait, the one with the largest gap gives its
+        documents to the others."""
+        at = min(range(len(self.waiting)), key=lambda i: sum(map(len, self.waiting[i])))
+        pieces = self.waiting[at]
+        del self.waiting[at]
+        for p in pieces:
+            self._lend(p)
+
+    def add(self, doc_id, ids: bytes) -> None:
+        """Place a document's ids (little-endian unsigned 32-bit)."""
+        n = len(ids) // 4
+        piece = Piece(doc_id, memoryview(ids), n, 0, n)
+        if n > self.capacity:
+            self._lend(piece)
+            return
+        k = self.capacity // n
+        mine = self.classes.setdefault(k, [])
+        mine.append(piece)
+        if len(mine) == k:
+            del self.classes[k]
+            self._close(mine)
+            if len(self.waiting) > self.most_waiting:
+                self._lend_emptiest()
+
+    def finish(self) -> None:
+        """The classes' unfinished sequences: longest documents first, each
+        into the first sequence with room for it.  Then gaps are filled, by
+        the emptiest sequences' documents where no spare ones are left, until
+        one sequence stays unfilled."""
+        left = sorted((p for x in self.classes.values() for p in x), key=len, reverse=True)
+        self.classes = {}
+        bins: list[list[Piece]] = []
+        room: list[int] = []
+        for p in left:
+            at = next((i for i, r in enumerate(room) if r >= len(p)), len(bins))
+            if at == len(bins):
+                bins.append([])
+                room.append(self.capacity)
+            bins[at].append(p)
+            room[at] -= len(p)
+        for pieces in bins:
+            self._close(pieces)
+        while len(self.waiting) > 1:
+            self._lend_emptiest()
+        while self.spare or self.waiting:
+            self._close(self.waiting.popleft() if self.waiting else [], last=True)
+
+
+def pack(docs: DataFrame, vocabulary_path: str, *, capacity: int = 1_024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.
 
     A document is its token ids and ``end_id``; a null or empty text is just
-    ``end_id``.  Repeated rows are packed as often as they stand.  Every id
-    lies in exactly one piece; a full sequence is short of the capacity by
-    less than its piece count (or, for pieces under 32, by less than one piece).
+    ``end_id``.  Repeated rows are packed as often as they stand, rows with a
+    null id, too.  Every id lies in exactly one piece, and a sequence's pieces
+    follow each other without a gap.  Sequence ids differ between workers
+    (the input partition is in their upper bits) and are not consecutive.
+    Each worker packs its own partition in one pass; a partition that is
+    worked out again after a loss gives the same rows.
     """
     bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    vocabulary, lengths = spark.sparkContext.broadcast(Vocabulary(vocabulary_path)), class_lengths(capacity)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encode = held("encoder", vocabulary_path, lambda: Encoder(vocabulary.value))
-        part, placed = TaskContext.get().partitionId(), dict.fromkeys(lengths, 0)
+        packer = Packer(capacity, TaskContext.get().partitionId() << 40)
+
+        def done():
+            rows, packer.out = packer.out, []
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_OUT), _OUT)], schema=_OUT)
+
         for batch in batches:
-            out = []
             for doc_id, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist()):
-                ids = memoryview(encode(text or "") + end)
-                n, start = len(ids) // 4, 0
-                for length in cut(n, capacity, lengths):
-                    out.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, part, placed[length]))
-                    placed[length] += 1
-                    start += length
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_OUT), _OUT)], schema=_OUT)
+                packer.add(doc_id, encode(text or "") + end)
+            yield done()
+        packer.finish()
+        yield done()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    pieces = written(rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"), "pieces")
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), "n"), "offsets")
-    totals = {r.length: r.n for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a class
-    base, at = {}, 0
-    for length in lengths:
-        base[length] = at
-        at += totals.get(length, 0) // (capacity // length)
-    left = {length: n % (capacity // length) for length, n in totals.items()}
-    last = [(length, totals[length] - left[length] + k, at + b, o) for length, k, b, o in _last_bins(left, capacity)]
-    last = spark.createDataFrame(last, "length long, number long, last_sequence long, last_offset long")
-    small = offsets.count() <= broadcast_rows  # one row for each class and input partition
-    numbered = pieces.join(F.broadcast(offsets.drop("n")) if small else offsets.drop("n"), ["length", "part"]).withColumn("number", F.col("before") + F.col("place"))
-    first = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in base.items() for x in pair)), F.col("length"))
-    each = F.floor(F.lit(capacity) / F.col("length")).cast("long")
-    placed = numbered.join(F.broadcast(last), ["length", "number"], "left")  # at most the sum of the classes' piece counts
-    sequence = F.coalesce("last_sequence", first + F.floor(F.col("number") / each).cast("long"))
-    offset = F.coalesce("last_offset", F.pmod("number", each) * F.col("length"))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

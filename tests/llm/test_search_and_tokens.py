@@ -123,8 +123,46 @@ def test_packing_is_an_exact_round_trip(spark, sf, tokenizer):
     assert as_rows(packing.pack(documents(spark, []), queries.vocabulary_path())) == []
 
 
-def test_cutting_uses_whole_classes():
-    lengths = packing.class_lengths(1024)
-    for n in range(1, 5000, 7):
-        pieces = packing.cut(n, 1024, lengths)
-        assert sum(pieces) == n and set(pieces) <= set(lengths)
+def packed(lengths, capacity=64, **options):
+    """Rows of a packer fed with documents of these lengths."""
+    packer = packing.Packer(capacity, 0, **options)
+    for i, n in enumerate(lengths):
+        packer.add(i, np.arange(n, dtype="<u4").tobytes())
+    packer.finish()
+    return packer.out
+
+
+def test_documents_that_fit_stay_whole():
+    rng = np.random.default_rng(4)
+    for lengths in (rng.integers(1, 400, 3000), rng.integers(1, 64, 900), rng.integers(60, 70, 50), rng.integers(1, 4, 700), [64] * 5, [1], [200], np.concatenate((rng.integers(1, 30, 500), [9000]))):
+        out = packed(lengths.tolist() if hasattr(lengths, "tolist") else lengths)
+        by_doc, by_seq = {}, {}
+        for doc, start, length, _, total, seq, offset in out:
+            by_doc.setdefault(doc, []).append((start, length))
+            by_seq.setdefault(seq, []).append((offset, length))
+            assert total == lengths[doc] and length > 0
+        padding = 0
+        for doc, n in enumerate(lengths):
+            at = 0
+            for start, length in sorted(by_doc[doc]):
+                assert start == at
+                at += length
+            assert at == n
+        for pieces in by_seq.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= 64
+            padding += 64 - at
+        assert padding < 64  # the last sequence
+        cut = sum(len(by_doc[i]) > 1 for i, n in enumerate(lengths) if n <= 64)
+        if sum(n for n in lengths if n > 64) > sum(lengths) / 2:
+            assert cut <= 0.02 * len(lengths)
+
+
+def test_a_class_sequence_takes_a_fixed_count():
+    out = packed([20, 10, 20, 10, 20, 10, 10, 10, 10, 500])
+    first = [(doc, seq) for doc, _, _, _, _, seq, _ in out if doc != 9]
+    assert {d for d, s in first if s == first[0][1]} == {0, 2, 4}  # 64 // 20 = 3 documents
+    assert len({s for d, s in first if d in (1, 3, 5, 6, 7, 8)}) == 1
