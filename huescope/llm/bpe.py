@@ -12,7 +12,7 @@ import regex
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: A space that does not stand alone in front of a visible character.
 _ODD_SPACE = regex.compile(r" (?=\s|$)")
-CACHE = 200_000
+CACHE, LONGEST = 200_000, 48  # entries of a cache's generation, and its keys' length in characters
 
 
 def byte_letters() -> dict[int, str]:
@@ -97,13 +97,20 @@ def chunks(text: str) -> list[str] | None:
 
 
 class Cache(dict):
-    """Results by key, in two generations so that its size is bounded."""
+    """Results by short key, in two generations whose bytes are bounded.
 
-    def __init__(self, make, size: int = CACHE):
+    Keys over ``longest`` characters are worked out anew each time, so a key
+    and its result take ``longest`` times some small factor at most, and
+    both generations together about ``2 * size`` entries of that.
+    """
+
+    def __init__(self, make, size: int = CACHE, longest: int = LONGEST):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_SPACE = "\x20\t\n\x0b\x0c\r"
+_ROOTS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +36,14 @@ def outside_fold(column: str, modulus: int, remainder: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (local tests) a temporary one is made
-    and put into the session's setting.
+    Only a local session, whose driver is its executor, may do without one:
+    a temporary folder is put into its setting.  On a cluster that names
+    none this is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="huescope-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -49,12 +53,36 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Write the rows as a table in the shared folder and read them again.
 
     It cuts the lineage: a lost executor costs a re-read, never a recompute
-    of the Python work that made the rows.
+    of the Python work that made the rows.  Tables lie in a folder of the
+    application, which is removed when the driver ends its session; tables
+    of passed rounds go earlier by :func:`discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/huescope-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_removed, spark, root)
+    path = f"{root}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_path = path
+    return back
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's file systems, if the session still runs."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables of :func:`written` that nothing will read again."""
+    for table_ in tables:
+        if getattr(table_, "_written_path", None):
+            _removed(table_.sparkSession, table_._written_path)
 
 
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
