@@ -54,7 +54,7 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 def masks(radius: int, level: int = 0) -> list[int]:
     """The covering family's masks; each level deals the bits differently."""
     count = (1 << (radius + 1)) - 1
-    vector = [(i * (1, 5, 11, 19)[level % 4] + 7 * level) % count + 1 for i in range(64)]
+    vector = [(i * (1, 5, 11, 19, 27, 45)[level % 6] + 7 * level) % 64 % count + 1 for i in range(64)]
     out = [sum(1 << i for i in range(64) if (vector[i] & v).bit_count() & 1) for v in range(1, count + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
@@ -135,22 +135,36 @@ def _linker(radius: int, bucket: int):
     return run
 
 
+def _blocks(members: DataFrame, bucket: int) -> DataFrame:
+    """Members (fp, t, key) of each bucket dealt into blocks, and each two
+    blocks under a table number of their own, so that any two members meet."""
+    sizes = members.groupBy("t", "key").agg(F.count("*").alias("m"))
+    parts = F.ceil(F.col("m") / (bucket // 2)).cast("int")
+    mine = members.join(sizes, ["t", "key"]).withColumns({"parts": parts}).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    other = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.select(F.xxhash64("t", "key", F.least("part", "other"), F.greatest("part", "other")).alias("t"), "key", "fp")
+
+
 def links_within(fps: DataFrame, radius: int = 4, levels: int = 6, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect whatever lies within ``radius`` bits.
 
     ``fps`` has distinct fingerprints fp.  Inside a bucket only a spanning
     forest comes out, never all pairs.  Buckets over the size limit are
     dealt again by a second covering family on top of the first, and so on;
-    each level fixes about half of the bits that were left free.
+    each level fixes about half of the bits that were left free.  What is
+    over the limit after all levels is compared block by block.
     """
     out, members = [], fps.select("fp", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("mask"))
-    for level in range(levels):
-        family = masks(radius, level)
-        # t numbers the path of tables taken, mask is all bits that they hold fixed
-        tables = F.explode(F.array(*(F.struct(F.lit(v + 1).cast("long").alias("v"), F.lit(m).cast("long").alias("m")) for v, m in enumerate(family))))
-        dealt = members.select("fp", "t", "mask", tables.alias("x")).select("fp", (F.col("t") * 64 + F.col("x.v")).alias("t"), F.col("mask").bitwiseOR(F.col("x.m")).alias("mask"))
-        dealt = dealt.select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        found = written(dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_linker(radius, bucket), "a long, b long, hot int"), f"links{level}")
+    for level in range(levels + 1):
+        if level < levels:
+            family = masks(radius, level)
+            # t numbers the path of tables taken, mask is all bits that they hold fixed
+            tables = F.explode(F.array(*(F.struct(F.lit(v + 1).cast("long").alias("v"), F.lit(m).cast("long").alias("m")) for v, m in enumerate(family))))
+            dealt = members.select("fp", "t", "mask", tables.alias("x")).select("fp", (F.col("t") * 64 + F.col("x.v")).alias("t"), F.col("mask").bitwiseOR(F.col("x.m")).alias("mask"))
+            dealt, limit = dealt.select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), bucket
+        else:
+            dealt, limit = _blocks(members.select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), bucket), 1 << 62
+        found = written(dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_linker(radius, limit), "a long, b long, hot int"), f"links{level}")
         out.append(found.where("hot = 0").select("a", "b"))
         hot = found.where("hot = 1")
         if hot.isEmpty():
@@ -162,8 +176,6 @@ def links_within(fps: DataFrame, radius: int = 4, levels: int = 6, bucket: int =
             mask = mask.bitwiseOR(F.element_at(F.array(*(F.lit(m).cast("long") for m in each)), (path % 64).cast("int")))
             path = F.floor(path / 64).cast("long") if k else path
         members = hot.select(F.col("a").alias("fp"), F.col("b").alias("t"), mask.alias("mask"))
-    else:
-        raise RuntimeError(f"buckets of over {bucket} fingerprints are left after {levels} levels")
     links = out[0]
     for x in out[1:]:
         links = links.union(x)
