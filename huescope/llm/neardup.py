@@ -11,14 +11,17 @@ few.  A pair of similarity s agrees in a group's three with about s ** 3, so
 all of 16 groups miss a pair of 0.8 once in some 90,000.
 
 Texts with equal sets are one class from the start.  A bucket compares its
-classes by small sketches and names for each its closest few; each such link
-is checked exactly on the whole shingle sets and what it connects becomes one
-component.  Rounds follow that name the next closest of other components,
-until no bucket holds two of different components that the sketches let pass
-and that were not checked.  A bucket over the limit is first compared in
-random parts, which joins what is dense; if several components are left, it is
-dealt again by the sketches, and what then is over the limit is compared block
-by block.
+classes by small sketches and names the links of a spanning tree over those
+that the sketches let pass, closest first; each link is checked exactly on the
+whole shingle sets and what it connects becomes one component.  A bucket whose
+links all hold is settled.  In the others rounds follow that name for each
+class its closest few of other components, then the next closest, until no two
+of different components are left that the sketches let pass and that were not
+checked.  The first group's buckets go first, so that a large group of copies
+is mostly one component before the others look at it.  A bucket over the limit
+is first compared in random parts, which joins what is dense; if several
+components are left, it is dealt again by the sketches, and what then is over
+the limit is compared block by block.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8, written
+from .common import bounded_batches, discard, utf8, written
 from .components import components
 from .simhash import links_within, shingle_hashes, simhash
 
@@ -80,26 +83,60 @@ def sketches(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("t")).mapInArrow(run, _SKETCHES_SQL)
 
 
-def _closest(least: float, similarity: float, first: int, last: int):
-    """Over rows sorted by key: the links of each class to those of another
-    component that rank from ``first`` to ``last`` among its closest in the
-    bucket, and the keys of the buckets where further ones follow."""
+def _agreement(marks: np.ndarray, n: np.ndarray, least: float, similarity: float, mine: slice) -> np.ndarray:
+    """Equal sketch bytes of some rows with all, -1 where the pair cannot be similar."""
+    same = (marks[mine, None] == marks[None]).sum(2, dtype=np.int16)
+    near = (same >= least * marks.shape[1]) & (np.minimum(n[mine, None], n) >= similarity * np.maximum(n[mine, None], n))
+    near[np.arange(len(near)), np.arange(len(n))[mine]] = False
+    return np.where(near, same, np.int16(-1))
+
+
+def _tree(comp: np.ndarray, same: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join whatever the agreements connect beyond the components
+    given, closest first: each component takes its closest link, and again."""
+    label, out = np.unique(comp, return_inverse=True)[1], []
+    while True:
+        away = np.where(label[:, None] != label[None], same, np.int16(-1))
+        to = away.argmax(1)
+        best = away[np.arange(len(to)), to]
+        rows = np.flatnonzero(best >= 0)
+        if not len(rows):
+            return out
+        rows = rows[np.lexsort((rows, -best[rows], label[rows]))]
+        rows = rows[np.concatenate(([True], label[rows][1:] != label[rows][:-1]))]
+        for i in rows.tolist():
+            j = int(to[i])
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+
+
+def _linker(least: float, similarity: float, first: int | None = None, last: int = 0):
+    """Over rows sorted by key, links (a, b, key) of the buckets' classes.
+
+    Without ``first``: a spanning tree's.  With it: those of each class to
+    classes of another component that rank from ``first`` to ``last`` among
+    its closest, and (null, null, key) for buckets where further ones follow.
+    """
     slots = 1 << SLOTS_LOG2
 
-    def links(cls, comp, n, marks, out):
-        more, step = False, max(1, (1 << 18) // (len(cls) * slots))
+    def ranked(cls, comp, n, marks):
+        x, y, more, step = [], [], False, max(1, (1 << 18) // len(cls))
         for a in range(0, len(cls), step):
             mine = slice(a, a + step)
-            same = (marks[mine, None] == marks[None]).sum(2)
-            near = (same >= least * slots) & (np.minimum(n[mine, None], n) >= similarity * np.maximum(n[mine, None], n))
-            near[np.arange(len(near)), np.arange(a, a + len(near))] = False
-            rank = np.argsort(np.argsort(np.where(near, -same, 1), axis=1, kind="stable"), axis=1, kind="stable")
-            near &= comp[mine, None] != comp
+            same = _agreement(marks, n, least, similarity, mine)
+            rank = np.argsort(np.argsort(-same, axis=1, kind="stable"), axis=1, kind="stable")
+            near = (same >= 0) & (comp[mine, None] != comp)
             more = more or bool((near & (rank >= last)).any())
-            x, y = np.nonzero(near & (rank >= first) & (rank < last))
-            x, y = cls[mine][x], cls[y]
-            out.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-        return more
+            i, j = np.nonzero(near & (rank >= first) & (rank < last))
+            x.append(i + a), y.append(j)
+        return np.concatenate(x), np.concatenate(y), more
+
+    def tree(cls, comp, n, marks):
+        step = max(1, (1 << 21) // (len(cls) * slots))
+        same = np.concatenate([_agreement(marks, n, least, similarity, slice(a, a + step)) for a in range(0, len(cls), step)])
+        pairs = np.array(_tree(comp, same), np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1], False
 
     def run(batches):
         tail = None
@@ -118,11 +155,13 @@ def _closest(least: float, similarity: float, first: int, last: int):
                 if comp[s] == comp[s:e].max() == comp[s:e].min():
                     continue
                 marks = np.frombuffer(b"".join(table.column("sketch").slice(s, e - s).to_pylist()), np.uint8).reshape(-1, slots)
-                if links(cls[s:e], comp[s:e], n[s:e], marks, out):
-                    open_.append(int(keys[s]))
-            x = np.array(sorted(out), np.int64).reshape(-1, 2)
-            pad = [None] * len(open_)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0].tolist() + pad, pa.int64()), pa.array(x[:, 1].tolist() + pad, pa.int64()), pa.array([None] * len(x) + open_, pa.int64())], names=["a", "b", "key"])
+                x, y, more = (tree if first is None else ranked)(cls[s:e], comp[s:e], n[s:e], marks)
+                x, y, key = cls[s:e][x], cls[s:e][y], int(keys[s])
+                out.update((a, b, key) for a, b in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
+                if more:
+                    open_.append((None, None, key))
+            rows = sorted(out) + open_
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "key"])
 
         for batch in batches:
             batch = pa.table(batch.columns, names=batch.schema.names)
@@ -182,14 +221,26 @@ def blocks(rows: DataFrame, bucket: int) -> DataFrame:
     return placed.join(tasks, ["key", "block"]).select(F.col("task").alias("key"), "cls", "n", "sketch")
 
 
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that no column of the frame has."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radius: int = 4, bucket: int = BUCKET, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group, columns unchanged.
 
     Groups are connected by links of at least ``similarity``.  Kept is the
     row with the group's smallest id (nulls last); of several such rows the
     one whose text hashes lowest, of equal rows one.  Texts without words
-    are one group.  The texts are read again to check the candidates, whose
-    ids are broadcast up to ``broadcast_rows`` and joined by shuffle beyond.
+    (null, empty, white space) are one group.  Extra columns may have any
+    name.  The texts are read again to check the candidates, whose ids are
+    broadcast up to ``broadcast_rows`` and joined by shuffle beyond.
     """
     bounded_batches(docs.sparkSession)
     marked = written(sketches(docs, shingle, id_col, text_col), "sketches")
@@ -203,6 +254,7 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t"))
     sets, links, roots = None, None, None
+    least = similarity - MARGIN
 
     def verify(candidates: DataFrame) -> None:
         """Check the links exactly and renew the components."""
@@ -217,34 +269,41 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
             read = texts.join(side, F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash"))).select("cls", "t")
             read = written(_sets(read, shingle).dropDuplicates(["cls"]), "sets")
             sets = read if sets is None else sets.union(read)
+        discard(wanted)
         pairs = candidates.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
         good = written(pairs.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
         if not good.isEmpty():
             links = good if links is None else links.union(good)
-            roots = components(links)
+            before, roots = roots, components(links)
+            discard(before)
 
     def in_components(rows: DataFrame) -> DataFrame:
         if roots is None:
             return rows.withColumn("comp", F.col("cls"))
         return rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
 
+    def look(rows: DataFrame, linker, others: DataFrame | None = None) -> DataFrame:
+        """Name links in each bucket and check them; what was named."""
+        sorted_ = in_components(rows).select("key", "cls", "comp", "n", "sketch").repartition("key").sortWithinPartitions("key", "cls")
+        found = written(sorted_.mapInArrow(linker, "a long, b long, key long"), "close")
+        close = found.where("a IS NOT NULL").select("a", "b")
+        candidates = written((close if others is None else close.union(others)).distinct(), "candidates")
+        if not candidates.isEmpty():
+            verify(candidates)
+        discard(candidates)
+        return found
+
     def compare(rows: DataFrame, others: DataFrame | None = None) -> None:
         """Link the classes of equal key until no two of different components
         are left unchecked that their sketches let pass."""
-        first, last = 0, CLOSEST
-        while True:
-            sorted_ = in_components(rows).select("key", "cls", "comp", "n", "sketch").repartition("key").sortWithinPartitions("key", "cls")
-            found = written(sorted_.mapInArrow(_closest(similarity - MARGIN, similarity, first, last), "a long, b long, key long"), "close")
-            close = found.where("a IS NOT NULL").select("a", "b")
-            candidates = written((close if others is None else close.union(others)).distinct(), "candidates")
-            others = None
-            if not candidates.isEmpty():
-                verify(candidates)
-            left = found.where("a IS NULL").select("key").distinct()
-            if left.isEmpty():
-                return
-            rows = rows.join(left, "key", "left_semi")
-            first, last = last, last * 8
+        found = look(rows, _linker(least, similarity), others)
+        failed = found if links is None else found.join(links, ["a", "b"], "left_anti")
+        open_ = written(failed.select("key").distinct(), "open")
+        at, to = 0, CLOSEST
+        while not open_.isEmpty():
+            found = look(rows.join(open_, "key", "left_semi"), _linker(least, similarity, at, to))
+            open_ = written(found.where("a IS NULL").select("key").distinct(), "open")
+            at, to = to, to * 8
 
     def parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
         """Rows of hot buckets dealt at random into smaller ones."""
@@ -262,9 +321,11 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
         return written(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > bucket), "hot")
 
     own = classes.select("cls", F.col("s.sketch").alias("sketch"), F.col("s.size").alias("n"), F.posexplode("s.keys").alias("g", "key"))
-    dealt = own.select(F.xxhash64("key").alias("key"), "cls", "n", "sketch")
+    dealt = own.select(F.xxhash64("key").alias("key"), "cls", "n", "sketch", "g")
     hot = hot_of(dealt)
-    compare(parted(dealt, hot), covered.union(shared))
+    spread = parted(dealt, hot)
+    compare(spread.where("g = 0").drop("g"), covered.union(shared))
+    compare(spread.where("g > 0").drop("g"))
     if not hot.isEmpty():
         again = written(rebanded(unsettled(dealt, hot)), "again")
         hotter = hot_of(again)
@@ -276,12 +337,13 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
     else:
         grouped = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(F.coalesce("root", "cls").alias("root"), "best")
         best = grouped.groupBy("root").agg(F.min("best").alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_kept"))
+    hash_, id_, kept_ = _fresh(docs, "_hash", "_id", "_kept")
+    kept = best.select(F.col("best.doc_id").alias(id_), F.col("best.hash").alias(kept_))
     often = marked.groupBy("doc_id", "hash").count().where("count > 1")
-    base = docs.withColumn("_hash", F.xxhash64(text))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept"))
+    base = docs.withColumn(hash_, F.xxhash64(text))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(kept_))
     left = base.join(kept, same, "left_semi")
     if often.isEmpty():
-        return left.drop("_hash")
-    again = often.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_kept"))
-    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates([id_col, "_hash"])).drop("_hash")
+        return left.drop(hash_)
+    again = often.select(F.col("doc_id").alias(id_), F.col("hash").alias(kept_))
+    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates([id_col, hash_])).drop(hash_)
