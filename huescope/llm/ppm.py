@@ -3,7 +3,9 @@
 Texts are coded word by word.  A word is its bytes and a closing 0x20, and
 its contexts reach back at most to the 0x20 in front of it, so a word's code
 length does not depend on its neighbours: it is worked out once for each
-distinct word and a text's length is an exact sum.
+distinct word and a text's length is an exact sum.  Likewise a byte's code
+length depends on its longest context and itself alone, its *gram*, and is
+worked out once for each distinct gram.
 
 Order ``k`` keeps the counts of every (k context bytes, next byte).  A byte
 is coded in the longest known context by PPM method C: a context seen T
@@ -21,6 +23,7 @@ import numpy as np
 
 END = b"\n"  # stands for the end of a text; no word can contain it
 CHUNK = 1 << 19
+MASKS = np.array([(1 << (8 * (k + 1))) - 1 for k in range(8)], np.uint64)  # the bytes of a gram by its context bytes
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +68,16 @@ def count_grams(words: list[bytes], weights: np.ndarray, order: int) -> list[tup
 
 
 class ByteTrie:
-    """Frozen context statistics; :meth:`bits` gives exact code lengths."""
+    """Frozen context statistics; :meth:`bits` gives exact code lengths.
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = []
-        shorter = None
-        for k, (keys, counts) in enumerate(levels):
+    ``levels``: (codes in order, counts over 0) for each number of context
+    bytes; those that follow the levels of ``base``, if it is given.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], base: "ByteTrie | None" = None):
+        self.levels = list(base.levels) if base is not None else []
+        shorter = self.levels[-1][:2] if self.levels else None
+        for k, (keys, counts) in enumerate(levels, len(self.levels)):
             context = keys >> np.uint64(8)
             start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, np.int64)
             total = np.add.reduceat(counts, start) if len(keys) else np.zeros(0)
@@ -86,15 +93,19 @@ class ByteTrie:
     def of_words(cls, words: list[bytes], weights: np.ndarray, order: int) -> "ByteTrie":
         return cls(count_grams(words, weights, order))
 
-    def _cost(self, data: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        n, top = len(data), len(self.levels) - 1
-        code = grams(data, top)
+    @property
+    def top(self) -> int:
+        return len(self.levels) - 1
+
+    def cost(self, code: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram, of ``reach`` context bytes."""
+        n = len(code)
         cost, less, kinds_less = np.zeros(n), np.zeros(n), np.zeros(n)
         open_ = np.arange(n)
-        for k in range(top, -1, -1):
+        for k in range(self.top, -1, -1):
             keys, counts, contexts, total, kinds, excluded = self.levels[k]
             here = open_[reach[open_] >= k]
-            wanted = code[here] & np.uint64((1 << (8 * (k + 1))) - 1)
+            wanted = code[here] & MASKS[k]
             at, known = _find(contexts, wanted >> np.uint64(8))
             here, at, wanted = here[known], at[known], wanted[known]
             room, escape = total[at] - less[here], kinds[at] - kinds_less[here]
@@ -112,12 +123,34 @@ class ByteTrie:
 
     def bits(self, words: list[bytes]) -> np.ndarray:
         """Code length in bits of each word with its closing byte."""
-        if not words:
-            return np.zeros(0)
-        data, reach, first = positions(words)
-        top = len(self.levels) - 1
-        cost = np.empty(len(data))
-        for a in range(1, len(data), CHUNK):
-            b, before = min(len(data), a + CHUNK), min(a, top)
-            cost[a:b] = self._cost(data[a - before : b], np.minimum(reach[a - before : b], top))[before:]
-        return np.add.reduceat(cost, first)
+        out = [np.zeros(0)]
+        for part in blocks(words):
+            code, reach, at, first = distinct_grams(part, self.top)
+            out.append(np.add.reduceat(self.cost(code, reach)[at], first))
+        return np.concatenate(out)
+
+
+def blocks(words: list[bytes], size: int = CHUNK):
+    """Slices of the words of about ``size`` bytes each."""
+    a = 0
+    while a < len(words):
+        b, n = a, 0
+        while b < len(words) and n < size:
+            n += len(words[b]) + 1
+            b += 1
+        yield words[a:b]
+        a = b
+
+
+def distinct_grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' distinct grams as (code, context bytes), which of them each
+    coded byte has, and the index of each word's first coded byte.
+
+    A gram with fewer than ``order`` context bytes starts with the closing
+    byte in front of its word, which never stands inside one, so no two grams
+    share a code.
+    """
+    data, reach, first = positions(words)
+    reach = np.minimum(reach, order)[1:]
+    code, which, at = np.unique(grams(data, order)[1:] & MASKS[reach], return_index=True, return_inverse=True)
+    return code, reach[which], at, first - 1
