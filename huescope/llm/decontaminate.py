@@ -2,12 +2,16 @@
 operations only.
 
 Texts become templates: numbers, units that follow a number, and names
-(capitalised words inside a sentence) turn into typed placeholders, all else
-into lower-case words.  Windows of template tokens are hashed and joined with
-the benchmark's.  A document is tied to an item when it holds at least
-``coverage`` of the item's windows and the slots agree: each value that the
-item has in a slot is replaced by one value throughout, so a question with
-new numbers or names is caught and an accidental template is not.
+(capitalised words) turn into typed placeholders, all else into lower-case
+words.  Windows of template tokens are hashed and joined with the
+benchmark's, in two readings: with the names as placeholders, and with the
+names as words, so that neither new names nor another case hides a copy.
+
+A document is tied to an item when it holds at least ``coverage`` of the
+item's windows, either value for value, anywhere, or in one place with slots
+that agree: there each value that the item has in a slot is replaced by one
+value throughout.  So a question with new numbers or names is caught, as often
+as the document holds it, and an accidental template is not.
 """
 
 from __future__ import annotations
@@ -18,39 +22,48 @@ from pyspark.sql import functions as F
 #: Unit words that turn into a placeholder after a number.
 UNITS = "%|€|£|cents?|cm|degrees?|dollars?|days?|euros?|feet|ft|g|grams?|h|hours?|inch(?:es)?|kg|kilograms?|kilometers?|kilometres?|km|kmh|l|liters?|litres?|m|meters?|metres?|miles?|min|minutes?|ml|mm|months?|mph|pounds?|s|seconds?|tons?|weeks?|years?|yards?"
 WINDOW = 8
-
+LITERALS = 3  # a window with fewer words has to agree in its values
+SHORTEST = 5  # items of fewer tokens have to be the whole document
+BAND = 16  # places of one copy may be shifted by less, where words were put in or left out
 
 #: Placeholders start with this character, then d, u or n, then the replaced value.
 MARK = "\x01"
-_WORDS = r"[\x20\t\n\x0b\f\r]+"
-_PUNCTUATION = r"[!-/:-@\[-`{-~\u00a1\u00ab\u00b7\u00bb\u00bf]+"
+_SPACE = r"[\x20\t\n\x0b\f\r]+"
+_PUNCTUATION = r"[!-/:-@\[-`{-~¡«·»¿]+"
+_UPPER = r"A-ZÀ-ÖØ-Þ"
 _LEVELS = 3  # bits of the filter that a window must have set
 
 
 def template(text: Column) -> Column:
-    """The text with typed placeholders, in lower case, without punctuation;
-    each pattern starts with a plain character, so that most positions are
-    passed by at once."""
-    t = F.regexp_replace(text, r" (?<![.!?:] )([A-Z\u00c0-\u00de][\p{Ll}]+)(?!\p{L})", f" {MARK}n$1")
-    numbers = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{MARK}])[0-9]+(?:[.,][0-9]+)*", f" {MARK}d$0 ")
-    units = F.regexp_replace(numbers, rf"(?<=[0-9] {{1,2}})({UNITS})(?![\p{{L}}\p{{N}}])", f"{MARK}u$1")
+    """The text with typed placeholders, in lower case, without punctuation.
+
+    Each pattern starts with the character that it is about and looks back
+    from there, so that most positions are passed by at once.
+    """
+    t = F.regexp_replace(text, rf"([{_UPPER}])(?<![\p{{L}}\p{{N}}].)(\p{{Ll}}+)", f"{MARK}n$1$2")
+    numbers = F.regexp_replace(t, rf"([0-9])(?<![\p{{L}}\p{{N}}{MARK}].)([0-9]*(?:[.,][0-9]+)*)", f" {MARK}d$1$2 ")
+    units = F.regexp_replace(numbers, rf"([0-9] {{1,2}})({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{MARK}u$2")
     t = F.when(t.rlike("[0-9]"), units).otherwise(t)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), _PUNCTUATION, ""), _WORDS, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), _PUNCTUATION, ""), _SPACE, " "))
 
 
 def _tokens(df: DataFrame) -> DataFrame:
-    """The frame without its text, with token hashes ``_h`` (placeholders by
-    type only) and the tokens themselves ``_t`` where there are placeholders."""
+    """The frame without its text, with the hashes of its tokens, names as
+    words (``_a``) and names as placeholders (``_b``, null without names),
+    and the tokens themselves (``_v``, null without placeholders)."""
     keep = [c for c in df.columns if c != "text"]
     plain = df.select(*keep, template(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_s"))
-    marked = F.contains("_s", F.lit(MARK))
-    typed = F.when(marked, F.regexp_replace("_s", f"{MARK}([dun])[^ ]*", f"{MARK}$1")).otherwise(F.col("_s"))
-    tokens = F.when(F.col("_s") == "", F.array().cast("array<string>")).otherwise(F.split(typed, " "))
-    return plain.select(*keep, F.transform(tokens, lambda x: F.xxhash64(x)).alias("_h"), F.when(marked, F.split("_s", " ")).alias("_t"))
+    marked, named = F.contains("_s", F.lit(MARK)), F.contains("_s", F.lit(MARK + "n"))
+    counted = F.contains("_s", F.lit(MARK + "d"))
+    typed = F.when(counted, F.regexp_replace("_s", f"{MARK}([du])[^ ]*", f"{MARK}$1")).otherwise(F.col("_s"))
+    split = lambda c: F.when(F.col("_s") == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    hashes = lambda c: F.transform(split(c), lambda x: F.xxhash64(x))
+    words = F.when(named, F.replace(typed, F.lit(MARK + "n"), F.lit(""))).otherwise(typed)
+    return plain.select(*keep, hashes(words).alias("_a"), F.when(named, hashes(F.regexp_replace(typed, f"{MARK}n[^ ]*", f"{MARK}n"))).alias("_b"), F.when(marked, split(F.col("_s"))).alias("_v"))
 
 
-def _hash(i: Column, size: int) -> Column:
-    return F.xxhash64(F.slice("_h", i + 1, size), F.lit(size))
+def _hash(tokens: str, i: Column, size: int) -> Column:
+    return F.xxhash64(F.slice(tokens, i + 1, size), F.lit(size))
 
 
 def _bits(hashes: list[int]) -> tuple[Column, int]:
@@ -68,78 +81,115 @@ def _bits(hashes: list[int]) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>"), bits
 
 
-def _positions(size: int, whole: bool, filter_: tuple[Column, int] | None) -> Column:
-    """Starts of the windows of one size, those only that may be the benchmark's."""
-    n = F.size("_h")
-    fits = (n == size) if whole and size < WINDOW else (n >= size)
-    starts = F.when(fits, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+def _may(h: Column, filter_: tuple[Column, int] | None) -> Column:
+    out = F.lit(True)
     if filter_ is not None:
         words, bits = filter_
-
-        def may(i: Column) -> Column:
-            out = None
-            for k in range(_LEVELS):
-                at = F.shiftrightunsigned(_hash(i, size), 21 * k).bitwiseAND(F.lit(bits - 1))
-                hit = F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-                out = hit if out is None else out & hit
-            return out
-
-        starts = F.filter(starts, may)
-    mark = lambda x: F.when(x.startswith(MARK), x).otherwise("")
-    slots = lambda i: F.when(F.col("_t").isNotNull(), F.array_join(F.transform(F.slice("_t", i + 1, size), mark), "|"))
-    return F.transform(starts, lambda i: F.struct(i.alias("i"), _hash(i, size).alias("w"), slots(i).alias("s")))
+        for k in range(_LEVELS):
+            at = F.shiftrightunsigned(h, 21 * k).bitwiseAND(F.lit(bits - 1))
+            out &= F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return out
 
 
-def _windows(tokens: DataFrame, sizes: list[int], whole: bool, filter_: tuple[Column, int] | None = None) -> DataFrame:
-    """One row a window: the frame's columns, hash ``w``, start ``pos`` and
-    ``slots`` (placeholders in their places; null where the window has none)."""
-    keep = [c for c in tokens.columns if c not in ("_h", "_t")]
-    arrays = [_positions(s, whole, filter_) for s in sizes]
-    rows = tokens.select(*keep, F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("_w"))
-    return rows.select(*keep, F.col("_w.w").alias("w"), F.col("_w.i").alias("pos"), F.when(F.contains("_w.s", F.lit(MARK)), F.col("_w.s")).alias("slots"))
+def _slots(i: Column, size: int, names: bool) -> Column:
+    """The window's values in their places, null where it has none."""
+    is_slot = (lambda x: x.startswith(MARK)) if names else (lambda x: x.startswith(MARK) & ~x.startswith(MARK + "n"))
+    return F.array_join(F.transform(F.slice("_v", i + 1, size), lambda x: F.when(is_slot(x), x).otherwise("")), "|")
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.5, shortest: int = 5, broadcast_rows: int = 400_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _of_size(size: int, whole: bool, filter_: tuple[Column, int] | None, exact: bool) -> list[Column]:
+    """Arrays of (i, w, s, values) for the windows of one size: start, hash,
+    slots, and whether w is of the values; those only that may be the
+    benchmark's."""
+    n = F.size("_a")
+    fits = (n == size) if size < SHORTEST or whole and size < WINDOW else (n >= size)
+    starts = F.when(fits, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+    made = lambda i, w, s, v: F.struct(i.alias("i"), w.alias("w"), F.when(F.contains(s, F.lit(MARK)), s).alias("s"), F.lit(v).alias("values"))
+    words = F.filter(starts, lambda i: _may(_hash("_a", i, size), filter_))
+    out = [F.transform(words, lambda i: made(i, _hash("_a", i, size), _slots(i, size, False), False))]
+    # where no name is among its tokens, a window reads the same in both ways
+    names = F.filter(F.when(F.col("_b").isNotNull(), starts).otherwise(F.array().cast("array<int>")), lambda i: _may(_hash("_b", i, size), filter_) & (_hash("_b", i, size) != _hash("_a", i, size)))
+    out.append(F.transform(names, lambda i: made(i, _hash("_b", i, size), _slots(i, size, True), False)))
+    if exact:  # the few windows of little but placeholders, by their values
+        value = lambda i: F.xxhash64(F.array_join(F.slice(F.col("_v"), i + 1, size), " "), F.lit(-size))
+        some = F.filter(F.when(F.col("_v").isNotNull(), starts).otherwise(F.array().cast("array<int>")), lambda i: _may(value(i), filter_))
+        out.append(F.transform(some, lambda i: made(i, value(i), F.lit(""), True)))
+    return out
+
+
+def _windows(tokens: DataFrame, sizes: list[int], whole: bool, filter_: tuple[Column, int] | None, exact: bool) -> DataFrame:
+    """One row a window: the frame's columns, hash ``w``, start ``pos``,
+    ``slots``, ``values`` and the window's number of ``words``."""
+    keep = [c for c in tokens.columns if c not in ("_a", "_b", "_v")]
+    arrays = [F.transform(a, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["s"].alias("s"), x["values"].alias("values"), F.lit(s).alias("size"))) for s in sizes for a in _of_size(s, whole, filter_, exact)]
+    rows = tokens.select(*keep, F.explode(F.concat(*arrays)).alias("_w"))
+    filled = F.coalesce(F.size(F.filter(F.split("_w.s", r"\|"), lambda x: x != "")), F.lit(0))
+    return rows.select(*keep, F.col("_w.w").alias("w"), F.col("_w.i").alias("pos"), F.col("_w.s").alias("slots"), F.col("_w.values").alias("values"), (F.col("_w.size") - F.when(F.col("_w.s").isNull(), 0).otherwise(filled)).alias("words"))
+
+
+def item_windows(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(item_id, w, ipos, item_slots, values) of every item's windows, each
+    hash of an item once, at its first place.  Windows of fewer than
+    :data:`LITERALS` words go by their values."""
+    items = _tokens(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))).where(F.size("_a") > 0)
+    rows = _windows(items, list(range(1, WINDOW + 1)), True, None, True)
+    # what goes by its values does so where its words are too few in the reading with names
+    least = rows.where("not values").groupBy("item_id", "pos").agg(F.min("words").alias("least"))
+    good = rows.join(least, ["item_id", "pos"]).where(F.when(F.col("values"), F.col("least") < LITERALS).otherwise(F.col("words") >= LITERALS))
+    first = good.groupBy("item_id", "w").agg(F.min(F.struct("pos", "slots", "values")).alias("f"))
+    # one of few tokens and no placeholder is left out by neither rule
+    bare = rows.where("not values").join(good.select("item_id").distinct(), "item_id", "left_anti").groupBy("item_id", "w").agg(F.min(F.struct("pos", "slots", "values")).alias("f"))
+    return first.union(bare).select("item_id", "w", F.col("f.pos").alias("ipos"), F.col("f.slots").alias("item_slots"), F.col("f.values").alias("values"))
+
+
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.5, broadcast_rows: int = 400_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item found in it: doc_id,
     item_id, windows (different ones matched), item_windows, position (of
-    the first, in template tokens), reparameterised (a slot differs).
-
-    Items shorter than a window count as one window of their own length;
-    items of fewer than ``shortest`` template tokens, null or empty texts
-    match nothing.  Repeated documents are judged each by itself and rows
-    that agree in id and finding are returned once.  Up to
-    ``broadcast_rows`` benchmark windows are broadcast; more are joined by a
-    shuffle, whose hot windows adaptive execution splits.
+    the first, in template tokens), reparameterised (no copy value for value).
+
+    Items shorter than a window count as one window of their own length,
+    and those of fewer than :data:`SHORTEST` template tokens must be the whole
+    document.  Null or empty texts match nothing.  Repeated documents are
+    judged each by itself and rows that agree in id and finding are returned
+    once.  Up to ``broadcast_rows`` benchmark windows are broadcast; more are
+    joined by a shuffle, whose hot windows adaptive execution splits.
     """
-    items = _tokens(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")))
-    short = sorted(r.n for r in items.select(F.size("_h").alias("n")).where((F.col("n") >= shortest) & (F.col("n") < WINDOW)).distinct().collect())  # at most WINDOW values
-    sizes = [*short, WINDOW]
-    bench = _windows(items, sizes, whole=True).groupBy("item_id", "w").agg(F.min(F.struct("pos", "slots")).alias("first"))
-    bench = bench.select("item_id", "w", F.col("first.slots").alias("item_slots"))
-    totals = bench.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    from .common import written
+
+    bench = written(item_windows(benchmark, item_col=item_col, item_text_col=item_text_col), "benchmark")
+    short = _tokens(benchmark.select(F.col(item_text_col).alias("text"))).select(F.least(F.size("_a"), F.lit(WINDOW)).alias("n")).where("n > 0").distinct().collect()  # at most WINDOW values
+    sizes = sorted(r.n for r in short) or [WINDOW]
+    totals = bench.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
     known = bench.select("w").distinct().limit(broadcast_rows + 1).collect()
     small = len(known) <= broadcast_rows
-    side = F.broadcast(bench) if small else bench
+    exact = not bench.where("values").isEmpty()
+    side = bench.select("item_id", "w", "ipos", "item_slots")
+    side = F.broadcast(side) if small else side
     rows = _tokens(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text")))
-    hits = _windows(rows, sizes, whole=False, filter_=_bits([r.w for r in known]) if small else None).join(side, "w")
-    first = hits.groupBy("doc_id", "_row", "item_id", "w").agg(F.min("pos").alias("pos"), F.min("item_slots").alias("item_slots"), F.collect_set("slots").alias("seen"))
-    # every way in which the document fills the window's slots; the one that agrees with the item wins
-    filled = F.when(F.array_contains("seen", F.col("item_slots")), F.col("item_slots")).otherwise(F.array_min("seen"))
-    pairs = F.when(F.col("item_slots").isNull(), F.array().cast("array<string>")).otherwise(
-        F.filter(F.zip_with(F.split("item_slots", r"\|"), F.split(filled, r"\|"), lambda a, b: F.when(a != "", F.concat_ws("\x02", a, b))), lambda x: x.isNotNull()))
-    by = first.withColumn("pairs", pairs).groupBy("doc_id", "_row", "item_id").agg(
-        F.count("*").alias("windows"), F.sum(F.when(F.col("item_slots").isNull(), 1).otherwise(0)).alias("plain"), F.min("pos").alias("position"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    left = F.transform("pairs", lambda p: F.substring_index(p, "\x02", 1))
-    consistent = F.size(F.array_distinct(left)) == F.size("pairs")
-    joined = by.join(F.broadcast(totals) if small else totals, "item_id")
-    enough = F.when(consistent, F.col("windows")).otherwise(F.col("plain")) >= F.col("item_windows") * F.lit(coverage)
-    changed = F.exists("pairs", lambda p: F.substring_index(p, "\x02", 1) != F.substring_index(p, "\x02", -1))
-    return joined.where(enough).select("doc_id", "item_id", "windows", "item_windows", F.col("position").cast("long").alias("position"), changed.alias("reparameterised")).distinct()
+    hits = _windows(rows, sizes, False, _bits([r.w for r in known]) if small else None, exact).join(side, "w")
+    left, right = F.split("item_slots", r"\|"), F.split("slots", r"\|")
+    pairs = F.when(F.col("item_slots").isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.zip_with(left, right, lambda a, b: F.when(a != "", F.concat_ws("\x02", a, b))), lambda x: x.isNotNull()))
+    shift = F.col("pos") - F.col("ipos")
+    # a place: one shift, or a band of shifts in either of two halfway overlapping rows of bands
+    places = F.explode(F.array(F.struct(F.lit(0).alias("kind"), shift.alias("at")), *(F.struct(F.lit(k + 1).alias("kind"), F.floor((shift + k * BAND // 2) / BAND).cast("int").alias("at")) for k in (0, 1)), F.struct(F.lit(3).alias("kind"), F.lit(0).alias("at"))))
+    same = F.col("item_slots").eqNullSafe(F.col("slots"))
+    hits = hits.select("doc_id", "_row", "item_id", "ipos", "pos", pairs.alias("pairs"), same.alias("same"), places.alias("place")).where((F.col("place.kind") < 3) | F.col("same"))
+    by = hits.groupBy("doc_id", "_row", "item_id", "place").agg(F.size(F.collect_set("ipos")).alias("windows"), F.min("pos").alias("position"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    values = F.transform("pairs", lambda p: F.substring_index(p, "\x02", 1))
+    agrees = (F.col("place.kind") == 3) | (F.size(F.array_distinct(values)) == F.size("pairs"))
+    joined = by.where(agrees).join(F.broadcast(totals) if small else totals, "item_id")
+    enough = joined.where(F.col("windows") >= F.col("item_windows") * F.lit(coverage))
+    found = enough.groupBy("doc_id", "_row", "item_id").agg(F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"), F.min("position").cast("long").alias("position"), (F.max("place.kind") < 3).alias("reparameterised"))
+    return found.select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), F.col("item_windows").cast("long").alias("item_windows"), "position", "reparameterised").distinct()
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose id was tied to an item; rows with a
-    null id stay unless a null-id row was tied.  The ids found are joined
-    back, by broadcast only where Spark's own size check allows it."""
-    found = find_contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col(options.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    null id stay unless a null-id row was tied.  Extra columns may have any
+    name.  The ids found are joined back, by broadcast only where Spark's own
+    size check allows it."""
+    name = "_found"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    found = find_contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col(options.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -88,5 +88,69 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op4_decontaminate": rf"""
+WITH texts AS (
+  SELECT 'd' AS src, row_number() OVER () AS row, doc_id AS id, coalesce(text, '') AS t FROM documents
+  UNION ALL
+  SELECT 'b', row_number() OVER (), item_id, coalesce(text, '') FROM benchmark
+), named AS (
+  SELECT * REPLACE (regexp_replace(t, '(^|[^\p{{L}}\p{{N}}])([{decontaminate._UPPER}]\p{{Ll}}+)', '\1' || chr(1) || 'n\2', 'g') AS t) FROM texts
+), numbered AS (
+  SELECT * REPLACE (CASE WHEN regexp_matches(t, '[0-9]') THEN
+    regexp_replace(regexp_replace(t, '(^|[^\p{{L}}\p{{N}}' || chr(1) || '])([0-9]+(?:[.,][0-9]+)*)', '\1 ' || chr(1) || 'd\2 ', 'g'),
+      '([0-9] {{1,2}})({decontaminate.UNITS})($|[^\p{{L}}\p{{N}}])', '\1' || chr(1) || 'u\2\3', 'g') ELSE t END AS t) FROM named
+), plain AS (
+  SELECT src, row, id, trim(regexp_replace(regexp_replace(lower(t), '{decontaminate._PUNCTUATION}', '', 'g'), '[\x20\t\n\x0b\f\r]+', ' ', 'g')) AS s FROM numbered
+), typed AS (
+  SELECT *, regexp_replace(s, chr(1) || '([du])[^ ]*', chr(1) || '\1', 'g') AS y FROM plain WHERE s <> ''
+), tokens AS (
+  SELECT src, row, id, string_split(s, ' ') AS v, string_split(replace(y, chr(1) || 'n', ''), ' ') AS a,
+         string_split(regexp_replace(y, chr(1) || 'n[^ ]*', chr(1) || 'n', 'g'), ' ') AS b
+  FROM typed
+), sizes AS (
+  SELECT DISTINCT least(len(a), {decontaminate.WINDOW}) AS size FROM tokens WHERE src = 'b'
+), starts AS (
+  SELECT src, row, id, size, v, a, b, unnest(range(len(a) - size + 1)) AS pos FROM tokens, sizes
+  WHERE CASE WHEN size < {decontaminate.SHORTEST} OR src = 'b' AND size < {decontaminate.WINDOW} THEN len(a) = size ELSE len(a) >= size END
+), slices AS (
+  SELECT src, row, id, size, pos, v[pos + 1 : pos + size] AS v, a[pos + 1 : pos + size] AS a, b[pos + 1 : pos + size] AS b FROM starts
+), readings AS (
+  SELECT src, row, id, size, pos, size || ':' || array_to_string(a, ' ') AS w, false AS by_value,
+         list_transform(v, lambda x: CASE WHEN x[1] = chr(1) AND x[2] <> 'n' THEN x ELSE '' END) AS slots FROM slices
+  UNION ALL
+  SELECT src, row, id, size, pos, size || ':' || array_to_string(b, ' '), false, list_transform(v, lambda x: CASE WHEN x[1] = chr(1) THEN x ELSE '' END)
+  FROM slices WHERE a <> b
+  UNION ALL
+  SELECT src, row, id, size, pos, 'v' || size || ':' || array_to_string(v, ' '), true, list_transform(v, lambda x: '') FROM slices
+), filled AS (
+  SELECT *, size - len(list_filter(slots, lambda x: x <> '')) AS words, min(CASE WHEN by_value THEN 99 ELSE size - len(list_filter(slots, lambda x: x <> '')) END) OVER (PARTITION BY row, pos) AS least
+  FROM readings WHERE src = 'b'
+), good AS (
+  SELECT row, id, w, min(pos) AS ipos, arg_min(slots, pos) AS slots FROM filled
+  WHERE CASE WHEN by_value THEN least < {decontaminate.LITERALS} ELSE words >= {decontaminate.LITERALS} END GROUP BY row, id, w
+), bench AS (
+  SELECT id AS item_id, w, ipos, slots AS item_slots FROM good
+  UNION ALL
+  SELECT id, w, min(pos), arg_min(slots, pos) FROM filled WHERE NOT by_value AND id NOT IN (SELECT id FROM good) GROUP BY id, w
+), totals AS (
+  SELECT item_id, count(DISTINCT ipos) AS item_windows FROM bench GROUP BY item_id
+), hits AS (
+  SELECT r.row, r.id AS doc_id, item_id, ipos, pos, pos - ipos AS shift, r.slots = item_slots AS same,
+         list_filter(list_transform(list_zip(item_slots, r.slots), lambda p: CASE WHEN p[1] <> '' THEN p[1] || chr(2) || p[2] END), lambda x: x IS NOT NULL) AS pairs
+  FROM readings r JOIN bench USING (w) WHERE src = 'd'
+), places AS (
+  SELECT *, unnest([{{'kind': 0, 'at': shift}}, {{'kind': 1, 'at': CAST(floor(shift / {decontaminate.BAND}.0) AS BIGINT)}},
+    {{'kind': 2, 'at': CAST(floor((shift + {decontaminate.BAND // 2}) / {decontaminate.BAND}.0) AS BIGINT)}}, {{'kind': 3, 'at': 0}}]) AS place FROM hits
+), judged AS (
+  SELECT row, doc_id, item_id, place, count(DISTINCT ipos) AS windows, min(pos) AS position, list_distinct(flatten(list(pairs))) AS pairs
+  FROM places WHERE place.kind < 3 OR same GROUP BY row, doc_id, item_id, place
+), found AS (
+  SELECT row, doc_id, item_id, max(windows) AS windows, max(item_windows) AS item_windows, min(position) AS position, max(place.kind) < 3 AS reparameterised
+  FROM judged JOIN totals USING (item_id)
+  WHERE (place.kind = 3 OR len(list_distinct(list_transform(pairs, lambda p: split_part(p, chr(2), 1)))) = len(pairs)) AND windows >= 0.5 * item_windows
+  GROUP BY row, doc_id, item_id
+)
+SELECT DISTINCT doc_id, item_id, windows, item_windows, position, reparameterised FROM found
 """,
 }
