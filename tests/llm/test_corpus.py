@@ -58,7 +58,7 @@ def test_near_duplicates_equal_brute_force(spark, sf):
 
 def test_covering_masks_miss_no_pair():
     rng = np.random.default_rng(4)
-    for level in range(3):
+    for level in range(6):
         family = [m & (1 << 64) - 1 for m in simhash.masks(4, level)]
         for _ in range(3000):
             diff = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
@@ -71,7 +71,12 @@ def test_large_buckets_are_dealt_finer(spark):
     fps = sorted({s ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False)) for s in seeds for _ in range(120)} | {int(x) for x in rng.integers(0, 2**63, 200)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     table = spark.createDataFrame([(f,) for f in signed], "fp long")
-    links = simhash.links_within(table, 4, bucket=12).distinct().collect()
+    for levels in (6, 1, 2):
+        check_links(spark, table, fps, signed, levels)
+
+
+def check_links(spark, table, fps, signed, levels):
+    links = simhash.links_within(table, 4, levels=levels, bucket=12).distinct().collect()
     got = {}
     roots = components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long"))
     mapped = {r.node: r.root for r in roots.collect()}
@@ -112,10 +117,32 @@ def test_lm_scores_equal_direct_counting(spark, sf):
     assert len(nothing) == len(ODD_TEXTS) + 1 and {r.n_known for r in nothing} == {0}
 
 
-def test_trie_order_follows_its_size(spark):
-    words = spark.createDataFrame([(w.encode(), 1) for w in "abcd abce bcde".split()], "word binary, c long")
-    assert len(lmscore.learn_trie(words, 4, 10**6).levels) == 5
-    assert len(lmscore.learn_trie(words, 4, 1).levels) == 1
+def test_gram_costs_equal_the_whole_trie_at_the_real_order(spark, sf):
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(250).select("text").collect()]
+    counts = Counter(w for t in real[:200] for w in (t or "").lower().encode().split())
+    asked = Counter({w: 0 for t in real for w in (t or "").lower().encode().split()}) | counts
+    rows = [(w, counts[w], i // 500) for i, w in enumerate({**asked, **{w: 0 for t in real for w in (t or "").lower().encode().split()}})]
+    table = spark.createDataFrame(rows, "word binary, c long, chunk long")
+    trie = ByteTrie.of_words([w for w, c, _ in rows if c], np.array([float(c) for _, c, _ in rows if c]), 5)
+    grams = lmscore.written(table.mapInArrow(lmscore._word_grams(5), "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")), "g")
+    for chunk in (1, 3_000):  # groups of contexts one by one, and some together
+        costs = {r.code: r.bits for r in lmscore.gram_costs(grams, 5, chunk).collect()}
+        for w, _, _ in rows[::17]:
+            data = b" " + w + b" "
+            codes = [int.from_bytes(data[max(0, p - 5) : p + 1], "big") for p in range(1, len(data))]
+            assert math.isclose(sum(costs[c] for c in codes), trie.bits([w])[0], rel_tol=1e-9)
+    got = {bytes(r.word): r.bits for r in lmscore.word_bits(table, 5).collect()}
+    want = dict(zip([w for w, _, _ in rows], trie.bits([w for w, _, _ in rows])))
+    assert got.keys() == want.keys() and all(math.isclose(got[w], want[w], rel_tol=1e-9) for w in want)
+
+
+def test_lm_scores_at_the_default_order(spark):
+    texts = ["the cat sat on the mat", "the cat sat", None, "zebra " * 50, "x" * 4_000] * 20
+    got = {(r.doc_id, r.score) for r in lmscore.score(documents(spark, texts), F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1, chunk_bytes=40, hot_words=3).collect()}
+    counts = Counter(w for i, t in [*enumerate(texts), (4, texts[4])] if i % 2 == 0 for w in [*(t or "").encode().split(), END])
+    trie = ByteTrie.of_words(list(counts), np.array(list(counts.values()), float), 5)
+    for i, s in got:
+        assert math.isclose(s, -trie.bits([*(texts[i] or "").encode().split(), END]).sum() / math.log2(10), rel_tol=1e-9)
 
 
 def shingle_set(text, k=5):
@@ -190,6 +217,42 @@ def test_dense_families_are_connected(spark):
     assert sorted({r.doc_id for r in neardup.keep_one(documents(spark, texts)).collect()}) == brute_kept(texts)
 
 
+def test_clashing_columns_and_kept_rows(spark):
+    texts = [None, " ", "a b c d e f g h", "a b c d e f g h", "one two three four five six", "A b c d e f g h"]
+    docs = documents(spark, texts).withColumns({c: F.lit("x") for c in ("_hash", "_id", "_kept", "_found", "cls", "comp", "key", "hash")})
+    got = neardup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r._hash, r._id, r._kept) for r in got.collect()) == [(i, "x", "x", "x") for i in (0, 2, 4)]
+
+
+def test_trees_join_what_is_close():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(rng.integers(2, 40))
+        same = rng.integers(0, 100, (n, n)).astype(np.int16)
+        same = np.where(np.triu(same, 1) > 93, np.triu(same, 1), -1).astype(np.int16)
+        same = np.maximum(same, same.T)
+        comp = rng.integers(0, n, n)
+        root = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for i, j in np.argwhere(same >= 0):
+            root[find(comp[i])] = find(comp[j])
+        want = [find(c) for c in comp]
+        pairs = neardup._tree(comp, same)
+        assert all(same[i, j] >= 0 for i, j in pairs)
+        root.clear()
+        for i, j in pairs:
+            assert find(comp[i]) != find(comp[j])
+            root[find(comp[i])] = find(comp[j])
+        got = [find(c) for c in comp]
+        assert all((want[i] == want[j]) == (got[i] == got[j]) for i in range(n) for j in range(n))
+
+
 def test_blocks_let_all_classes_of_a_hot_bucket_meet(spark):
     rows = [(7, 1 if i < 40 else 2 if i < 70 else i, i, 9, b"s") for i in range(150)] + [(8, i % 2, i, 9, b"s") for i in range(30)]
     comp = {(k, i): c for k, c, i, _, _ in rows}
