@@ -17,16 +17,18 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Cache, Vocabulary, chunks, segments
+from .bpe import SPLIT, Vocabulary, segments
 from .common import bounded_batches, held
 
 #: Fixed value: the split pattern as the merge library compiles it.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LONG_SPACE = regex.compile(r"\s{2000}")
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -39,19 +41,18 @@ class Encoder:
             raise ValueError("the ids of this vocabulary do not follow its merge ranks")
         self.vocabulary = vocabulary
         self.encoding = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=vocabulary.ids, special_tokens={})
-        self.chunk = Cache(self._encode)
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        self.split = regex.compile(SPLIT)
 
     def __call__(self, text: str) -> bytes:
         out = []
         for part, special in segments(text, self.vocabulary):
             if special is not None:
-                out.append(np.array([special], "<u4").tobytes())
-                continue
-            cut = chunks(part)
-            out += [self._encode(part)] if cut is None else map(self.chunk.__getitem__, cut)
+                ids = [special]
+            elif _LONG_SPACE.search(part):  # the library's own splitting overflows its stack on these
+                ids = [i for piece in self.split.findall(part) for i in self.encoding._encode_single_piece(piece)]
+            else:
+                ids = self.encoding.encode_ordinary(part)
+            out.append(np.array(ids, "<u4").tobytes())
         return b"".join(out)
 
 
