@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: set[str] = set()
+_TABLES: list[DataFrame] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_path = path
+    _TABLES.append(back)
     return back
 
 
@@ -78,11 +80,17 @@ def _removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def written_since(mark: int | None = None) -> int | list[DataFrame]:
+    """Without a mark: one for now.  With it: the tables written since."""
+    return len(_TABLES) if mark is None else _TABLES[mark:]
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Remove tables of :func:`written` that nothing will read again."""
     for table_ in tables:
         if getattr(table_, "_written_path", None):
             _removed(table_.sparkSession, table_._written_path)
+            table_._written_path = None
 
 
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:

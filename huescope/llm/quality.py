@@ -87,11 +87,18 @@ class RankingModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, *, sample: int = 16_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> RankingModel | None:
-    """A model from at most about ``sample`` labelled documents, chosen by a
-    hash of the id.  Labels other than 0 and 1 are left out, repeated labels
-    count once, contradictory ones both.  None without labelled documents."""
+    """A model from about ``sample`` labelled documents at most, chosen by a
+    hash of the id.
+
+    Null ids and labels other than 0 and 1 are left out, repeated labels count
+    once, contradictory ones both.  A document that stands several times
+    counts once for each label, by the least of its rows' features; a null
+    text is an empty one.  Features are of whole texts, however long.  Labels
+    of one kind only give that kind's base rate for every text, no labelled
+    documents give None.
+    """
     bounded_batches(docs.sparkSession)
-    known = labels.where(usable & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).distinct()
+    known = labels.where(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).distinct()
     n = known.count()
     chosen = known.where(hash_share(F.col("i"), sample / max(n, 1)))
 
@@ -102,7 +109,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, *, sample: int = 1
 
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     # the sample is bounded, so broadcasting its ids spares a shuffle of all texts
-    rows = texts.join(F.broadcast(chosen), "i").select(F.col("i").cast("long").alias("i"), F.col("y").cast("int").alias("y"), "t").mapInArrow(run, "i long, y int, x array<double>").collect()
+    rows = texts.join(F.broadcast(chosen), "i").select(F.col("i").cast("long").alias("i"), F.col("y").cast("int").alias("y"), "t").mapInArrow(run, "i long, y int, x array<double>")
+    rows = rows.groupBy("i", "y").agg(F.min("x").alias("x")).collect()  # one row a chosen label
     if not rows:
         return None
     rows.sort(key=lambda r: (r.i, r.y, r.x))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boost import BoostedTrees
-from .common import hash_share, strings
+from .common import hash_share, sample_rows, strings
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,7 +100,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, labelled: Colu
     """page_id, host, path, rule, verdict, score for every row.
 
     ``labelled`` (1 block, 0 allow, else null) marks the URLs to learn from;
-    by default those that a rule fits.  At most about ``sample`` of them,
+    by default those that a rule fits.  At most ``sample`` different ones,
     chosen by a hash of the URL, are fitted on the driver.  ``score`` is the
     trees' probability of a block, for ruled rows too; from 0.5 on the
     method blocks.  A null url has empty host and path and no rule; without
@@ -115,7 +115,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, labelled: Colu
     label = F.col("given") if labelled is not None else F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
     known = base.where(label.isNotNull() & F.col("url").isNotNull()).select("url", "host", "path", label.alias("y"))
     n = known.count()
-    got = known.where(hash_share(F.col("url"), sample / max(n, 1))).limit(2 * sample).collect()
+    some = known.where(hash_share(F.col("url"), 2 * sample / max(n, 1))).dropDuplicates(["url", "y"])
+    got = sample_rows(some, ["url", "y"], sample)
     got.sort(key=lambda r: (r.url, r.y))
     model = spark.sparkContext.broadcast(UrlModel.fit([(r.url, r.host, r.path) for r in got], np.array([r.y for r in got], float)))
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("ruled", pa.string()), ("score", pa.float64())])

@@ -83,6 +83,29 @@ def test_token_counts_equal_the_library(spark, sf, tokenizer):
     assert as_rows(tokencount.count_tokens(documents(spark, []), queries.vocabulary_path())) == []
 
 
+LONG = ["a" * 60_000, " " * 300_000, "x" + " " * 5_000 + "\t" * 5_000 + "y", "\n \t" * 40_000 + "q", "1" * 50_000, "!" * 50_000, " " * 1_999 + "a", "\u4f60\u597d" * 20_000, "word " * 60_000]
+
+
+def test_very_long_texts(spark, tokenizer):
+    """Runs of white space that the merge library's own splitting cannot bear
+    among them."""
+    want = {i: (library_ids(tokenizer, t) + [0], 2 if i == 4 else 1) for i, t in enumerate(LONG)}
+    docs = documents(spark, LONG)
+    for doc_id, _, n, _ in as_rows(tokencount.count_tokens(docs, queries.vocabulary_path())):
+        assert n == len(want[doc_id][0]) - 1
+    check_packing(as_rows(packing.pack(docs, queries.vocabulary_path())), want)
+
+
+def test_caches_keep_no_long_keys():
+    from huescope.llm.bpe import Cache
+
+    made = Cache(len, size=10, longest=5)
+    assert [made["a" * n] for n in range(40)] == list(range(40)) and max(map(len, made)) == 5
+    for i in range(1000):
+        assert made[f"{i}"] == len(f"{i}")
+    assert len(made) <= 10 and len(made.old) <= 10
+
+
 def check_packing(got, want):
     """want: ids by document, in the order given; documents may repeat."""
     import zlib
