@@ -1,174 +1,21 @@
-"""Learning colour and area models from labelled pixels.
+"""Learning colour, shape, edge and area models from labelled pixels.
 
-A bin's pooled sample is bounded by its marked rectangles, so one bin is one
-group of a grouped map; everything over frames stays relational.
+A bin's marked pixels are aggregated to a histogram of their colours
+(:mod:`.palette`), which is all that comes together in one task; everything
+over frames stays relational, and only models, a handful, reach the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import verdicts
-from ..functions.color import log_bessel_i0
 from . import aggregates, assign, raster
+from .palette import JUNK_WARN, CalibrationError, Palette, learn_band, palettes  # noqa: F401
 from .raster import Model
 
-LOG_TAU = np.log(2 * np.pi)
-#: Percentiles of the colour band and floors, and the error bounds.
-BAND_Q, FLOOR_Q, JUNK_WARN = 95.0, 5.0, 0.05
-
-
-class CalibrationError(ValueError):
-    """The marked pixels do not define a colour."""
-
-
-def circular_distance(hue: np.ndarray, centre: float) -> np.ndarray:
-    return np.abs(np.mod(hue - centre + 180.0, 360.0) - 180.0)
-
-
-def circular_mean(hue: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    total = w.sum()
-    if not len(hue) or total <= 0:
-        raise CalibrationError("no defined hue with weight")
-    z = (w * np.exp(1j * np.radians(hue))).sum() / total
-    mean = float(np.degrees(np.angle(z)) % 360.0)
-    return (0.0 if mean >= 360.0 else mean), float(abs(z))
-
-
-def weighted_percentile(values: np.ndarray, w: np.ndarray, q: float) -> float:
-    order = np.argsort(values, kind="stable")
-    values, w = values[order], w[order]
-    middle = (np.cumsum(w) - w / 2) / w.sum()
-    return float(np.interp(q / 100.0, middle, values))
-
-
-def kappa_of(resultant: float) -> float:
-    if resultant <= 0:
-        return 0.0
-    return np.inf if resultant >= 1 else resultant * (2 - resultant**2) / (1 - resultant**2)
-
-
-@dataclass
-class Mixture:
-    """A von Mises bump over uniform junk."""
-
-    centre: float
-    kappa: float
-    weight: float
-    posterior: np.ndarray
-    log_likelihood: float
-    rounds: int
-
-
-def fit_mixture(hue: np.ndarray, centre: float, weight: float, kappa: float, kappa_max: float, w: np.ndarray | None = None) -> Mixture:
-    """Weighted expectation maximisation; the best state on the way counts.
-
-    The junk share never falls below one observation's mass.  It stops when
-    the gain is within rounding, after n rounds at the latest.
-    """
-    hue = np.asarray(hue, float)
-    w = np.ones(len(hue)) if w is None else np.asarray(w, float)
-    n, total = len(hue), w.sum()
-    if n == 1:
-        return Mixture(float(hue[0]), kappa_max, 1.0, np.ones(1), 0.0, 0)
-    least = w.min() / total
-    best, before = None, -np.inf
-    weight, kappa = float(np.clip(weight, least, 1 - least)), float(np.clip(kappa, 0, kappa_max))
-    for rounds in range(1, n + 1):
-        bump = np.log(weight) + kappa * np.cos(np.radians(hue - centre)) - LOG_TAU - log_bessel_i0(kappa)
-        dense = np.logaddexp(bump, np.log1p(-weight) - LOG_TAU)
-        posterior, likelihood = np.exp(bump - dense), float((w * dense).sum())
-        if best is None or likelihood > best.log_likelihood:
-            best = Mixture(centre, kappa, weight, posterior, likelihood, rounds)
-        if likelihood - before <= max(abs(likelihood), 1.0) * np.finfo(float).eps * n:
-            break
-        before = likelihood
-        pull = posterior * w
-        if pull.sum() <= 0:
-            break
-        centre, resultant = circular_mean(hue, pull)
-        weight = float(np.clip(pull.sum() / total, least, 1 - least))
-        kappa = float(min(kappa_of(resultant), kappa_max))
-    return best
-
-
-@dataclass
-class ColorModel:
-    """A learned colour band with its statistics and warnings."""
-
-    hue: float
-    tol: float
-    sat_min: float
-    val_min: float
-    stats: dict = field(default_factory=dict)
-    warnings: list[str] = field(default_factory=list)
-
-
-def learn_color(hue: np.ndarray, sat: np.ndarray, val: np.ndarray, w: np.ndarray | None = None, *, trust_marks: bool = False) -> ColorModel:
-    """Colour band of pooled pixels, of which over half must agree.
-
-    The mixture starts at the histogram's mode and at the mean direction;
-    the likelier end wins.  The band is the 95th percentile of the coherent
-    pixels' hue distance, the floors their 5th percentiles.  With
-    ``trust_marks`` an incoherent or too wide band is only warned of.
-    """
-    hue, sat, val = (np.asarray(x, float) for x in (hue, sat, val))
-    w = np.ones(len(hue)) if w is None else np.asarray(w, float)
-    if not len(hue):
-        raise CalibrationError("no pixels")
-    warnings = []
-    ok = ~np.isnan(hue)
-    h, s, v, u = hue[ok], sat[ok], val[ok], w[ok]
-    if not len(h):
-        raise CalibrationError("no defined hue")
-    mean, resultant = circular_mean(h, u)
-    chroma = s * v
-    bins = max(int(np.ceil(360.0 / (60.0 / (255.0 * weighted_percentile(chroma, u, 50.0))))), 1)
-    counts = np.bincount(np.minimum((h / (360.0 / bins)).astype(int), bins - 1), u, bins)
-    finest = 60.0 / (255.0 * chroma.max())
-    kappa_max = 1.0 / np.radians(finest / 2) ** 2
-
-    def start(centre: float) -> Mixture:
-        near = circular_distance(h, centre) < 90
-        share = u[near].sum() / u.sum()
-        r = circular_mean(h[near], u[near])[1] if near.any() else 0.0
-        return fit_mixture(h, centre, 2 * (share - 0.5), kappa_of(r), kappa_max, u)
-
-    fit = start((int(counts.argmax()) + 0.5) * 360.0 / bins)
-    if resultant > 0:
-        other = start(mean)
-        fit = other if other.log_likelihood > fit.log_likelihood else fit
-    coherent = fit.posterior >= 0.5
-    share = u[coherent].sum() / u.sum()
-    if share <= 0.5:
-        if not trust_marks:
-            raise CalibrationError(f"no majority colour: {share:.0%} of the marks agree")
-        warnings.append("no majority colour")
-    pool = coherent if coherent.any() else np.ones(len(h), bool)
-    tol = weighted_percentile(circular_distance(h, fit.centre)[pool], u[pool], BAND_Q)
-    if tol <= 0:
-        tol = finest / 2
-    if 2 * tol >= 180:
-        if not trust_marks:
-            raise CalibrationError("the hue band is as wide as the circle")
-        tol = np.nextafter(90.0, 0)
-        warnings.append("hue band as wide as the circle")
-    base = np.ones(len(h), bool) if trust_marks else pool
-    floors = [weighted_percentile(c[base], u[base], FLOOR_Q) for c in (s, v)]
-    if 0.05 * (base.sum() - 1) < 1:
-        warnings.append("few pixels: the floors are the smallest values seen")
-    junk = 1 - share
-    if junk > JUNK_WARN:
-        warnings.append(f"{junk:.0%} of the marked pixels are another colour")
-    stats = {"n_sample_px": len(hue), "n_valid_hue_px": len(h), "n_coherent_px": int(coherent.sum()), "junk_fraction": float(junk), "mixture_weight": fit.weight, "kappa": float(fit.kappa), "em_iterations": fit.rounds, "resultant_r": resultant}
-    return ColorModel(fit.centre, float(tol), *floors, stats, warnings)
-
-
 COLOR = "bin_id string, hue_center double, hue_tol double, sat_min double, val_min double, n_sample_px long, n_coherent_px long, junk_fraction double, kappa double, warnings array<string>, error string"
 
 
@@ -176,20 +23,21 @@ def learn_color_models(pixels: DataFrame, *, trust_marks: bool = False) -> DataF
     """One colour model a bin from its sampled pixels (bin_id, image_id, hue,
     sat, val); every image has one vote.  A bin that cannot be trained has
     NULLs and its error."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["image_id", "hue", "sat", "val"], kind="stable")
-        images = part.groupby("image_id").hue.transform("size").to_numpy(float)
-        row = {"bin_id": part.bin_id.iloc[0], "n_sample_px": len(part)}
+    names = [c.split()[0] for c in COLOR.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        row = dict.fromkeys(names) | {"bin_id": rows.bin_id.iloc[0], "n_sample_px": int(rows.n.sum()), "warnings": []}
         try:
-            m = learn_color(part.hue.to_numpy(float), part.sat.to_numpy(float), part.val.to_numpy(float), 1.0 / images, trust_marks=trust_marks)
-            few = ["samples from under two images"] if part.image_id.nunique() < 2 else []
-            row |= {"hue_center": m.hue, "hue_tol": m.tol, "sat_min": m.sat_min, "val_min": m.val_min, "n_coherent_px": m.stats["n_coherent_px"], "junk_fraction": m.stats["junk_fraction"], "kappa": m.stats["kappa"], "warnings": sorted(m.warnings + few), "error": None}
+            m = learn_band(Palette.of_rows(rows), trust_marks=trust_marks)
         except CalibrationError as e:
-            row |= {"warnings": [], "error": str(e)}
-        out = pd.DataFrame([row])
-        return out.reindex(columns=[c.split()[0] for c in COLOR.split(", ")]).astype({"n_coherent_px": "Int64"})
-
-    return pixels.select("bin_id", "image_id", "hue", "sat", "val").groupBy("bin_id").applyInPandas(run, COLOR)
+            row["error"] = str(e)
+        else:
+            alone = ["samples from under two images"] if rows["first"].min() == rows["last"].max() else []
+            row |= {"hue_center": m.hue, "hue_tol": m.tol, "sat_min": m.sat_min, "val_min": m.val_min, "warnings": sorted(m.warnings + alone)}
+            row |= {k: m.stats[k] for k in ("n_coherent_px", "junk_fraction", "kappa")}
+        return pd.DataFrame([row]).astype({"n_coherent_px": "Int64"})
+
+    return palettes(pixels).groupBy("bin_id").applyInPandas(run, COLOR)
 
 
 def shape_observations(pixels: DataFrame, models: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import aggregates, evidence, learning, reservoir
+from ..operators.palette import JUNK_WARN, CalibrationError, Palette, learn_band
 from ..operators.raster import Model
 from ..sources import frames
 
@@ -36,7 +37,7 @@ def skip_reason(state: dict[str, Column]) -> Column:
     return out
 
 
-def declaration(declared: DataFrame, bins: DataFrame, junk: DataFrame, junk_warn: float = learning.JUNK_WARN) -> DataFrame:
+def declaration(declared: DataFrame, bins: DataFrame, junk: DataFrame, junk_warn: float = JUNK_WARN) -> DataFrame:
     """The declaration (bin_id, state) of active bins, with a warning on bins
     whose marks held much of another colour; undeclared bins are an error."""
     active = evidence.active_bins(bins).select("bin_id")
@@ -54,9 +55,9 @@ def patch_coherence(patches: DataFrame, trust_marks: bool = False) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         try:
-            learning.learn_color(part.hue.to_numpy(float), part.sat.to_numpy(float), part.val.to_numpy(float), trust_marks=trust_marks)
+            learn_band(Palette.of_pixels(part.hue, part.sat, part.val), trust_marks=trust_marks)
             ok = True
-        except learning.CalibrationError:
+        except CalibrationError:
             ok = False
         return pd.DataFrame({"image_id": [part.image_id.iloc[0]], "bin_id": [part.bin_id.iloc[0]], "coherent": [ok]})
 

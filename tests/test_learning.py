@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from huescope.functions import color
-from huescope.operators import learning, raster, reservoir
+from huescope.operators import learning, palette, raster, reservoir
 from huescope.sources import frames
 
 YELLOW, BLUE, BROWN = (0.95, 0.80, 0.10), (0.15, 0.35, 0.85), (0.55, 0.30, 0.12)
@@ -23,37 +23,112 @@ def test_hsv_equals_the_standard_library(spark):
         assert got.hue is None if s == 0 else abs((got.hue - h * 360 + 180) % 360 - 180) < 1e-6
 
 
+def pixel_percentile(values, weights, q):
+    """The definition, pixel by pixel: each holds its weight about its midpoint."""
+    points, run = [], 0.0
+    for v, _, w in sorted((v, i, w) for i, (v, w) in enumerate(zip(values, weights))):
+        points.append(((run + w / 2) / sum(weights), v))
+        run += w
+    below = [p for p in points if p[0] <= q / 100]
+    above = [p for p in points if p[0] > q / 100]
+    if not below or not above:
+        return (below[-1] if below else above[0])[1]
+    (p0, v0), (p1, v1) = below[-1], above[0]
+    return v0 + (v1 - v0) * (q / 100 - p0) / (p1 - p0)
+
+
+def marked(rng, images=6, good=60, junk=25, centre=50.0):
+    """Marked pixels of several images with coarse, repeated colours."""
+    rows = []
+    for i in range(images):
+        n, m = int(rng.integers(1, good)), int(rng.integers(0, junk))
+        hue = np.concatenate((rng.normal(centre, 4, n), rng.uniform(0, 360, m))).round() % 360
+        rows += [(i, h, s, v) for h, s, v in zip(hue, rng.integers(120, 230, n + m) // 10 / 25.5, rng.integers(120, 230, n + m) // 10 / 25.5)]
+    return pd.DataFrame(rows, columns=["image_id", "hue", "sat", "val"])
+
+
+def test_percentiles_of_a_palette_are_those_of_its_pixels(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(8):
+        px = marked(rng).assign(bin_id="a")
+        weights = 1 / px.groupby("image_id").hue.transform("size")
+        p = palette.Palette.of_rows(palette.palettes(spark.createDataFrame(px)).toPandas())
+        assert len(p.hue) < len(px) and np.isclose(p.mass.sum(), px.image_id.nunique()) and p.n.sum() == len(px)
+        for q in (0, 3, 5, 20, 50, 77, 95, 100):
+            assert np.isclose(p.percentile(p.sat, q), pixel_percentile(px.sat, weights, q))
+            assert np.isclose(p.percentile(palette.apart(p.hue, 48.0), q), pixel_percentile(palette.apart(px.hue.to_numpy(), 48.0), weights, q))
+    assert palette.Palette.of_pixels([1.0, 2, 3], [1.0] * 3, [1.0] * 3).percentile(np.array([1.0, 2, 3]), 50) == 2.0
+
+
 def test_circular_statistics():
-    mean, r = learning.circular_mean(np.array([358.0, 359, 1, 2]), np.ones(4))
-    assert min(mean, 360 - mean) < 1e-9 and r > 0.99
-    assert learning.weighted_percentile(np.array([1.0, 2, 3]), np.ones(3), 50) == 2.0
+    around = palette.Palette.of_pixels([358.0, 359, 1, 2], np.ones(4), np.ones(4)).direction()
+    assert min(palette.degrees(around), 360 - palette.degrees(around)) < 1e-9 and abs(around) > 0.99
     assert np.isclose(color.log_bessel_i0(5.0), np.log(np.i0(5.0))) and np.isfinite(color.log_bessel_i0(5000.0))
+    assert palette.apart(np.array([359.0]), 1.0) == 2 and palette.concentration(1.0) == np.inf and palette.concentration(0.0) == 0
+
+
+def fit_of(hue, kappa_max=1e4):
+    p = palette.Palette.of_pixels(hue, np.ones(len(hue)), np.ones(len(hue)))
+    return p, palette.BumpFit(p, kappa_max)
+
+
+def density(hue, m):
+    """Of the mixture, by its formula."""
+    return m.weight * np.exp(m.kappa * np.cos(np.radians(hue - m.centre))) / (2 * np.pi * np.i0(m.kappa)) + (1 - m.weight) / (2 * np.pi)
 
 
 def test_mixture_finds_the_bump_within_n_rounds():
     rng = np.random.default_rng(21)
     hue = np.concatenate((rng.normal(120, 5, 800), rng.uniform(0, 360, 200))) % 360
-    fit = learning.fit_mixture(hue, 100.0, 0.5, 1.0, 1e4)
-    assert abs(fit.centre - 120) < 1 and abs(fit.weight - 0.8) < 0.05 and fit.rounds <= 1000
-    assert learning.fit_mixture(np.array([7.0]), 0, 0.5, 1, 10).centre == 7.0
+    _, fit = fit_of(hue)
+    m = fit.from_start(palette.Mixture(100.0, 1.0, 0.5))
+    assert abs(m.centre - 120) < 1 and abs(m.weight - 0.8) < 0.05 and m.rounds <= 1000
+    assert np.isclose(m.likelihood, np.log(density(hue, m)).sum())
+    # no state close by is likelier
+    for change in ({"centre": m.centre + 0.3}, {"centre": m.centre - 0.3}, {"kappa": m.kappa * 1.05}, {"kappa": m.kappa / 1.05}, {"weight": m.weight + 0.02}, {"weight": m.weight - 0.02}):
+        other = palette.replace(m, **change)
+        assert np.log(density(hue, other)).sum() < m.likelihood + 0.2
+    assert fit_of(np.array([7.0]), 10)[1].from_start(palette.Mixture(0, 1, 0.5)).centre == 7.0
+
+
+def test_a_palette_learns_what_its_pixels_teach(spark):
+    rng = np.random.default_rng(11)
+    for trust in (False, True):
+        px = marked(rng, images=9).assign(bin_id="a")
+        weights = 1 / px.groupby("image_id").hue.transform("size")
+        each = palette.learn_band(palette.Palette.of_pixels(px.hue, px.sat, px.val, weights), trust_marks=trust)
+        both = palette.learn_band(palette.Palette.of_rows(palette.palettes(spark.createDataFrame(px).repartition(5)).toPandas()), trust_marks=trust)
+        for name in ("hue", "tol", "sat_min", "val_min"):
+            assert np.isclose(getattr(each, name), getattr(both, name), rtol=1e-6), name
+        assert each.stats["n_coherent_px"] == both.stats["n_coherent_px"] and each.warnings == both.warnings
+        # the band and the floors, from the pixels that belong
+        belongs = np.array([m.belongs for m in [palette.BumpFit(palette.Palette.of_pixels(px.hue, px.sat, px.val, weights), 1e9).judged(palette.Mixture(each.hue, each.stats["kappa"], each.stats["mixture_weight"]))]][0])
+        hues = np.unique(px.hue)
+        mine = px[px.hue.isin(hues[belongs >= 0.5])]
+        assert np.isclose(each.tol, pixel_percentile(palette.apart(mine.hue.to_numpy(), each.hue), weights[mine.index], 95))
+        base = px if trust else mine
+        assert np.isclose(each.sat_min, pixel_percentile(base.sat, weights[base.index], 5))
 
 
 def test_color_model_needs_a_majority():
     rng = np.random.default_rng(3)
 
-    def pool(good, junk):
+    def learned_from(good, junk, **options):
         hue = np.concatenate((rng.normal(50, 3, good), rng.uniform(0, 360, junk))) % 360
-        return hue, rng.uniform(0.6, 0.9, good + junk), rng.uniform(0.5, 0.9, good + junk)
+        return palette.learn_band(palette.Palette.of_pixels(hue, rng.uniform(0.6, 0.9, good + junk), rng.uniform(0.5, 0.9, good + junk)), **options)
 
-    model = learning.learn_color(*pool(1200, 800))
+    model = learned_from(1200, 800)
     assert abs(model.hue - 50) < 1 and 4 < model.tol < 12 and model.warnings
-    with pytest.raises(learning.CalibrationError):
-        learning.learn_color(*pool(500, 1500))
-    assert learning.learn_color(*pool(500, 1500), trust_marks=True).warnings
-    with pytest.raises(learning.CalibrationError):
-        learning.learn_color(np.full(5, np.nan), np.ones(5), np.ones(5))
+    with pytest.raises(palette.CalibrationError):
+        learned_from(500, 1500)
+    assert learned_from(500, 1500, trust_marks=True).warnings
+    for nothing in (np.full(5, np.nan), np.zeros(0)):
+        with pytest.raises(palette.CalibrationError):
+            palette.learn_band(palette.Palette.of_pixels(nothing, np.ones(len(nothing)), np.ones(len(nothing))))
     two = np.concatenate((rng.normal(50, 3, 700), rng.normal(200, 3, 300)))
-    assert abs(learning.learn_color(two, np.full(1000, 0.8), np.full(1000, 0.8)).hue - 50) < 1
+    assert abs(palette.learn_band(palette.Palette.of_pixels(two, np.full(1000, 0.8), np.full(1000, 0.8))).hue - 50) < 1
+    same = palette.learn_band(palette.Palette.of_pixels(np.full(40, 77.0), np.full(40, 0.5), np.full(40, 0.5)))
+    assert same.hue == pytest.approx(77) and same.tol == pytest.approx(60 / 255 / 0.25 / 2)
 
 
 def picture(names, seed):
