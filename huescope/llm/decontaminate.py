@@ -47,10 +47,11 @@ def template(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), _PUNCTUATION, ""), _SPACE, " "))
 
 
-def _tokens(df: DataFrame) -> DataFrame:
+def _tokens(df: DataFrame, values: bool) -> DataFrame:
     """The frame without its text, with the hashes of its tokens, names as
     words (``_a``) and names as placeholders (``_b``, null without names),
-    and the tokens themselves (``_v``, null without placeholders)."""
+    the tokens themselves (``_v``, null without placeholders) and, if they are
+    asked for, hashes of the tokens' values (``_e``, else null)."""
     keep = [c for c in df.columns if c != "text"]
     plain = df.select(*keep, template(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_s"))
     marked, named = F.contains("_s", F.lit(MARK)), F.contains("_s", F.lit(MARK + "n"))
@@ -59,18 +60,21 @@ def _tokens(df: DataFrame) -> DataFrame:
     split = lambda c: F.when(F.col("_s") == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
     hashes = lambda c: F.transform(split(c), lambda x: F.xxhash64(x))
     words = F.when(named, F.replace(typed, F.lit(MARK + "n"), F.lit(""))).otherwise(typed)
-    return plain.select(*keep, hashes(words).alias("_a"), F.when(named, hashes(F.regexp_replace(typed, f"{MARK}n[^ ]*", f"{MARK}n"))).alias("_b"), F.when(marked, split(F.col("_s"))).alias("_v"))
+    return plain.select(*keep, hashes(words).alias("_a"), F.when(named, hashes(F.regexp_replace(typed, f"{MARK}n[^ ]*", f"{MARK}n"))).alias("_b"), F.when(marked, split(F.col("_s"))).alias("_v"),
+        (hashes(F.regexp_replace("_s", f"{MARK}[dun]", "")) if values else F.lit(None).cast("array<bigint>")).alias("_e"))
 
 
-def _hash(tokens: str, i: Column, size: int) -> Column:
-    return F.xxhash64(F.slice(tokens, i + 1, size), F.lit(size))
+def _hash(tokens: str, size: int, salt: int) -> Column:
+    """Hash of the window at ``pos``, element by element: generated code
+    without a slice.  Only where the window lies inside the text."""
+    return F.xxhash64(*(F.get(tokens, F.col("pos") + k) for k in range(size)), F.lit(salt))
 
 
 def _bits(hashes: list[int]) -> tuple[Column, int]:
     """A bit filter of the benchmark's windows as one literal array of longs,
-    of at most 1 MB; more windows only make it less selective."""
+    of at most 256 KB; more windows only make it less selective."""
     bits = 1 << 12
-    while bits < 512 * len(hashes) and bits < 1 << 23:
+    while bits < 64 * len(hashes) and bits < 1 << 21:
         bits <<= 1
     words = [0] * (bits >> 6)
     for h in hashes:
@@ -91,55 +95,56 @@ def _may(h: Column, filter_: tuple[Column, int] | None) -> Column:
     return out
 
 
-def _slots(i: Column, size: int, names: bool) -> Column:
+def _slots(size: int, names: bool) -> Column:
     """The window's values in their places, null where it has none."""
     is_slot = (lambda x: x.startswith(MARK)) if names else (lambda x: x.startswith(MARK) & ~x.startswith(MARK + "n"))
-    return F.array_join(F.transform(F.slice("_v", i + 1, size), lambda x: F.when(is_slot(x), x).otherwise("")), "|")
-
-
-def _of_size(size: int, whole: bool, filter_: tuple[Column, int] | None, exact: bool) -> list[Column]:
-    """Arrays of (i, w, s, values) for the windows of one size: start, hash,
-    slots, and whether w is of the values; those only that may be the
-    benchmark's."""
-    n = F.size("_a")
-    fits = (n == size) if size < SHORTEST or whole and size < WINDOW else (n >= size)
-    starts = F.when(fits, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-    made = lambda i, w, s, v: F.struct(i.alias("i"), w.alias("w"), F.when(F.contains(s, F.lit(MARK)), s).alias("s"), F.lit(v).alias("values"))
-    words = F.filter(starts, lambda i: _may(_hash("_a", i, size), filter_))
-    out = [F.transform(words, lambda i: made(i, _hash("_a", i, size), _slots(i, size, False), False))]
-    # where no name is among its tokens, a window reads the same in both ways
-    names = F.filter(F.when(F.col("_b").isNotNull(), starts).otherwise(F.array().cast("array<int>")), lambda i: _may(_hash("_b", i, size), filter_) & (_hash("_b", i, size) != _hash("_a", i, size)))
-    out.append(F.transform(names, lambda i: made(i, _hash("_b", i, size), _slots(i, size, True), False)))
-    if exact:  # the few windows of little but placeholders, by their values
-        value = lambda i: F.xxhash64(F.array_join(F.slice(F.col("_v"), i + 1, size), " "), F.lit(-size))
-        some = F.filter(F.when(F.col("_v").isNotNull(), starts).otherwise(F.array().cast("array<int>")), lambda i: _may(value(i), filter_))
-        out.append(F.transform(some, lambda i: made(i, value(i), F.lit(""), True)))
-    return out
+    s = F.array_join(F.transform(F.slice("_v", F.col("pos") + 1, size), lambda x: F.when(is_slot(x), x).otherwise("")), "|")
+    return F.when(F.contains(s, F.lit(MARK)), s)
 
 
 def _windows(tokens: DataFrame, sizes: list[int], whole: bool, filter_: tuple[Column, int] | None, exact: bool) -> DataFrame:
-    """One row a window: the frame's columns, hash ``w``, start ``pos``,
-    ``slots``, ``values`` and the window's number of ``words``."""
-    keep = [c for c in tokens.columns if c not in ("_a", "_b", "_v")]
-    arrays = [F.transform(a, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), x["s"].alias("s"), x["values"].alias("values"), F.lit(s).alias("size"))) for s in sizes for a in _of_size(s, whole, filter_, exact)]
-    rows = tokens.select(*keep, F.explode(F.concat(*arrays)).alias("_w"))
-    filled = F.coalesce(F.size(F.filter(F.split("_w.s", r"\|"), lambda x: x != "")), F.lit(0))
-    return rows.select(*keep, F.col("_w.w").alias("w"), F.col("_w.i").alias("pos"), F.col("_w.s").alias("slots"), F.col("_w.values").alias("values"), (F.col("_w.size") - F.when(F.col("_w.s").isNull(), 0).otherwise(filled)).alias("words"))
+    """One row a window and reading that may be the benchmark's: the frame's
+    columns, hash ``w``, start ``pos``, ``slots``, ``values`` (whether w is of
+    the values) and the window's number of ``words``.
+
+    Every start and reading is a row of generated code that the bit filter
+    drops before anything is made of it; the arrays are only looked into.
+    The generators are outer ones: for the others Spark infers a filter,
+    which would work out the templates once more.
+    """
+    keep = [c for c in tokens.columns if c not in ("_a", "_b", "_v", "_e")]
+    n, pos = F.size("_a"), F.col("pos")
+    starts = tokens.select(*tokens.columns, F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("pos"))
+    made = []
+    for size in sizes:
+        fits = (n == size) & (pos == 0) if size < SHORTEST or whole and size < WINDOW else pos + size <= n
+        words, names = _hash("_a", size, size), _hash("_b", size, size)
+        # where no name is among its tokens, a window reads the same in both ways
+        made += [(F.when(fits, words), size, 0), (F.when(fits & F.col("_b").isNotNull() & (names != words), names), size, 1)]
+        if exact:  # the few windows of little but placeholders, by their values
+            made.append((F.when(fits, _hash("_e", size, -size)), size, 2))
+    each = F.explode_outer(F.array(*(F.struct(w.alias("w"), F.lit(size).alias("size"), F.lit(kind).alias("kind")) for w, size, kind in made))).alias("_r")
+    rows = starts.select(*keep, "_v", "pos", each).where(F.col("_r.w").isNotNull() & _may(F.col("_r.w"), filter_)).select(*keep, "_v", "pos", "_r.*")
+    slots = F.lit(None).cast("string")
+    for size in sizes:
+        for names in (0, 1):
+            slots = F.when((F.col("size") == size) & (F.col("kind") == names), _slots(size, bool(names))).otherwise(slots)
+    rows = rows.select(*keep, "w", "pos", slots.alias("slots"), (F.col("kind") == 2).alias("values"), "size")
+    filled = F.coalesce(F.size(F.filter(F.split("slots", r"\|"), lambda x: x != "")), F.lit(0))
+    return rows.select(*keep, "w", "pos", "slots", "values", (F.col("size") - F.when(F.col("slots").isNull(), 0).otherwise(filled)).alias("words"))
 
 
 def item_windows(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(item_id, w, ipos, item_slots, values) of every item's windows, each
     hash of an item once, at its first place.  Windows of fewer than
     :data:`LITERALS` words go by their values."""
-    items = _tokens(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))).where(F.size("_a") > 0)
+    items = _tokens(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")), True)
     rows = _windows(items, list(range(1, WINDOW + 1)), True, None, True)
     # what goes by its values does so where its words are too few in the reading with names
     least = rows.where("not values").groupBy("item_id", "pos").agg(F.min("words").alias("least"))
     good = rows.join(least, ["item_id", "pos"]).where(F.when(F.col("values"), F.col("least") < LITERALS).otherwise(F.col("words") >= LITERALS))
     first = good.groupBy("item_id", "w").agg(F.min(F.struct("pos", "slots", "values")).alias("f"))
-    # one of few tokens and no placeholder is left out by neither rule
-    bare = rows.where("not values").join(good.select("item_id").distinct(), "item_id", "left_anti").groupBy("item_id", "w").agg(F.min(F.struct("pos", "slots", "values")).alias("f"))
-    return first.union(bare).select("item_id", "w", F.col("f.pos").alias("ipos"), F.col("f.slots").alias("item_slots"), F.col("f.values").alias("values"))
+    return first.select("item_id", "w", F.col("f.pos").alias("ipos"), F.col("f.slots").alias("item_slots"), F.col("f.values").alias("values"))
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.5, broadcast_rows: int = 400_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -157,7 +162,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float
     from .common import written
 
     bench = written(item_windows(benchmark, item_col=item_col, item_text_col=item_text_col), "benchmark")
-    short = _tokens(benchmark.select(F.col(item_text_col).alias("text"))).select(F.least(F.size("_a"), F.lit(WINDOW)).alias("n")).where("n > 0").distinct().collect()  # at most WINDOW values
+    short = _tokens(benchmark.select(F.col(item_text_col).alias("text")), False).select(F.least(F.size("_a"), F.lit(WINDOW)).alias("n")).where("n > 0").distinct().collect()  # at most WINDOW values
     sizes = sorted(r.n for r in short) or [WINDOW]
     totals = bench.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
     known = bench.select("w").distinct().limit(broadcast_rows + 1).collect()
@@ -165,13 +170,13 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float
     exact = not bench.where("values").isEmpty()
     side = bench.select("item_id", "w", "ipos", "item_slots")
     side = F.broadcast(side) if small else side
-    rows = _tokens(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text")))
+    rows = _tokens(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text")), exact)
     hits = _windows(rows, sizes, False, _bits([r.w for r in known]) if small else None, exact).join(side, "w")
     left, right = F.split("item_slots", r"\|"), F.split("slots", r"\|")
     pairs = F.when(F.col("item_slots").isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.zip_with(left, right, lambda a, b: F.when(a != "", F.concat_ws("\x02", a, b))), lambda x: x.isNotNull()))
     shift = F.col("pos") - F.col("ipos")
     # a place: one shift, or a band of shifts in either of two halfway overlapping rows of bands
-    places = F.explode(F.array(F.struct(F.lit(0).alias("kind"), shift.alias("at")), *(F.struct(F.lit(k + 1).alias("kind"), F.floor((shift + k * BAND // 2) / BAND).cast("int").alias("at")) for k in (0, 1)), F.struct(F.lit(3).alias("kind"), F.lit(0).alias("at"))))
+    places = F.explode_outer(F.array(F.struct(F.lit(0).alias("kind"), shift.alias("at")), *(F.struct(F.lit(k + 1).alias("kind"), F.floor((shift + k * BAND // 2) / BAND).cast("int").alias("at")) for k in (0, 1)), F.struct(F.lit(3).alias("kind"), F.lit(0).alias("at"))))
     same = F.col("item_slots").eqNullSafe(F.col("slots"))
     hits = hits.select("doc_id", "_row", "item_id", "ipos", "pos", pairs.alias("pairs"), same.alias("same"), places.alias("place")).where((F.col("place.kind") < 3) | F.col("same"))
     by = hits.groupBy("doc_id", "_row", "item_id", "place").agg(F.size(F.collect_set("ipos")).alias("windows"), F.min("pos").alias("position"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

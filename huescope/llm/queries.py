@@ -122,7 +122,7 @@ WITH texts AS (
   SELECT src, row, id, size, pos, size || ':' || array_to_string(b, ' '), false, list_transform(v, lambda x: CASE WHEN x[1] = chr(1) THEN x ELSE '' END)
   FROM slices WHERE a <> b
   UNION ALL
-  SELECT src, row, id, size, pos, 'v' || size || ':' || array_to_string(v, ' '), true, list_transform(v, lambda x: '') FROM slices
+  SELECT src, row, id, size, pos, 'v' || size || ':' || regexp_replace(array_to_string(v, ' '), chr(1) || '[dun]', '', 'g'), true, list_transform(v, lambda x: '') FROM slices
 ), filled AS (
   SELECT *, size - len(list_filter(slots, lambda x: x <> '')) AS words, min(CASE WHEN by_value THEN 99 ELSE size - len(list_filter(slots, lambda x: x <> '')) END) OVER (PARTITION BY row, pos) AS least
   FROM readings WHERE src = 'b'
@@ -131,8 +131,6 @@ WITH texts AS (
   WHERE CASE WHEN by_value THEN least < {decontaminate.LITERALS} ELSE words >= {decontaminate.LITERALS} END GROUP BY row, id, w
 ), bench AS (
   SELECT id AS item_id, w, ipos, slots AS item_slots FROM good
-  UNION ALL
-  SELECT id, w, min(pos), arg_min(slots, pos) FROM filled WHERE NOT by_value AND id NOT IN (SELECT id FROM good) GROUP BY id, w
 ), totals AS (
   SELECT item_id, count(DISTINCT ipos) AS item_windows FROM bench GROUP BY item_id
 ), hits AS (

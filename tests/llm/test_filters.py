@@ -51,12 +51,125 @@ def test_decontamination_needs_slots_that_agree(spark):
     assert {r.doc_id for r in found.collect()} == {0, 2}
 
 
+QUESTION = "Tom has 3 red apples and 5 green pears. Tom buys 4 more apples on Monday. How many pieces of fruit does Tom have now"
+
+
+def again(text, **new):
+    for a, b in new.items():
+        text = re.sub(rf"\b{a.strip('_')}\b", b, text)
+    return text
+
+
+def test_several_copies_in_one_document(spark):
+    one = again(QUESTION, Tom="Anna", _3="7", _5="9", _4="2")
+    two = again(QUESTION, Tom="Peter", _3="12", _5="31", _4="6")
+    mixed = " ".join(again(s, Tom=n) for s, n in zip(QUESTION.split(". "), ("Anna", "Peter", "Kim")))
+    texts = [
+        one, f"{one}. {two}", f"{filler(40, 1)} {one} {filler(70, 2)} {two} {filler(9, 3)} {one}", f"{two}. {QUESTION}", QUESTION.upper(), QUESTION.lower(),
+        mixed, again(QUESTION, Tom="Anna").replace("more", "more of the"), filler(300, 5), QUESTION.replace(" ", "  \n"),
+    ]
+    got = {r.doc_id: r for r in decontaminate.find_contaminated(documents(spark, texts), bench(spark, QUESTION)).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 7, 9}
+    assert {i for i, r in got.items() if r.reparameterised} == {0, 1, 2, 7}
+
+
+def test_short_and_numeric_items(spark):
+    items = ["Paris is the capital of France", "Why not", "1 2 3 5 8 13 21 34 55 89", "yes", "12"]
+    texts = ["the answer is: Paris is the capital of France, they say", "paris is the capital of france", "why not", "but why not ask", "so 1 2 3 5 8 13 21 34 55 89 it goes", "so 9 2 3 5 8 14 21 34 57 89 it goes", "Yes!", "12", "13", None, ""]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(documents(spark, texts), bench(spark, *items, None, "")).collect()}
+    assert got == {(0, 0), (1, 0), (2, 1), (4, 2), (6, 3), (7, 4)}
+
+
+def brute_template(text):
+    """Tokens as (reading with names as words, with names as placeholders, value)."""
+    low = lambda x: x.lower()
+    t = re.sub(r"(?<![^\W_])([A-Z\u00c0-\u00d6\u00d8-\u00de][a-z\u00df-\u00f6\u00f8-\u00ff]+)", "\x01n\\1", text)
+    t = re.sub(r"(?<![^\W_])(?<!\x01)([0-9]+(?:[.,][0-9]+)*)", " \x01d\\1 ", t)
+    t = re.sub(rf"([0-9] {{1,2}})({decontaminate.UNITS})(?![^\W_])", "\\1\x01u\\2", t)
+    out = []
+    for x in re.sub("[!-/:-@\\[-`{-~\u00a1\u00ab\u00b7\u00bb\u00bf]+", "", low(t)).split():
+        y = re.sub("\x01([du]).*", "\x01\\1", x)
+        out.append((y.replace("\x01n", ""), re.sub("\x01n.*", "\x01n", y), x))
+    return out
+
+
+def brute_found(text, item, coverage=0.5):
+    """Is the item in the text, by trying every shift, every band of shifts,
+    and value for value anywhere?"""
+    d, b = brute_template(text or ""), brute_template(item or "")
+    size = min(len(b), decontaminate.WINDOW)
+    if not size:
+        return False
+    at = range(len(d) - size + 1) if size >= decontaminate.SHORTEST else [0] if len(d) == size else []
+    first, windows = {}, []
+    for p in range(len(b) - size + 1):
+        a, n, v = ([x[k] for x in b[p : p + size]] for k in range(3))
+        readings = []
+        few = min(sum(not x.startswith("\x01") for x in r) for r in (a, n)) < decontaminate.LITERALS
+        for reading, is_slot in ((a, lambda x: x[:2] in ("\x01d", "\x01u")), (n, lambda x: x[:1] == "\x01")):
+            if sum(not x.startswith("\x01") for x in reading) >= decontaminate.LITERALS:
+                readings.append((tuple(reading), [x if is_slot(x) else "" for x in v]))
+        if few:
+            readings.append((("value", *(re.sub("\x01[dun]", "", x) for x in v)), [""] * size))
+        for r, slots in readings:
+            if r not in first:
+                first[r] = p
+                windows.append((p, r, slots, is_slot))
+    total = len({p for p, *_ in windows})
+    hits = []
+    for q in at:
+        a, n, v = ([x[k] for x in d[q : q + size]] for k in range(3))
+        for p, r, slots, _ in windows:
+            mine = None
+            if r == ("value", *(re.sub("\x01[dun]", "", x) for x in v)):
+                mine = [""] * size
+            elif r == tuple(a):
+                mine = [x if x[:2] in ("\x01d", "\x01u") else "" for x in v]
+            elif r == tuple(n):
+                mine = [x if x[:1] == "\x01" else "" for x in v]
+            if mine is not None:
+                hits.append((p, q - p, {(x, y) for x, y in zip(slots, mine) if x}, slots == mine))
+    places = [[h for h in hits if h[3]]]
+    for s in {h[1] for h in hits}:
+        places += [[h for h in hits if h[1] == s and True], [h for h in hits if h[1] // 16 == s // 16], [h for h in hits if (h[1] + 8) // 16 == (s + 8) // 16]]
+    for n, place in enumerate(places):
+        pairs = set().union(*(h[2] for h in place))
+        if (n == 0 or len({x for x, _ in pairs}) == len(pairs)) and len({h[0] for h in place}) >= max(1, coverage * total):
+            return True
+    return False
+
+
+def test_decontamination_equals_trying_every_place(spark):
+    rng = np.random.default_rng(14)
+    items = [QUESTION, PASSAGE, "Paris is the capital of France", "add 4 to 9 then take 4 from 9 and write 4 beside 9", "1 2 3 5 8 13 21 34 55 89", "la la la la la la la la la la 7 la"]
+    values = ["3", "5", "4", "17", "2,5", "Anna", "Tom", "Peter", "tom", "km"]
+    texts = []
+    for _ in range(150):
+        words = str(rng.choice(items)).split()
+        for k in range(int(rng.integers(0, 9))):
+            i = int(rng.integers(0, len(words)))
+            words[i : i + int(rng.integers(0, 2))] = [str(rng.choice(values))]
+        texts.append(" ".join([filler(int(rng.integers(0, 5)), 7), *words, *(str(rng.choice(items)).split()[: int(rng.integers(0, 30))])]))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(documents(spark, texts), bench(spark, *items)).collect()}
+    want = {(i, k) for i, t in enumerate(texts) for k, item in enumerate(items) if brute_found(t, item)}
+    assert got == want
+
+
+def test_clashing_columns_and_null_ids(spark):
+    docs = documents(spark, [PASSAGE, "fine"]).withColumns({c: F.lit("x") for c in ("_found", "_s", "_a", "w", "pos", "item_id", "place")})
+    docs = docs.union(docs.where("text = 'fine'").withColumn("doc_id", F.lit(None).cast("long")))
+    left = decontaminate.remove_contaminated(docs, bench(spark, PASSAGE))
+    assert left.columns == docs.columns and sorted((r.doc_id, r._found) for r in left.collect() if r.doc_id is not None) == [(1, "x")] * 2
+    assert left.where("doc_id IS NULL").count() == docs.where("doc_id IS NULL").count()
+
+
 def test_decontamination_by_shuffle_gives_the_same(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     a = sorted(as_rows(decontaminate.find_contaminated(docs, items)))
     b = sorted(as_rows(decontaminate.find_contaminated(docs, items, broadcast_rows=0)))
     assert a == b
     plain = {r.item_id: " ".join(re.findall(r"\w+", r.text.lower())) for r in items.collect()}
+    assert a
     whole = {(r.doc_id, i) for r in docs.collect() for i, t in plain.items() if r.text and t in " ".join(re.findall(r"\w+", r.text.lower()))}
     assert whole <= {(x[0], x[1]) for x in a} and {x[0] for x in a} == {d for d, _ in whole}
 
@@ -74,6 +187,91 @@ def test_language_id_on_held_out_documents(spark, sf):
     assert langid.learn(documents(spark, [])) == {}
 
 
+def test_language_predictions_equal_direct_coding(spark):
+    """Each text coded symbol by symbol under each language's counts."""
+    from .test_ppm_boost import brute_bits
+
+    rng = np.random.default_rng(6)
+    alphabets = {"aa": "abcd ", "bb": "abce  ", "cc": "xyzab "}
+    text = lambda lang, n: "".join(rng.choice(list(alphabets[lang]), n))
+    rows = [(i, text(lang, 300), lang) for i, lang in enumerate([*alphabets] * 3)] + [(90, None, "aa"), (91, "zz", None)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tries = langid.learn(train)
+    counts = {lang: {} for lang in alphabets}
+    for _, t, lang in rows:
+        for w in (t or "").encode().split() if lang else ():
+            counts[lang][w] = counts[lang].get(w, 0.0) + 1
+    asked = [text(lang, 40) for lang in alphabets for _ in range(4)] + ["q", "ab" * 60, "12 34", ""]
+    for r in langid.predict(documents(spark, asked), tries, F.lit(True)).collect():
+        t = asked[r.doc_id]
+        if not any(map(str.isalpha, t)):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        bits = {lang: sum(brute_bits(list(c), list(c.values()), 4, w) for w in t.encode().split()) for lang, c in counts.items()}
+        assert r.lang_pred == min(sorted(bits), key=bits.get) and np.isclose(r.bits, min(bits.values()))
+        assert np.isclose(r.score, 1 / sum(2.0 ** (min(bits.values()) - b) for b in bits.values()))
+
+
+def test_language_of_repeated_rows_and_one_language(spark):
+    train = documents(spark, ["so it is written here"] * 3).select("doc_id", "text", "lang")
+    tries = langid.learn(train.union(train))
+    assert list(tries) == ["en"] and tries["en"].levels[0][1].sum() == langid.learn(train).get("en").levels[0][1].sum()
+    assert {r.lang_pred for r in langid.predict(documents(spark, ["was", "1"]), tries, F.lit(True)).where("doc_id = 0").collect()} == {"en"}
+
+
+def brute_features(text):
+    """The features one by one, from the definition of each."""
+    out = [sum(b in c for b in text) / max(len(text), 1) for c in map(set, quality.CLASSES)]
+    words, lines = text.split(), [x for x in text.split(b"\n") if x]
+    w, k, n = max(len(words), 1), max(len(lines), 1), max(len(text), 1)
+    ends = sum(text.count(x) for x in (b".", b"!", b"?"))
+    letters = max(out[0] + out[1] + out[24], 1e-9)
+    shares = [text.count(bytes([b])) / n for b in range(256)]
+    longest = 0
+    for x in words:
+        longest = max(longest, len(x))
+    out += [np.log(1 + len(text)), np.log(1 + len(words)), len(text) / w, len(set(words)) / w, len(set(words)) / w**0.7, sum(a == b for a, b in zip(words, words[1:])) / w]
+    return out + [-sum(p * np.log2(p) for p in shares if p), len(set(lines)) / k, np.log(1 + len(text) / k), ends / w, np.log(1 + w / max(ends, 1)), 1 - letters, out[1] / letters, longest]
+
+
+def test_quality_equals_a_plain_version(spark):
+    """Features one by one; the weights' pairwise loss has no slope left that
+    matters; score and cut by the formula; op8's rows by the same model."""
+    texts = [(t or "").encode() for t in ODD_TEXTS] + [filler(30 + 7 * k, k).encode() + b". So?\n" * k for k in range(30)]
+    for t in texts:
+        assert np.allclose(quality.features(t), brute_features(t))
+    rng = np.random.default_rng(3)
+    x = np.stack([quality.features(t) for t in texts])
+    y = (rng.random(len(texts)) < 0.4 + 0.4 * (x[:, 0] > np.median(x[:, 0]))).astype(float)
+    model = quality.RankingModel(x, y, pairs=2_000, rounds=3_000)
+    z = model._expand(x)
+    draw = np.random.default_rng(8)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    diff = z[draw.choice(good, 2_000)] - z[draw.choice(bad, 2_000)]
+    loss = lambda v: np.log1p(np.exp(-(diff @ v))).mean() + 0.5e-4 * v @ v
+    assert loss(model.weight) < loss(np.zeros_like(model.weight)) - 0.05
+    for k in range(0, len(model.weight), 7):
+        for step in (0.05, -0.05):
+            moved = model.weight.copy()
+            moved[k] += step
+            assert loss(moved) > loss(model.weight) - 2e-3
+    s = z @ model.weight
+    assert np.isclose(model.cut, np.quantile(s, 1 - (y.sum() + 0.5) / (len(y) + 1)))
+    assert np.allclose(model.probability(x), [1 / (1 + np.exp(-model.slope * (v - model.cut))) for v in s])
+    got = {r.doc_id: r.score for r in quality.score(documents(spark, [t.decode() for t in texts]), model, F.lit(False)).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], model.probability(x))
+
+
+def test_quality_labels_of_one_kind_and_repeated_rows(spark):
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 1), (None, 0), (2, 7), (3, None)], "doc_id long, quality int")
+    docs = documents(spark, ["so it goes", "x y z", "a", "b"])
+    one = quality.learn(docs, labels, F.lit(True))
+    assert {r.score for r in quality.score(docs, one, F.lit(False)).collect()} == {2.5 / 3}
+    both = labels.union(spark.createDataFrame([(1, 0)], labels.schema))
+    a, b = quality.learn(docs, both, F.lit(True)), quality.learn(docs.union(docs).union(docs), both, F.lit(True))
+    assert (a.weight == b.weight).all() and a.base == b.base
+
+
 def test_quality_on_held_out_documents(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
@@ -131,6 +329,21 @@ def test_url_trees_learn_labels(spark):
     assert np.mean([(r.verdict == "block") == bool(r.page_id % 2) for r in got if r.page_id >= 400]) > 0.95
 
 
+def test_url_scores_equal_asking_each_tree(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"http://{'ab'[i % 2]}{rng.integers(9)}.example.{'net' if rng.random() < 0.5 else 'org'}/{'de' if rng.random() < 0.5 else 'es'}/{rng.integers(10**4)}") for i in range(300)]
+    pages = spark.createDataFrame(rows + rows[:40], "page_id long, url string")
+    known = [u for _, u in rows if brute_rule(*brute_url(u))[0]]
+    known = sorted(set(known))
+    model = urlfilter.UrlModel.fit([(u, *brute_url(u)) for u in known], np.array([float(brute_rule(*brute_url(u))[1] == "block") for u in known]))
+    for r in urlfilter.judge(pages, URL_RULES).collect():
+        url = dict(rows)[r.page_id]
+        x, raw = model.features(url, *brute_url(url)), model.trees.base
+        for asked, value in model.trees.trees:
+            raw += value[sum((x[f] > edge) << level for level, (f, edge) in enumerate(asked))]
+        assert abs(r.score - 1 / (1 + np.exp(-raw))) < 0.05  # the order of training rows may turn a tie
+
+
 NAIVE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
