@@ -1,14 +1,16 @@
 """Encoded frames as tables, and pixels out of them.
 
-PNG is decoded here (it needs no library beyond zlib), with EXIF orientation
-applied before any coordinate means something; JPEG goes through Spark's own
-``image`` source, which decodes on the executors' JVM.  Decoding, cropping
-and scaling happen in one function, so that no full-size frame is ever a row.
+PNG and JPEG are decoded from bytes in the tasks that hold them, with EXIF
+orientation applied before any coordinate means something.  Decoding,
+cropping and scaling happen in one function, so that no full-size frame is
+ever a row.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -16,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+from . import jpeg
+
 PIXELS = "image_id long, y int, x int, r8 int, g8 int, b8 int"
 #: Fixed value: the tag that holds the orientation.
 _ORIENTATION = 0x0112
@@ -26,31 +31,58 @@ class FrameError(ValueError):
 
 
 def _unfilter(raw: bytes, height: int, stride: int, bpp: int) -> np.ndarray:
-    lines = np.frombuffer(raw, np.uint8).reshape(height, stride + 1)
-    out = np.zeros((height, stride), np.uint8)
-    above = np.zeros(stride, np.uint8)
-    for y in range(height):
-        kind, line = lines[y, 0], lines[y, 1:]
-        if kind == 0:
-            now = line.copy()
-        elif kind == 1:
-            now = np.cumsum(line.reshape(-1, bpp).astype(np.uint64), 0).astype(np.uint8).ravel()
-        elif kind == 2:
-            now = line + above
-        else:
-            now = np.zeros(stride, np.uint8)
-            for i in range(stride):
-                left = int(now[i - bpp]) if i >= bpp else 0
-                up, corner = int(above[i]), int(above[i - bpp]) if i >= bpp else 0
-                if kind == 3:
-                    guess = (left + up) // 2
-                elif kind == 4:
-                    p = left + up - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                else:
-                    raise FrameError("unknown filter")
-                now[i] = (int(line[i]) + guess) & 255
-        out[y] = above = now
+    """Bytes of the rows from what their filters left of them.
+
+    A byte depends on those to the left, above and above left of it, so all
+    bytes of one diagonal are worked out together, whatever their filters.
+    """
+    lines = np.frombuffer(raw, np.uint8, height * (stride + 1)).reshape(height, stride + 1)
+    kinds = lines[:, 0]
+    if kinds.max(initial=0) > 4:
+        raise FrameError("unknown filter")
+    if not kinds.any():
+        return lines[:, 1:].copy()
+    width = stride // bpp
+    left = np.zeros((height + 1, width + 1, bpp), np.int16)
+    given = lines[:, 1:].reshape(height, width, bpp).astype(np.int16)
+    for t in range(height + width - 1):
+        y = np.arange(max(0, t - width + 1), min(height, t + 1))
+        x = t - y
+        a, b, c, kind = left[y + 1, x], left[y, x + 1], left[y, x], kinds[y, None]
+        da, db, dc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+        guess = np.select((kind == 0, kind == 1, kind == 2, kind == 3), (np.zeros_like(a), a, b, (a + b) >> 1), nearest)
+        left[y + 1, x + 1] = (given[y, x] + guess) & 255
+    return left[1:, 1:].astype(np.uint8).reshape(height, stride)
+
+
+def _samples(rows: np.ndarray, width: int, bands: int, depth: int) -> np.ndarray:
+    """Samples (height, width, bands) of packed rows, as they are stored;
+    of 16 bits the upper 8."""
+    if depth == 8:
+        return rows.reshape(len(rows), width, bands)
+    if depth == 16:
+        return rows.reshape(len(rows), width, bands, 2)[..., 0]
+    bits = np.unpackbits(rows, axis=1).reshape(len(rows), -1, depth)
+    return (bits * (1 << np.arange(depth)[::-1])).sum(2).astype(np.uint8)[:, : width * bands].reshape(len(rows), width, bands)
+
+
+#: Fixed values: (first column, first row, column step, row step) of the seven passes of an interlaced frame.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _grid(raw: bytes, width: int, height: int, bands: int, depth: int, interlaced: bool) -> np.ndarray:
+    bpp = max(bands * depth // 8, 1)
+    stride = lambda w: (w * bands * depth + 7) // 8
+    if not interlaced:
+        return _samples(_unfilter(raw, height, stride(width), bpp), width, bands, depth)
+    out, at = np.zeros((height, width, bands), np.uint8), 0
+    for x, y, dx, dy in _PASSES:
+        w, h = -(-(width - x) // dx), -(-(height - y) // dy)
+        if w > 0 and h > 0:
+            size = h * (stride(w) + 1)
+            out[y::dy, x::dx] = _samples(_unfilter(raw[at : at + size], h, stride(w), bpp), w, bands, depth)
+            at += size
     return out
 
 
@@ -70,50 +102,57 @@ def _orientation(exif: bytes) -> int:
 
 def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
     """The frame as it was meant to be seen (orientation 1 to 8)."""
-    if orientation in (2, 7):
+    if orientation in (2, 3, 7):
         pixels = pixels[:, ::-1]
-    elif orientation in (3,):
-        pixels = pixels[::-1, ::-1]
-    elif orientation in (4, 5):
+    if orientation in (3, 4, 5):
         pixels = pixels[::-1]
-    if orientation in (5, 6):
-        return np.rot90(pixels, -1)
-    if orientation in (7, 8):
-        return np.rot90(pixels, 1)
-    return pixels
+    turns = {5: -1, 6: -1, 7: -1, 8: 1}.get(orientation, 0)
+    return np.rot90(pixels, turns) if turns else pixels
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """Upright 8-bit RGB of a PNG of any 8-bit colour type, not interlaced."""
+    """Upright 8-bit RGB of a PNG of any colour type and depth; of 16 bits
+    the upper 8 count, transparency does not."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise FrameError("not a PNG")
+    at, body, palette, exif, head = 8, [], None, b"", None
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        chunk = data[at + 8 : at + 8 + size]
+        if len(chunk) < size:
+            raise FrameError("truncated")
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", chunk)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            body.append(chunk)
+        elif kind == b"eXIf":
+            exif = chunk
+        at += 12 + size
+    if head is None or not body:
+        raise FrameError("no picture")
+    width, height, depth, color, _, _, interlaced = head
+    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+    grid = _grid(zlib.decompress(b"".join(body)), width, height, bands, depth, bool(interlaced))
+    if color == 3:
+        return upright(palette[grid[..., 0]], _orientation(exif))
+    if depth < 8:
+        grid = grid * (255 // ((1 << depth) - 1))
+    return upright(np.repeat(grid[..., :1], 3, 2) if bands < 3 else grid[..., :3], _orientation(exif))
+
+
+def decode_frame(data: bytes) -> np.ndarray:
+    """Upright 8-bit RGB of a PNG or JPEG; FrameError for anything else, for
+    damaged and for truncated bytes."""
     try:
-        if data[:8] != b"\x89PNG\r\n\x1a\n":
-            raise FrameError("not a PNG")
-        at, body, palette, exif, head = 8, [], None, b"", None
-        while at + 8 <= len(data):
-            size, kind = struct.unpack(">I4s", data[at : at + 8])
-            chunk = data[at + 8 : at + 8 + size]
-            if len(chunk) < size:
-                raise FrameError("truncated")
-            if kind == b"IHDR":
-                head = struct.unpack(">IIBBBBB", chunk)
-            elif kind == b"PLTE":
-                palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
-            elif kind == b"IDAT":
-                body.append(chunk)
-            elif kind == b"eXIf":
-                exif = chunk
-            at += 12 + size
-        if head is None or not body or head[2] != 8 or head[6]:
-            raise FrameError("no 8-bit frame")
-        width, height, _, color, _, _, _ = head
-        bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-        grid = _unfilter(zlib.decompress(b"".join(body)), height, width * bands, bands).reshape(height, width, bands)
-        rgb = palette[grid[..., 0]] if color == 3 else np.repeat(grid[..., :1], 3, 2) if bands < 3 else grid[..., :3]
-        return upright(rgb, _orientation(exif))
+        if data[:2] == b"\xff\xd8":
+            return upright(jpeg.decode(data), _orientation(jpeg.exif_of(data)))
+        return decode_png(data)
     except FrameError:
         raise
-    except Exception as e:
-        raise FrameError(str(e)) from e
+    except Exception as e:  # whatever bytes from outside may do to a decoder
+        raise FrameError(str(e) or type(e).__name__) from e
 
 
 def encode_png(rgb: np.ndarray, exif: bytes = b"") -> bytes:
@@ -166,7 +205,10 @@ def working_frame(rgb: np.ndarray, roi=(0.0, 0.0, 1.0, 1.0), working_width: int
     return part if working_width is None else resize(part, working_width, resample)
 
 
-def read_frames(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
+PICTURES = "*.{png,PNG,jpg,JPG,jpeg,JPEG}"
+
+
+def read_frames(spark: SparkSession, path: str, pattern: str = PICTURES) -> DataFrame:
     """Encoded frames: path, modificationTime, length, content."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
 
@@ -177,13 +219,14 @@ def archive(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFrame
 
 
 def frame_pixels(frames: DataFrame, roi=(0.0, 0.0, 1.0, 1.0), working_width: int | None = None, resample: str = "bilinear") -> DataFrame:
-    """Pixels of PNG frames (image_id, content); a frame that cannot be read
-    is one row with NULL coordinates, so that nothing fails the job."""
+    """Pixels of PNG or JPEG frames (image_id, content); a frame that cannot
+    be read is one row with NULL coordinates, so that nothing fails the job
+    and nothing is passed over in silence."""
     def run(parts):
         for part in parts:
             for r in part.itertuples():
                 try:
-                    rgb = working_frame(decode_png(r.content), roi, working_width, resample)
+                    rgb = working_frame(decode_frame(r.content), roi, working_width, resample)
                 except FrameError:
                     yield pd.DataFrame({c.split()[0]: pd.array([r.image_id if c.startswith("image_id") else None], dtype="Int64") for c in PIXELS.split(", ")})
                     continue
@@ -193,16 +236,6 @@ def frame_pixels(frames: DataFrame, roi=(0.0, 0.0, 1.0, 1.0), working_width: int
     return frames.select("image_id", "content").mapInPandas(run, PIXELS)
 
 
-def jpeg_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, height, width, y, x, r8, g8, b8) of JPEG or PNG files through
-    the JVM; unreadable files are dropped by the source."""
-    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").where("nChannels in (1, 3, 4)")
-    cell = image.select("origin", "height", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("i"))
-    byte = lambda k: F.conv(F.hex(F.substring("data", F.col("i") * F.col("nChannels") + k + 1, F.lit(1))), 16, 10).cast("int")
-    grey = F.col("nChannels") == 1
-    return cell.select("origin", "height", "width", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), F.when(grey, byte(0)).otherwise(byte(2)).alias("r8"), F.when(grey, byte(0)).otherwise(byte(1)).alias("g8"), byte(0).alias("b8"))
-
-
 def scene(size=(320, 200), rects=(), grey: float = 0.5, noise: float = 0.02, seed: int = 0) -> np.ndarray:
     """A synthetic frame: coloured rectangles ((r, g, b), (x, y, w, h)) on
     noisy grey, noise everywhere."""
@@ -214,13 +247,33 @@ def scene(size=(320, 200), rects=(), grey: float = 0.5, noise: float = 0.02, see
     return np.rint(np.clip(frame, 0, 1) * 255).astype(np.uint8)
 
 
-def write_frames(frames: DataFrame, folder: str) -> None:
-    """Archive encoded frames (name, content) as files of their own name,
-    written by the tasks through Spark's file system layer."""
-    bad = frames.where(~F.col("name").rlike(r"^[^/\\]+$"))
+def write_frames(frames: DataFrame, folder: str) -> int:
+    """Archive encoded frames (name, content) as files of their own name in a
+    folder that all executors share; how many there were.
+
+    Each file is written under another name and then renamed, so a task that
+    is repeated, or a frame that is archived again, replaces a whole file by
+    an equal one.  Names that are no plain file names are an error, before
+    anything is written.
+    """
+    bad = frames.where(~F.coalesce(geometry.is_plain_filename(F.col("name")), F.lit(False)))
     if not bad.isEmpty():
         raise ValueError("a frame's name is not a plain file name")
-    frames.select("name", "content").write.mode("append").parquet(folder)
+    target = folder.removeprefix("file://")
+    if "://" in target:
+        raise ValueError("frames are archived in a folder that executors reach as a path")
+
+    def run(parts):
+        os.makedirs(target, exist_ok=True)
+        for part in parts:
+            for r in part.itertuples():
+                draft = os.path.join(target, f".{uuid.uuid4().hex}")
+                with open(draft, "wb") as f:
+                    f.write(r.content)
+                os.replace(draft, os.path.join(target, r.name))
+            yield pd.DataFrame({"n": [len(part)]})
+
+    return frames.select("name", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def to_result_json(result: Column) -> Column:

@@ -20,7 +20,7 @@ from ..sources import frames
 CONDITIONS = ("paused", "busy", "no_profile", "relearning", "no_declaration", "dark", "no_mark")
 
 
-def frame_stream(spark: SparkSession, folder: str, pattern: str = "*.png", per_trigger: int = 64) -> DataFrame:
+def frame_stream(spark: SparkSession, folder: str, pattern: str = frames.PICTURES, per_trigger: int = 64) -> DataFrame:
     """Frames as they land in a folder, a bounded number each trigger."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(folder)
