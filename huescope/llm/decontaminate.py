@@ -31,7 +31,7 @@ MARK = "\x01"
 _SPACE = r"[\x20\t\n\x0b\f\r]+"
 _PUNCTUATION = r"[!-/:-@\[-`{-~¡«·»¿]+"
 _UPPER = r"A-ZÀ-ÖØ-Þ"
-_LEVELS = 3  # bits of the filter that a window must have set
+_LEVELS = 2  # bits of the filter that a window must have set
 
 
 def template(text: Column) -> Column:
@@ -72,14 +72,15 @@ def _hash(tokens: str, size: int, salt: int) -> Column:
 
 def _bits(hashes: list[int]) -> tuple[Column, int]:
     """A bit filter of the benchmark's windows as one literal array of longs,
-    of at most 256 KB; more windows only make it less selective."""
+    of at most 128 KB (plans carry it, as text, too); more windows only make
+    it less selective."""
     bits = 1 << 12
-    while bits < 64 * len(hashes) and bits < 1 << 21:
+    while bits < 16 * len(hashes) and bits < 1 << 20:
         bits <<= 1
     words = [0] * (bits >> 6)
     for h in hashes:
         for k in range(_LEVELS):
-            at = ((h & (1 << 64) - 1) >> (21 * k)) & (bits - 1)
+            at = ((h & (1 << 64) - 1) >> (32 * k)) & (bits - 1)
             words[at >> 6] |= 1 << (at & 63)
     signed = (w - (1 << 64) if w >> 63 else w for w in words)
     return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>"), bits
@@ -90,7 +91,7 @@ def _may(h: Column, filter_: tuple[Column, int] | None) -> Column:
     if filter_ is not None:
         words, bits = filter_
         for k in range(_LEVELS):
-            at = F.shiftrightunsigned(h, 21 * k).bitwiseAND(F.lit(bits - 1))
+            at = F.shiftrightunsigned(h, 32 * k).bitwiseAND(F.lit(bits - 1))
             out &= F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
     return out
 

@@ -37,7 +37,7 @@ from .components import components
 from .simhash import links_within, shingle_hashes, simhash
 
 GROUPS_LOG2, SAMPLE, SLOTS_LOG2 = 4, 3, 7
-CLOSEST = 3
+CLOSEST = 16  # links of a class that a bucket names at first where its tree did not hold
 MARGIN = 0.18  # below the similarity; a pair that reaches it agrees in fewer of 128 bytes once in some 700,000
 BUCKET = 2_048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -221,6 +221,24 @@ def blocks(rows: DataFrame, bucket: int) -> DataFrame:
     return placed.join(tasks, ["key", "block"]).select(F.col("task").alias("key"), "cls", "n", "sketch")
 
 
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components (node, root) after further links (a, b): only the links
+    between roots are contracted, and the nodes follow their roots."""
+    if roots is None:
+        return components(links)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(between)
+    if moved is None:
+        return roots
+    step = moved.select(F.col("node").alias("root"), F.col("root").alias("further"))
+    known = roots.join(step, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    new = moved.join(roots, "node", "left_anti")
+    out = written(known.union(new.select("node", "root")), "roots")
+    discard(roots, moved)
+    return out
+
+
 def _fresh(docs: DataFrame, *names: str) -> list[str]:
     """Column names that no column of the frame has."""
     have = {c.lower() for c in docs.columns}
@@ -232,15 +250,14 @@ def _fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radius: int = 4, bucket: int = BUCKET, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radius: int = 4, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group, columns unchanged.
 
     Groups are connected by links of at least ``similarity``.  Kept is the
     row with the group's smallest id (nulls last); of several such rows the
     one whose text hashes lowest, of equal rows one.  Texts without words
     (null, empty, white space) are one group.  Extra columns may have any
-    name.  The texts are read again to check the candidates, whose ids are
-    broadcast up to ``broadcast_rows`` and joined by shuffle beyond.
+    name.  The texts are read again to check the candidates.
     """
     bounded_batches(docs.sparkSession)
     marked = written(sketches(docs, shingle, id_col, text_col), "sketches")
@@ -253,57 +270,51 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
     shared = classes.join(by_fp, "fp").where("cls <> head").select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b"))
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t"))
-    sets, links, roots = None, None, None
+    sets, roots = None, None
     least = similarity - MARGIN
 
-    def verify(candidates: DataFrame) -> None:
-        """Check the links exactly and renew the components."""
-        nonlocal sets, links, roots
+    def verify(candidates: DataFrame) -> DataFrame:
+        """Check the links exactly and renew the components; those that hold."""
+        nonlocal sets, roots
         nodes = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
         if sets is not None:
             nodes = nodes.join(sets.select("cls"), "cls", "left_anti")
         wanted = written(classes.join(nodes, "cls", "left_semi").select("cls", F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_hash")), "wanted")
-        new = wanted.count()
-        if new or sets is None:
-            side = F.broadcast(wanted) if new <= broadcast_rows else wanted
-            read = texts.join(side, F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash"))).select("cls", "t")
+        if sets is None or not wanted.isEmpty():
+            read = texts.join(wanted, F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash"))).select("cls", "t")
             read = written(_sets(read, shingle).dropDuplicates(["cls"]), "sets")
             sets = read if sets is None else sets.union(read)
         discard(wanted)
         pairs = candidates.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
         good = written(pairs.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
-        if not good.isEmpty():
-            links = good if links is None else links.union(good)
-            before, roots = roots, components(links)
-            discard(before)
+        roots = joined(roots, good)
+        return good
 
     def in_components(rows: DataFrame) -> DataFrame:
         if roots is None:
             return rows.withColumn("comp", F.col("cls"))
         return rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
 
-    def look(rows: DataFrame, linker, others: DataFrame | None = None) -> DataFrame:
-        """Name links in each bucket and check them; what was named."""
+    def look(rows: DataFrame, linker, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Name links in each bucket and check them: what was named, what holds."""
         sorted_ = in_components(rows).select("key", "cls", "comp", "n", "sketch").repartition("key").sortWithinPartitions("key", "cls")
         found = written(sorted_.mapInArrow(linker, "a long, b long, key long"), "close")
-        close = found.where("a IS NOT NULL").select("a", "b")
-        candidates = written((close if others is None else close.union(others)).distinct(), "candidates")
-        if not candidates.isEmpty():
-            verify(candidates)
-        discard(candidates)
-        return found
+        candidates = found.where("a IS NOT NULL").select("a", "b")
+        return found, verify((candidates if others is None else candidates.union(others)).distinct())
 
     def compare(rows: DataFrame, others: DataFrame | None = None) -> None:
         """Link the classes of equal key until no two of different components
         are left unchecked that their sketches let pass."""
-        found = look(rows, _linker(least, similarity), others)
-        failed = found if links is None else found.join(links, ["a", "b"], "left_anti")
-        open_ = written(failed.select("key").distinct(), "open")
+        found, good = look(rows, _linker(least, similarity), others)
+        open_ = written(found.join(good, ["a", "b"], "left_anti").select("key").distinct(), "open")
         at, to = 0, CLOSEST
         while not open_.isEmpty():
-            found = look(rows.join(open_, "key", "left_semi"), _linker(least, similarity, at, to))
+            before = found, good, open_
+            found, good = look(rows.join(open_, "key", "left_semi"), _linker(least, similarity, at, to))
             open_ = written(found.where("a IS NULL").select("key").distinct(), "open")
+            discard(*before)
             at, to = to, to * 8
+        discard(found, good, open_)
 
     def parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
         """Rows of hot buckets dealt at random into smaller ones."""

@@ -58,11 +58,14 @@ class RankingModel:
         self.cut, self.slope, self.base = 0.0, 0.0, float((len(good) + 0.5) / (len(y) + 1))
         if not len(good) or not len(bad):
             return
-        diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+        over, under = rng.choice(good, pairs), rng.choice(bad, pairs)
         moment, rate = np.zeros_like(self.weight), 0.5
         look = self.weight.copy()
         for step in range(rounds):  # Nesterov's accelerated gradient on the pairs' logistic loss
-            grad = -(diff.T @ (1 / (1 + np.exp(np.clip(diff @ look, -50, 50))))) / pairs + ridge * look
+            s = z @ look
+            pull = 1 / (1 + np.exp(np.clip(s[over] - s[under], -50, 50)))
+            # a document's features count by the sum over its pairs, so no difference is ever stored
+            grad = ridge * look - z.T @ (np.bincount(over, pull, len(z)) - np.bincount(under, pull, len(z))) / pairs
             new = look - rate * grad
             look = new + step / (step + 3) * (new - moment)
             moment = new

@@ -181,7 +181,7 @@ def test_keep_one_equals_brute_force(spark):
     got = neardup.keep_one(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == brute_kept(texts)
-    assert sorted(r.doc_id for r in neardup.keep_one(docs, bucket=4, broadcast_rows=0).collect()) == brute_kept(texts)
+    assert sorted(r.doc_id for r in neardup.keep_one(docs, bucket=4).collect()) == brute_kept(texts)
     assert as_rows(neardup.keep_one(documents(spark, []))) == []
 
 
@@ -253,6 +253,64 @@ def test_trees_join_what_is_close():
         assert all((want[i] == want[j]) == (got[i] == got[j]) for i in range(n) for j in range(n))
 
 
+def test_components_grow_with_further_links(spark):
+    rng = np.random.default_rng(12)
+    roots, seen = None, []
+    for _ in range(4):
+        links = [(int(a), int(b)) for a, b in rng.integers(0, 60, (9, 2)) if a != b]
+        seen += links
+        before, roots = roots, neardup.joined(roots, spark.createDataFrame(links, "a long, b long"))
+        want = {r.node: r.root for r in components(spark.createDataFrame(seen, "a long, b long")).collect()}
+        assert {r.node: r.root for r in roots.collect()} == want
+
+
+def inverted_kept(texts, similarity=0.8):
+    """brute_kept for many texts: pairs that share no shingle are not similar."""
+    sets = {}
+    for i, t in enumerate(texts):
+        sets.setdefault(frozenset(shingle_set(t)), []).append(i)
+    known = sorted(sets, key=lambda s: sets[s][0])
+    root, by = list(range(len(known))), defaultdict(list)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(known):
+        common = Counter(j for x in s for j in by[x])
+        for j, c in common.items():
+            if c >= similarity * (len(s) + len(known[j]) - c):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for x in s:
+            by[x].append(i)
+    return sorted(sets[known[i]][0] for i in range(len(known)) if find(i) == i)
+
+
+def test_kept_documents_of_the_tables_are_exactly_the_right_ones(spark):
+    """Recall measured, not calculated: no link of the test table is lost."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    ids, texts = zip(*rows.collect())
+    got = sorted(r.doc_id for r in neardup.keep_one(rows).select("doc_id").collect())
+    assert got == [ids[i] for i in inverted_kept(texts)]
+
+
+def test_a_hot_passage_hides_no_pair(spark):
+    """Thousands of texts share a passage; similar pairs among them are found."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = []
+    for i in range(700):
+        own = [f"v{x}" for x in rng.integers(0, 10**7, 30)]
+        texts.append(f"{passage} {' '.join(own)}")
+        if i % 50 == 0:
+            own[10] = "changed"
+            texts.append(f"{passage} {' '.join(own)}")
+    docs = documents(spark, texts)
+    assert sorted({r.doc_id for r in neardup.keep_one(docs, bucket=64).collect()}) == inverted_kept(texts)
+
+
 def test_blocks_let_all_classes_of_a_hot_bucket_meet(spark):
     rows = [(7, 1 if i < 40 else 2 if i < 70 else i, i, 9, b"s") for i in range(150)] + [(8, i % 2, i, 9, b"s") for i in range(30)]
     comp = {(k, i): c for k, c, i, _, _ in rows}
