@@ -65,3 +65,25 @@ def frame_gate(median_sat: Column, median_val: Column, clip_frac: Column, row_du
     over = (clip_frac > limits["clip_max"]) | (median_val > limits["val_max"])
     outcome = F.when(damaged, "integrity").when(grey, "grayscale").when(over, "overexposed").otherwise("ok")
     return {"damaged": damaged, "grayscale": grey, "overexposed": over, "outcome": outcome}
+
+
+#: Everything that an analysis can end with.
+OUTCOMES = (
+    "no_run_yet", "ok", "hold_greyscale", "hold_overexposure", "hold_greyscale_and_overexposure", "hold_frame_integrity",
+    "ambiguous_cold_start", "camera_error", "detect_error", "not_calibrated", "watchdog_timeout", "previous_run_still_busy",
+)
+
+
+def hold_outcome(unreadable: Column, damaged: Column, grayscale: Column, overexposed: Column) -> Column:
+    """Why a frame changes nothing, ``ok`` if it may: integrity before light,
+    and both lights named where both fail."""
+    return (
+        F.when(unreadable, "detect_error").when(damaged, "hold_frame_integrity").when(grayscale & overexposed, "hold_greyscale_and_overexposure")
+        .when(grayscale, "hold_greyscale").when(overexposed, "hold_overexposure").otherwise("ok")
+    )
+
+
+def teaches_light(damaged: Column, grayscale: Column) -> Column:
+    """May a frame's light move the gates?  Clean ones and merely overexposed
+    ones may; grey ones would disarm the night gate, damaged ones lie."""
+    return ~F.coalesce(damaged, F.lit(True)) & ~F.coalesce(grayscale, F.lit(True))

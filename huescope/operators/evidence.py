@@ -55,16 +55,16 @@ def usable_labels(labels: DataFrame, images: DataFrame, samples: DataFrame, bins
 
 
 def warnings(labels: DataFrame, samples: DataFrame, images: DataFrame, bins: DataFrame) -> DataFrame:
-    """What was set aside: (kind, n, items), items sorted; ``labels`` with
+    """What was set aside, one row an item: (kind, item); ``labels`` with
     their ``usable``."""
     now = active_bins(bins).select("bin_id", "appearance_epoch")
     shown = images.where(~F.col("excluded")).select("path")
     stale = samples.join(shown, "path", "left_semi").join(now, "bin_id").where("epoch <> appearance_epoch")
     name = F.concat_ws(":", "path", "bin_id")
-    listed = lambda df, kind, item: df.agg(F.count("*").alias("n"), F.concat_ws(", ", F.array_sort(F.collect_list(item))).alias("items")).select(F.lit(kind).alias("kind"), "n", "items")
+    listed = lambda df, kind, item: df.select(F.lit(kind).alias("kind"), item.alias("item")).distinct()
     out = [listed(images.where("excluded"), "excluded_images", F.col("path")), listed(stale, "dormant_samples", name)]
     out += [listed(labels.where((F.col("label") == k) & ~F.col("usable")), f"stale_{k}", name) for k in ("present", "absent")]
-    return reduce(DataFrame.unionByName, out).where("n > 0")
+    return reduce(DataFrame.unionByName, out)
 
 
 def violations(rules: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
@@ -235,6 +235,16 @@ def bump_view(config: DataFrame, capture_epochs: DataFrame, pending: DataFrame)
     return config.withColumn("view_epoch", F.col("view_epoch") + 1), capture_epochs.unionByName(kept)
 
 
+def gates_survive(before: DataFrame, after: DataFrame) -> bool:
+    """Do the rolling gate samples still describe the frames?  A new box,
+    working width or view starts them again; a polygon alone does not, since
+    light is judged on the whole crop."""
+    c = lambda df, p: df.select(F.col("roi").alias(f"{p}_roi"), F.col("working_width").alias(f"{p}_width"), F.col("view_epoch").alias(f"{p}_view")).limit(1)
+    (a,), (b,) = c(before, "a").collect(), c(after, "b").collect()
+    near = all(abs(a.a_roi[k] - b.b_roi[k]) <= 1e-9 for k in ("x", "y", "w", "h"))
+    return near and a.a_width == b.b_width and a.a_view == b.b_view
+
+
 def reconcile_bins(declared: DataFrame, stored: DataFrame) -> DataFrame:
     """Full outer merge of the declared bins (bin_id, name) with the stored:
     new ones start, missing ones retire, names follow the declaration."""

@@ -190,7 +190,7 @@ def _nested(a, b) -> bool:
     return a.x0 >= b.x0 and a.y0 >= b.y0 and a.x1 <= b.x1 and a.y1 <= b.y1
 
 
-def resolve(models: list[Model], hue, sat, val, universe: np.ndarray, *, exclusion: bool = True, veto: bool = True) -> list[dict]:
+def resolve(models: list[Model], hue, sat, val, universe: np.ndarray, *, depth: np.ndarray | None = None, exclusion: bool = True, veto: bool = True) -> list[dict]:
     """Each model's blob after pixels, edge band and vetoes are settled.
 
     A blob that lies wholly in the holes of a credible blob is an object seen
@@ -199,7 +199,7 @@ def resolve(models: list[Model], hue, sat, val, universe: np.ndarray, *, exclusi
     container may veto only if its own area qualifies and no qualified blob
     encloses it.  An enclosure that nobody may veto is reported as conflict.
     """
-    depth, cells = interior_depth(universe), max(int(universe.sum()), 1)
+    depth, cells = interior_depth(universe) if depth is None else depth, max(int(universe.sum()), 1)
     layers = []
     for model, mask in zip(models, exclusive(models, hue, sat, val, exclusion)):
         mask = mask & universe

@@ -526,7 +526,7 @@ UNION ALL SELECT 'dormant_samples', count(*) FROM label_ev JOIN now USING (bin_i
 UNION ALL SELECT 'stale_' || label, count(*) FROM u WHERE NOT usable GROUP BY label""")
 def learning_view_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _evidence(spark, sf_dir)
-    return evidence.warnings(evidence.usable_labels(t["labels"], t["images"], t["samples"], t["bins"], t["config"]), t["samples"], t["images"], t["bins"]).select("kind", "n")
+    return evidence.warnings(evidence.usable_labels(t["labels"], t["images"], t["samples"], t["bins"], t["config"]), t["samples"], t["images"], t["bins"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(cte("label_ev") + """, b(bin_id, a) AS (VALUES ('AUTOMOBILE', 1), ('BUILDING', 2), ('FURNITURE', 0), ('HOUSEHOLD', 0), ('MACHINERY', 3)), v AS (

@@ -205,6 +205,31 @@ def working_frame(rgb: np.ndarray, roi=(0.0, 0.0, 1.0, 1.0), working_width: int
     return part if working_width is None else resize(part, working_width, resample)
 
 
+def relative(box: tuple[int, int, int, int], width: int, height: int) -> tuple[float, float, float, float]:
+    """A pixel box as a relative rectangle."""
+    x0, y0, x1, y1 = box
+    return x0 / width, y0 / height, (x1 - x0) / width, (y1 - y0) / height
+
+
+def polygon_raster(rings, crop: tuple[float, float, float, float], height: int, width: int) -> np.ndarray:
+    """Which cells of a crop's grid have their centre in the even-odd region.
+
+    ``rings``: lists of (x, y) in image coordinates.  A row's centres are
+    inside where an odd number of edges cross the row to their right; an edge
+    counts from its upper end up to, not including, its lower one.
+    """
+    x = crop[0] + (np.arange(width) + 0.5) / width * crop[2]
+    y = crop[1] + (np.arange(height) + 0.5) / height * crop[3]
+    inside = np.zeros((height, width), bool)
+    for ring in rings:
+        points = np.array(ring, float).reshape(-1, 2)
+        for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0)):
+            rows = np.flatnonzero((min(ay, by) <= y) & (y < max(ay, by)))
+            if len(rows):
+                inside[rows] ^= x[None, :] < (ax + (y[rows] - ay) * (bx - ax) / (by - ay))[:, None]
+    return inside
+
+
 PICTURES = "*.{png,PNG,jpg,JPG,jpeg,JPEG}"
 
 
@@ -218,22 +243,84 @@ def archive(spark: SparkSession, path: str, pattern: str = "*.jpg") -> DataFrame
     return read_frames(spark, path, pattern).select(F.regexp_extract("path", "[^/]+$", 0).alias("path"))
 
 
-def frame_pixels(frames: DataFrame, roi=(0.0, 0.0, 1.0, 1.0), working_width: int | None = None, resample: str = "bilinear") -> DataFrame:
-    """Pixels of PNG or JPEG frames (image_id, content); a frame that cannot
-    be read is one row with NULL coordinates, so that nothing fails the job
-    and nothing is passed over in silence."""
+def frame_pixels(frames: DataFrame, roi=(0.0, 0.0, 1.0, 1.0), working_width: int | None = None, resample: str = "bilinear", rings=None) -> DataFrame:
+    """Pixels of PNG or JPEG frames (image_id, content), with ``in_region``
+    where the region has rings; a frame that cannot be read is one row with
+    NULL coordinates, so that nothing fails the job and nothing is passed over
+    in silence."""
+    schema = PIXELS + (", in_region boolean" if rings is not None else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(parts):
         for part in parts:
             for r in part.itertuples():
                 try:
-                    rgb = working_frame(decode_frame(r.content), roi, working_width, resample)
+                    whole = decode_frame(r.content)
+                    box = crop_box(roi, whole.shape[1], whole.shape[0])
+                    rgb = working_frame(whole, roi, working_width, resample)
                 except FrameError:
-                    yield pd.DataFrame({c.split()[0]: pd.array([r.image_id if c.startswith("image_id") else None], dtype="Int64") for c in PIXELS.split(", ")})
+                    yield pd.DataFrame({c: pd.array([r.image_id if c == "image_id" else None], dtype="boolean" if c == "in_region" else "Int64") for c in names})
                     continue
                 y, x = np.indices(rgb.shape[:2])
-                yield pd.DataFrame({"image_id": r.image_id, "y": y.ravel(), "x": x.ravel(), **{n: rgb[..., k].ravel().astype(np.int32) for k, n in enumerate(("r8", "g8", "b8"))}})
+                out = {"image_id": r.image_id, "y": y.ravel(), "x": x.ravel(), **{n: rgb[..., k].ravel().astype(np.int32) for k, n in enumerate(("r8", "g8", "b8"))}}
+                if rings is not None:
+                    out["in_region"] = polygon_raster(rings, relative(box, whole.shape[1], whole.shape[0]), *rgb.shape[:2]).ravel()
+                yield pd.DataFrame(out)
+
+    return frames.select("image_id", "content").mapInPandas(run, schema)
+
+
+def _inside(rect: tuple, roi: tuple) -> tuple[float, float, float, float]:
+    """An image rectangle in a region's own coordinates, cut at its edges."""
+    (x, y, w, h), (rx, ry, rw, rh) = rect, roi
+    x0, y0, x1, y1 = (x - rx) / rw, (y - ry) / rh, (x + w - rx) / rw, (y + h - ry) / rh
+    x0, y0 = max(x0, 0.0), max(y0, 0.0)
+    return x0, y0, min(x1, 1.0) - x0, min(y1, 1.0) - y0
 
-    return frames.select("image_id", "content").mapInPandas(run, PIXELS)
+
+MARKED = "bin_id string, image_id long, auto boolean, ord int, y int, x int, r8 int, g8 int, b8 int, error string"
+
+
+def marked_pixels(frames: DataFrame, marks: DataFrame, working_width: int | None = None, resample: str = "bilinear") -> DataFrame:
+    """Pixels under the marks of each frame (image_id, content), each mark on
+    the grid of the region that it was drawn in.
+
+    ``marks``: image_id, bin_id, auto, ord, rect, roi.  A frame meets its few
+    marks by its id, and is decoded once, each of its marks' regions scaled
+    once.  A mark without a pixel, or on a frame that cannot be read, is one
+    row with its ``error``.
+    """
+    names = [c.split()[0] for c in MARKED.split(", ")]
+    plain = lambda r: (r["x"], r["y"], r["w"], r["h"])
+
+    def run(parts):
+        for part in parts:
+            for f in part.itertuples():
+                grids, rows, whole, broken = {}, [], None, None
+                try:
+                    whole = decode_frame(f.content)
+                except FrameError as e:
+                    broken = str(e)
+                for m in f.marks:
+                    row = {"bin_id": m["bin_id"], "image_id": f.image_id, "auto": m["auto"], "ord": m["ord"]}
+                    try:
+                        if broken:
+                            raise FrameError(broken)
+                        roi = plain(m["roi"])
+                        if roi not in grids:
+                            grids[roi] = working_frame(whole, roi, working_width, resample)
+                        rgb = grids[roi]
+                        x0, y0, x1, y1 = crop_box(_inside(plain(m["rect"]), roi), rgb.shape[1], rgb.shape[0])
+                    except FrameError as e:
+                        rows.append(pd.DataFrame([row | {"error": str(e)}], columns=names))
+                        continue
+                    y, x = (a.ravel() for a in np.mgrid[y0:y1, x0:x1])
+                    rows.append(pd.DataFrame(row | {"y": y, "x": x, **{n: rgb[y, x, k].astype(int) for k, n in enumerate(("r8", "g8", "b8"))}}, columns=names))
+                if rows:
+                    yield pd.concat(rows, ignore_index=True).astype({c: "Int64" for c in ("y", "x", "r8", "g8", "b8")} | {"error": object, "bin_id": object})
+
+    few = marks.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("bin_id", "auto", "ord", "rect", "roi"))).alias("marks"))
+    return frames.select("image_id", "content").join(few, "image_id").mapInPandas(run, MARKED)
 
 
 def scene(size=(320, 200), rects=(), grey: float = 0.5, noise: float = 0.02, seed: int = 0) -> np.ndarray:

@@ -58,13 +58,61 @@ def tables(store: DataFrame) -> dict[str, DataFrame]:
     points = lambda c: F.transform(c, lambda ring: F.transform(ring, lambda p: F.struct(F.element_at(p, 1).alias("x"), F.element_at(p, 2).alias("y"))))
     each = store.select(F.posexplode("images").alias("ord", "e"))
     bins = store.select(F.inline("bins")).withColumnRenamed("id", "bin_id")
-    images = each.select("e.path", "ord", "e.view_epoch", "e.excluded", F.col("e.auto").isNotNull().alias("auto"), "e.label_roi", points(F.col("e.label_polygons")).alias("label_rings"))
+    images = each.select("e.path", "ord", "e.view_epoch", "e.excluded", F.col("e.auto").isNotNull().alias("auto"), F.col("e.auto").alias("light"), "e.label_roi", points(F.col("e.label_polygons")).alias("label_rings"))
     said = [each.select("e.path", F.explode(f"e.{k}").alias("bin_id"), F.lit(k).alias("label"), F.col("e.label_epoch").alias("m")) for k in ("present", "absent")]
     labels = said[0].unionByName(said[1]).select("path", "bin_id", "label", F.try_element_at("m", F.col("bin_id")).alias("label_epoch"))
     drawn = each.select("e.path", F.explode("e.samples").alias("bin_id", "r")).select("path", "bin_id", F.posexplode("r").alias("ord", "s"))
     samples = drawn.select("path", "bin_id", "ord", "s.rect", "s.roi", "s.epoch")
-    config = store.select("roi", points(F.col("roi_polygons")).alias("rings"), "working_width", "view_epoch")
-    return {"bins": bins, "images": images, "labels": labels, "samples": samples, "config": config}
+    config = store.select("roi", points(F.col("roi_polygons")).alias("rings"), "working_width", "resample", "view_epoch")
+    captures = store.select(F.explode("capture_epochs").alias("path", "capture_epoch"))
+    return {"bins": bins, "images": images, "labels": labels, "samples": samples, "config": config, "captures": captures}
+
+
+def document(tables: dict[str, DataFrame]) -> DataFrame:
+    """The one-row store document of normalised tables: the other way round."""
+    pairs = lambda c: F.transform(c, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    said = tables["labels"].groupBy("path").agg(
+        *(F.array_sort(F.collect_set(F.when(F.col("label") == k, F.col("bin_id")))).alias(k) for k in ("present", "absent")),
+        F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("label_epoch").isNotNull(), F.struct("bin_id", "label_epoch"))))).alias("label_epoch"))
+    drawn = tables["samples"].groupBy("path", "bin_id").agg(F.array_sort(F.collect_list(F.struct("ord", "rect", "roi", "epoch"))).alias("s"))
+    rects = F.transform("s", lambda x: F.struct(x["rect"].alias("rect"), x["roi"].alias("roi"), x["epoch"].alias("epoch")))
+    drawn = drawn.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bin_id", rects.alias("r"))))).alias("samples"))
+    light = "struct<median_sat:double,median_val:double>"
+    own = tables["images"].join(said, "path", "left").join(drawn, "path", "left")
+    none = F.array().cast("array<string>")
+    entry = F.struct(
+        "ord", "path", F.coalesce("samples", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<array<struct<rect:{RECT},roi:{RECT},epoch:int>>>"))).alias("samples"),
+        F.coalesce("present", none).alias("present"), F.coalesce("absent", none).alias("absent"), "label_roi", pairs(F.col("label_rings")).alias("label_polygons"),
+        F.coalesce("label_epoch", F.map_from_arrays(none, F.array().cast("array<int>"))).alias("label_epoch"), "view_epoch", "excluded",
+        F.when(F.col("auto"), F.coalesce(F.col("light"), F.struct(F.lit(None).cast("double").alias("median_sat"), F.lit(None).cast("double").alias("median_val")).cast(light))).alias("auto"))
+    in_order = lambda a, b: F.signum(a["ord"] - b["ord"]).cast("int")
+    images = own.agg(F.array_sort(F.collect_list(entry), in_order).alias("i"))
+    images = images.select(F.transform("i", lambda e: F.struct(*(e[c].alias(c) for c in ("path", "samples", "present", "absent", "label_roi", "label_polygons", "label_epoch", "view_epoch", "excluded", "auto")))).alias("images"))
+    bins = tables["bins"].agg(F.array_sort(F.collect_list(F.struct(F.col("bin_id").alias("id"), "name", "active", "appearance_epoch"))).alias("bins"))
+    captures = tables["captures"].agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "capture_epoch")))).alias("capture_epochs"))
+    whole = tables["config"].limit(1)
+    for part in (captures, bins, images):  # each is one row
+        whole = whole.withColumn("_k", F.lit(1)).join(part.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return whole.select(F.lit(STORE_VERSION).alias("schema_version"), "roi", pairs(F.col("rings")).alias("roi_polygons"), "working_width", "resample", "view_epoch", "capture_epochs", "bins", "images")
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """A store of any version, brought up to date; one of version 1 is first
+    copied beside itself, once, before anything can overwrite it."""
+    version = spark.read.schema("schema_version INT").option("multiLine", True).json(path).first()
+    if version is None or version.schema_version != 1:
+        return read_store(spark, path)
+    old = read_document(spark, path, V1)
+    write_document(old.withColumn("schema_version", F.lit(1)), f"{path}.v1.bak", "ignore")
+    return migrate_v1(old)
+
+
+def save_store(tables: dict[str, DataFrame], path: str) -> None:
+    """Write the tables' document.  It is brought together first, as it may
+    replace the very file that the tables read."""
+    doc = document(tables)
+    spark = doc.sparkSession
+    write_document(spark.createDataFrame(doc.collect(), doc.schema), path)
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:

@@ -7,12 +7,14 @@ within its capacity.
 
 from __future__ import annotations
 
+import json
+import time
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color
-from ..operators import aggregates, evidence, learning, reservoir
+from ..operators import aggregates, detector, evidence, reservoir
 from ..operators.palette import JUNK_WARN, CalibrationError, Palette, learn_band
 from ..operators.raster import Model
 from ..sources import frames
@@ -84,37 +86,90 @@ def evaluate_frames(pixels: DataFrame, patches: DataFrame, limits: dict[str, flo
     return out.select("image_id", "sat", "val", F.coalesce("accept", F.lit(False)).alias("accept"), F.coalesce("refused", "reason").alias("reason"), "evict")
 
 
+#: Declarations and rectangles of one session; an installation has a handful.
+MOST_DECLARED, MOST_RECTS = 1_000, 10_000
+
+
+def _few(rows: DataFrame, most: int, what: str) -> list:
+    """All rows, which must not be more than ``most``."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"over {most} {what}")
+    return got
+
+
+def _for_each(frames: DataFrame, rows: list, schema: str) -> DataFrame:
+    """Every frame with every one of a few rows."""
+    some = frames.sparkSession.createDataFrame(rows, schema).select(F.collect_list(F.struct("*")).alias("x")).first().x
+    literal = F.from_json(F.lit(json.dumps([r.asDict(True) for r in some])), f"array<struct<{schema}>>")
+    return frames.select("path", F.explode(literal).alias("r")).select("path", "r.*")
+
+
 def record_frames(tables: dict[str, DataFrame], accepted: DataFrame, declared: DataFrame, rects: DataFrame, view_epoch: int) -> dict[str, DataFrame]:
     """The evidence tables with the accepted frames (path, ord, evict) added:
     an automatic entry each, its declared labels, its reference rectangles
     as samples; evicted frames are forgotten.  Everything is checked before
-    anything is returned, so a batch is written whole or not at all."""
+    anything is returned, so a batch is written whole or not at all; a
+    declaration or rectangles beyond what a session can have are an error."""
     new = accepted.select("path", "ord", F.lit(view_epoch).alias("view_epoch"), F.lit(False).alias("excluded"), F.lit(True).alias("auto"))
     if not new.join(tables["images"], "path", "left_semi").isEmpty():
         raise ValueError("a frame is recorded already")
-    given = accepted.select("path").join(F.broadcast(declared.select("bin_id", F.col("state").alias("label")).limit(1_000)))
-    labels = evidence.set_labels(tables["labels"], given, tables["bins"])
+    said = _few(declared.select("bin_id", F.col("state").alias("label")), MOST_DECLARED, "declared bins")
     shown = declared.where("state = 'present'").select("bin_id")
-    drawn = accepted.select("path").join(F.broadcast(rects.join(shown, "bin_id", "left_semi").select("bin_id", "ord", "rect", "roi").limit(10_000)))
-    samples = evidence.add_samples(tables["samples"], drawn, tables["bins"])
+    box = "struct<x:double,y:double,w:double,h:double>"
+    marks = _few(rects.join(shown, "bin_id", "left_semi").select("bin_id", "ord", "rect", "roi"), MOST_RECTS, "reference rectangles")
+    labels = evidence.set_labels(tables["labels"], _for_each(accepted, said, "bin_id string, label string"), tables["bins"]) if said else tables["labels"]
+    samples = evidence.add_samples(tables["samples"], _for_each(accepted, marks, f"bin_id string, ord int, rect {box}, roi {box}"), tables["bins"]) if marks else tables["samples"]
     images = tables["images"].unionByName(new, allowMissingColumns=True)
     gone = accepted.where("evict is not null").select(F.col("evict").alias("path"))
     return tables | {"images": evidence.set_excluded(images, gone, True), "labels": labels, "samples": samples}
 
 
-def detection_stream(stream: DataFrame, models: list[Model], folder: str, checkpoint: str, *, roi=(0.0, 0.0, 1.0, 1.0), working_width: int | None = 640, limits: dict[str, float] | None = None):
-    """Detect on every landing frame and write verdicts and light by batch.
+def detection_stream(stream: DataFrame, models: list[Model], folder: str, checkpoint: str, *, roi=(0.0, 0.0, 1.0, 1.0), working_width: int | None = 640, resample: str = "bilinear", rings=None, limits: dict[str, float] | None = None, every: float | None = None):
+    """Detect on every landing frame and write verdicts, light and outcome by
+    batch; frames that cannot be read are rows with their error.
 
     A batch writes into a folder of its own number, so that a batch that is
-    repeated after a failure replaces what it had written.
+    repeated after a failure replaces what it had written.  With ``every``
+    seconds the stream goes on at that cadence, one batch at a time; without
+    it, it ends when all frames at hand are done.  Without models nothing is
+    detected: each frame's outcome is ``not_calibrated``.
     """
-    limits = limits or {"sat_min": 0.0, "val_max": 1.0, "clip_max": 1.0, "row_dup_max": 1.0}
-
     def handle(batch: DataFrame, number: int) -> None:
         named = batch.withColumn("image_id", F.xxhash64("path"))
-        px = frames.frame_pixels(named, roi, working_width).where("y is not null")
-        px = px.withColumns(color.rgb_to_hsv(*(F.col(c) / 255.0 for c in ("r8", "g8", "b8"))))
-        found = learning.detect(px, models).join(aggregates.frame_gates(px, limits), "image_id")
+        if models:
+            found = detector.detect(named, models, limits, roi=roi, working_width=working_width, resample=resample, rings=rings)
+        else:
+            found = named.select("image_id", F.lit("not_calibrated").alias("outcome"))
         found.join(named.select("image_id", "path", "modificationTime"), "image_id").write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=f"{every} seconds")).start()
+
+
+def watched(query, seconds: float, poll: float = 0.2) -> str:
+    """Let one batch of a stream take at most ``seconds``: its scan interval.
+
+    Returns how the watch ended: ``ok`` when the stream ended by itself,
+    ``detect_error`` when it failed, ``watchdog_timeout`` after stopping it.
+    """
+    began, batch = time.monotonic(), None
+    while not query.awaitTermination(poll):
+        progress = query.lastProgress
+        now = (progress or {}).get("batchId") if isinstance(progress, dict) else getattr(progress, "batchId", None)
+        if now != batch or not query.status["isTriggerActive"]:
+            began, batch = time.monotonic(), now
+        elif time.monotonic() - began > seconds:
+            query.stop()
+            return "watchdog_timeout"
+    return "detect_error" if query.exception() is not None else "ok"
+
+
+def run_status(query, models: list[Model], last: str | None) -> str:
+    """What a look at the stream finds now: a batch still at work, nothing
+    learned yet, nothing run yet, or the ``last`` frame's outcome."""
+    if query is not None and query.isActive and query.status["isTriggerActive"]:
+        return "previous_run_still_busy"
+    if not models:
+        return "not_calibrated"
+    return last or "no_run_yet"
