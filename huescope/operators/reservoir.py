@@ -1,8 +1,9 @@
 """Bounded sets of frames that cover the light, by situation.
 
 A situation is the pair of sorted present and absent bins; its frames are
-points (median_sat, median_val).  A situation holds a couple of dozen
-members, so order-dependent decisions run as grouped maps by situation.
+points (median_sat, median_val).  What a situation holds is bounded by its
+capacity, so order-dependent decisions stream its frames, sorted, past a
+couple of dozen members.
 """
 
 from __future__ import annotations
@@ -53,30 +54,84 @@ def decide(retained: list[tuple[str, tuple[float, float]]], candidate: tuple[flo
     return (False, "no_improvement", None) if best == 0 else (True, "replaced", retained[best - 1][0])
 
 
+class _Thinning:
+    """Points of which one after the other goes, each with its nearest other.
+
+    Only points whose nearest has gone look for another, so a removal costs
+    about one pass over the points, and nothing holds all distances.
+    """
+
+    def __init__(self, points: np.ndarray):
+        self.points, self.alive = points, np.ones(len(points), bool)
+        self.nearest, self.distance = np.full(len(points), -1), np.full(len(points), np.inf)
+        for i in range(len(points)):
+            self._look(i)
+
+    def _look(self, i: int, without: int = -1) -> tuple[int, float]:
+        d = np.abs(self.points - self.points[i]).max(1)
+        d[~self.alive] = np.inf
+        d[i] = np.inf
+        if without >= 0:
+            d[without] = np.inf
+            return int(d.argmin()), float(d.min())
+        self.nearest[i], self.distance[i] = int(d.argmin()), float(d.min())
+        return self.nearest[i], self.distance[i]
+
+    def _left_without(self, gone: int) -> float:
+        """The smallest distance among the others."""
+        own = self.alive.copy()
+        own[gone] = False
+        orphans = np.flatnonzero(own & (self.nearest == gone))
+        own[orphans] = False
+        found = [float(self.distance[own].min())] if own.any() else []
+        return min([*found, *(self._look(int(i), gone)[1] for i in orphans)], default=np.inf)
+
+    def drop(self) -> int:
+        """Remove the first point whose absence leaves the most separation:
+        one of the closest pair, or, if that changes nothing, the first."""
+        left = np.flatnonzero(self.alive)
+        a = int(left[self.distance[left].argmin()])
+        closest = float(self.distance[a])
+        pair = sorted((a, int(self.nearest[a])))
+        gain = [self._left_without(i) for i in pair]
+        gone = pair[int(np.argmax(gain))] if max(gain) > closest else int(left[0])
+        self.alive[gone] = False
+        for i in np.flatnonzero(self.alive & (self.nearest == gone)):
+            self._look(int(i))
+        return gone
+
+
 def trim(retained: list[tuple[str, tuple[float, float]]], capacity: int = CAPACITY) -> list[str]:
     """Paths to drop until the capacity holds, most redundant first."""
-    left, out = list(retained), []
-    while len(left) > capacity:
-        out.append(left.pop(int(_separation_without(np.array([p for _, p in left], float)).argmax()))[0])
-    return out
+    thin = _Thinning(np.array([p for _, p in retained], float).reshape(-1, 2))
+    return [retained[thin.drop()][0] for _ in range(max(len(retained) - capacity, 0))]
 
 
 def replay(frames: DataFrame, keys: list[str], order: str, capacity: int = CAPACITY) -> DataFrame:
     """The decision on each frame (path, sat, val), taken in order within its
-    situation, each on top of the ones before."""
+    situation, each on top of the ones before.
+
+    The frames pass sorted; a task holds a batch and one situation's members,
+    however many frames the situation has."""
+    names = [*keys, order, "path", "accept", "reason", "evict"]
     schema = ", ".join([*(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys), f"{order} {frames.schema[order].dataType.simpleString()}", "path string, accept boolean, reason string, evict string"])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
         held: list[tuple[str, tuple[float, float]]] = []
-        rows = []
-        for r in part.sort_values(order).itertuples():
-            accept, reason, evict = decide(held, (r.sat, r.val), capacity)
-            if accept:
-                held = [x for x in held if x[0] != evict] + [(r.path, (r.sat, r.val))]
-            rows.append([*(getattr(r, k) for k in keys), getattr(r, order), r.path, accept, reason, evict])
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return by_frame(frames, keys, run, schema)
+        now = None
+        for part in batches:
+            rows = []
+            for r in part.itertuples(index=False):
+                key = tuple(getattr(r, k) for k in keys)
+                if key != now:
+                    now, held = key, []
+                accept, reason, evict = decide(held, (r.sat, r.val), capacity)
+                if accept:
+                    held = [x for x in held if x[0] != evict] + [(r.path, (r.sat, r.val))]
+                rows.append([*key, getattr(r, order), r.path, accept, reason, evict])
+            yield pd.DataFrame(rows, columns=names).astype({c: object for c in ("path", "reason", "evict")})
+
+    return frames.select(*keys, order, "path", "sat", "val").repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
 def over_capacity(frames: DataFrame, keys: list[str], order: str, capacity: int = CAPACITY) -> DataFrame:
@@ -85,11 +140,11 @@ def over_capacity(frames: DataFrame, keys: list[str], order: str, capacity: int
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)
-        gone = trim([(r.path, (r.sat, r.val)) for r in part.itertuples()], capacity)
+        gone = trim(list(zip(part.path, zip(part.sat, part.val))), capacity)
         rows = [[*(part[k].iloc[0] for k in keys), path, turn] for turn, path in enumerate(gone, 1)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
-    return by_frame(frames, keys, run, schema)
+    return by_frame(frames.select(*keys, order, "path", "sat", "val"), keys, run, schema)
 
 
 def situations(entries: DataFrame) -> DataFrame:

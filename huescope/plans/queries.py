@@ -96,7 +96,10 @@ def kappa_from_resultant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir).select("event_id", r(F.when(k == float("inf"), 1e9).otherwise(k)).alias("kappa"))
 
 
-@query()
+# the integral of exp(x cos t) over a circle, by equal steps; past the double range its leading term
+@query(cte("scan") + """ SELECT event_id, round(CASE WHEN abs(area_frac * 50) <= 700
+THEN abs(area_frac * 50) + ln(list_sum(list_transform(range(0, 1024), lambda k: exp(abs(area_frac * 50) * (cos(2 * pi() * k / 1024) - 1)))) / 1024)
+ELSE abs(area_frac * 50) - 0.5::DOUBLE * ln(2 * pi() * abs(area_frac * 50)) END, 6) AS log_i0 FROM scan""")
 def log_i0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir).select("event_id", r(color.log_i0(F.col("area_frac") * 50)).alias("log_i0"))
 
@@ -607,14 +610,54 @@ def reference_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservoir.reference_rects(s).select("bin_id", "path")
 
 
-@query()
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of larger situations: of 400 events in a row, those of one type
+    and half of the cameras, so that most hold more than the capacity."""
+    f = _frames(spark, sf_dir).withColumn("ord", F.col("path").cast("long"))
+    return f.select((F.floor(F.col("ord") / 400) * 2 + F.col("camera") % 2).alias("camera"), "event_type", "ord", "path", "sat", "val")
+
+
+_KEPT = """kept AS (SELECT event_id // 400 * 2 + camera % 2 AS camera, event_type, event_id AS ord, CAST(event_id AS VARCHAR) AS path, median_sat AS sat, median_val AS val,
+  row_number() OVER (PARTITION BY event_id // 400, camera % 2, event_type ORDER BY event_id) AS n FROM scan)"""
+_PAIRS = "flatten(list_transform(range(1, len(u) + 1), lambda j: list_transform(range(j + 1, len(u) + 1), lambda k: {'j': j, 'k': k, 'd': greatest(abs(u[j].sat - u[k].sat), abs(u[j].val - u[k].val))})))"
+_GAINS = "list_transform(range(1, len(u) + 1), lambda i: list_min(list_transform(list_filter(pairs, lambda p: p.j <> i AND p.k <> i), lambda p: p.d)))"
+_POINTS = "STRUCT(path VARCHAR, sat DOUBLE, val DOUBLE)[]"
+
+
+@query(cte("scan", more=_KEPT) + f""", walk AS (
+  WITH RECURSIVE w(camera, event_type, n, held, ord, path, accept, reason, evict) AS (
+    SELECT DISTINCT camera, event_type, 0::BIGINT, []::{_POINTS}, NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, NULL::VARCHAR, NULL::VARCHAR FROM kept
+    UNION ALL
+    SELECT camera, event_type, n, CASE reason WHEN 'filled' THEN list_append(held, me) WHEN 'replaced' THEN list_append(list_filter(held, lambda h: h.path <> evict), me) ELSE held END,
+      ord, path, reason IN ('filled', 'replaced'), reason, evict
+    FROM (SELECT *, coalesce(early, CASE WHEN best = 1 THEN 'no_improvement' ELSE 'replaced' END) AS reason, CASE WHEN early IS NULL AND best > 1 THEN u[best].path END AS evict
+    FROM (SELECT *, list_position(gains, list_max(gains)) AS best
+    FROM (SELECT *, CASE WHEN early IS NULL THEN {_GAINS} END AS gains
+    FROM (SELECT *, CASE WHEN early IS NULL THEN {_PAIRS} END AS pairs
+    FROM (SELECT w.camera, w.event_type, k.n, held, k.ord, k.path, {{'path': k.path, 'sat': k.sat, 'val': k.val}} AS me, list_prepend({{'path': k.path, 'sat': k.sat, 'val': k.val}}, held) AS u,
+      CASE WHEN len(list_filter(held, lambda h: greatest(abs(h.sat - k.sat), abs(h.val - k.val)) < 1::DOUBLE / 255)) > 0 THEN 'duplicate' WHEN len(held) < {reservoir.CAPACITY} THEN 'filled' END AS early
+      FROM w JOIN kept k ON k.camera = w.camera AND k.event_type = w.event_type AND k.n = w.n + 1)))))
+  ) SELECT * FROM w WHERE n > 0)
+SELECT camera, event_type, ord, path, accept, reason, evict FROM walk""")
 def reservoir_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reservoir.replay(_frames(spark, sf_dir), ["camera", "event_type"], "seq", capacity=5)
-
-
-@query()
+    return reservoir.replay(_kept(spark, sf_dir), ["camera", "event_type"], "ord")
+
+
+# whoever is not in every closest pair leaves the closest distance as it is
+@query(cte("scan", more=_KEPT) + f""", walk AS (
+  WITH RECURSIVE w(camera, event_type, u, turn, path) AS (
+    SELECT camera, event_type, list({{'path': path, 'sat': sat, 'val': val}} ORDER BY ord)::{_POINTS}, 0, NULL::VARCHAR FROM kept GROUP BY camera, event_type
+    UNION ALL
+    SELECT camera, event_type, list_filter(u, lambda x, i: i <> gone), turn + 1, u[gone].path
+    FROM (SELECT *, CASE WHEN len(two) = 0 THEN 1 ELSE list_extract(list_transform(list_sort(list_transform(two, lambda i: {{'g': -list_min(list_transform(list_filter(pairs, lambda p: p.j <> i AND p.k <> i), lambda p: p.d)), 'i': i}})), lambda x: x.i), 1) END AS gone
+    FROM (SELECT *, list_filter([closest[1].j, closest[1].k], lambda i: len(list_filter(closest, lambda p: p.j <> i AND p.k <> i)) = 0) AS two
+    FROM (SELECT *, list_filter(pairs, lambda p: p.d = least_d) AS closest
+    FROM (SELECT *, list_min(list_transform(pairs, lambda p: p.d)) AS least_d
+    FROM (SELECT *, {_PAIRS} AS pairs FROM w WHERE len(u) > {reservoir.CAPACITY})))))
+  ) SELECT * FROM w WHERE turn > 0)
+SELECT camera, event_type, path, turn FROM walk""")
 def reservoir_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reservoir.over_capacity(_frames(spark, sf_dir), ["camera", "event_type"], "seq", capacity=8)
+    return reservoir.over_capacity(_kept(spark, sf_dir), ["camera", "event_type"], "ord")
 
 
 # Time -------------------------------------------------------------------------------------
