@@ -14,14 +14,13 @@ Texts with equal sets are one class from the start.  A bucket compares its
 classes by small sketches and names the links of a spanning tree over those
 that the sketches let pass, closest first; each link is checked exactly on the
 whole shingle sets and what it connects becomes one component.  A bucket whose
-links all hold is settled.  In the others rounds follow that name for each
-class its closest few of other components, then the next closest, until no two
-of different components are left that the sketches let pass and that were not
-checked.  The first group's buckets go first, so that a large group of copies
-is mostly one component before the others look at it.  A bucket over the limit
-is first compared in random parts, which joins what is dense; if several
-components are left, it is dealt again by the sketches, and what then is over
-the limit is compared block by block.
+links all hold is settled.  The others get their classes' whole sets and work
+out all similarities in one task, which returns a spanning tree of those that
+reach the threshold: never a row for each pair.  The first group's buckets go
+first, so that a large group of copies is mostly one component before the
+others look at it.  A bucket over the limit is first compared in random parts,
+which joins what is dense; if several components are left, it is dealt again
+by the sketches, and what then is over the limit is compared block by block.
 """
 
 from __future__ import annotations
@@ -37,9 +36,9 @@ from .components import components
 from .simhash import links_within, shingle_hashes, simhash
 
 GROUPS_LOG2, SAMPLE, SLOTS_LOG2 = 4, 3, 7
-CLOSEST = 16  # links of a class that a bucket names at first where its tree did not hold
 MARGIN = 0.18  # below the similarity; a pair that reaches it agrees in fewer of 128 bytes once in some 700,000
-BUCKET = 2_048
+BUCKET, BUCKET_BYTES = 2_048, 48 << 20  # classes of a bucket, and bytes of their sets, in one task
+COLUMNS = 4_096  # shared shingles that are counted at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(3).integers(0, 1 << 63, 1 << SLOTS_LOG2, np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("cls", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int64())])
@@ -96,7 +95,7 @@ def _tree(comp: np.ndarray, same: np.ndarray) -> list[tuple[int, int]]:
     given, closest first: each component takes its closest link, and again."""
     label, out = np.unique(comp, return_inverse=True)[1], []
     while True:
-        away = np.where(label[:, None] != label[None], same, np.int16(-1))
+        away = np.where(label[:, None] != label[None], same, same.dtype.type(-1))
         to = away.argmax(1)
         best = away[np.arange(len(to)), to]
         rows = np.flatnonzero(best >= 0)
@@ -111,67 +110,81 @@ def _tree(comp: np.ndarray, same: np.ndarray) -> list[tuple[int, int]]:
                 label[label == max(label[i], label[j])] = min(label[i], label[j])
 
 
-def _linker(least: float, similarity: float, first: int | None = None, last: int = 0):
-    """Over rows sorted by key, links (a, b, key) of the buckets' classes.
-
-    Without ``first``: a spanning tree's.  With it: those of each class to
-    classes of another component that rank from ``first`` to ``last`` among
-    its closest, and (null, null, key) for buckets where further ones follow.
-    """
-    slots = 1 << SLOTS_LOG2
-
-    def ranked(cls, comp, n, marks):
-        x, y, more, step = [], [], False, max(1, (1 << 18) // len(cls))
-        for a in range(0, len(cls), step):
-            mine = slice(a, a + step)
-            same = _agreement(marks, n, least, similarity, mine)
-            rank = np.argsort(np.argsort(-same, axis=1, kind="stable"), axis=1, kind="stable")
-            near = (same >= 0) & (comp[mine, None] != comp)
-            more = more or bool((near & (rank >= last)).any())
-            i, j = np.nonzero(near & (rank >= first) & (rank < last))
-            x.append(i + a), y.append(j)
-        return np.concatenate(x), np.concatenate(y), more
-
-    def tree(cls, comp, n, marks):
-        step = max(1, (1 << 21) // (len(cls) * slots))
-        same = np.concatenate([_agreement(marks, n, least, similarity, slice(a, a + step)) for a in range(0, len(cls), step)])
-        pairs = np.array(_tree(comp, same), np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1], False
-
+def _by_key(pairs_of):
+    """Over rows sorted by key: links (a, b, key) of each bucket that holds
+    more than one component, by ``pairs_of(its rows, their components)``."""
     def run(batches):
-        tail = None
+        held: list[pa.Table] = []
 
-        def found(table, final):
-            nonlocal tail
+        def found(table):
             keys = table.column("key").to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(keys))[: len(cut)]
-            if not final and len(cut):
-                tail, cut, ends = table.slice(cut[-1]), cut[:-1], ends[:-1]
-            cls, comp, n = (table.column(c).to_numpy() for c in ("cls", "comp", "n"))
-            out, open_ = set(), []
-            for i in np.flatnonzero(ends - cut > 1):
-                s, e = int(cut[i]), int(ends[i])
-                if comp[s] == comp[s:e].max() == comp[s:e].min():
+            cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
+            out = set()
+            for s, e in zip(cut.tolist(), np.append(cut[1:], len(keys)).tolist()):
+                if e - s < 2 or (comp[s:e] == comp[s]).all():
                     continue
-                marks = np.frombuffer(b"".join(table.column("sketch").slice(s, e - s).to_pylist()), np.uint8).reshape(-1, slots)
-                x, y, more = (tree if first is None else ranked)(cls[s:e], comp[s:e], n[s:e], marks)
-                x, y, key = cls[s:e][x], cls[s:e][y], int(keys[s])
-                out.update((a, b, key) for a, b in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-                if more:
-                    open_.append((None, None, key))
-            rows = sorted(out) + open_
+                for i, j in pairs_of(table.slice(s, e - s), comp[s:e]):
+                    x, y = int(cls[s + i]), int(cls[s + j])
+                    out.add((min(x, y), max(x, y), int(keys[s])))
+            rows = sorted(out)
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "key"])
 
         for batch in batches:
-            batch = pa.table(batch.columns, names=batch.schema.names)
-            yield found(pa.concat_tables([tail, batch]).combine_chunks() if tail is not None else batch, False)
-        if tail is not None:
-            yield found(tail, True)
+            if not batch.num_rows:
+                continue
+            table = pa.table(batch.columns, names=batch.schema.names)
+            last = table.column("key")[-1].as_py()
+            open_ = int(np.searchsorted(table.column("key").to_numpy() == last, True))  # where the last bucket starts
+            if open_ or held and held[-1].column("key")[-1].as_py() != last:
+                yield found(pa.concat_tables([*held, table.slice(0, open_)]).combine_chunks())
+                held = []
+            held.append(table.slice(open_))
+        if held:
+            yield found(pa.concat_tables(held).combine_chunks())
 
     return run
 
 
+def _sketch_tree(least: float, similarity: float):
+    """Links of a spanning tree over what the sketches let pass."""
+    slots = 1 << SLOTS_LOG2
+
+    def pairs(rows, comp):
+        marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, slots)
+        step = max(1, (1 << 21) // (len(comp) * slots))
+        n = rows.column("n").to_numpy()
+        return _tree(comp, np.concatenate([_agreement(marks, n, least, similarity, slice(a, a + step)) for a in range(0, len(comp), step)]))
+
+    return _by_key(pairs)
+
+
+def _exact_tree(similarity: float):
+    """Links of a spanning tree over the pairs whose sets reach the similarity."""
+    def pairs(rows, comp):
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("s").to_pylist()]
+        n = np.array(list(map(len, sets)))
+        shingles, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner, shared = np.repeat(np.arange(len(sets)), n), (often > 1)[at]
+        column = np.cumsum(often > 1)[at[shared]] - 1
+        owner = owner[shared]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for a in range(0, int((often > 1).sum()), COLUMNS):
+            s, e = np.searchsorted(column, (a, a + COLUMNS))
+            held = np.zeros((len(sets), COLUMNS), np.float32)
+            held[owner[s:e], column[s:e] - a] = 1
+            common += held @ held.T
+        common = common.astype(np.int64)
+        near = common >= similarity * (n[:, None] + n[None] - common)
+        near &= (n[:, None] > 0) & (n[None] > 0)
+        np.fill_diagonal(near, False)
+        return _tree(comp, np.where(near, common, -1))
+
+    return _by_key(pairs)
+
+
 def _similar(similarity: float):
     """Keep the links whose shingle sets reach the similarity."""
     def run(batches):
@@ -200,19 +213,21 @@ def rebanded(rows: DataFrame) -> DataFrame:
     return rows.select(bands.alias("key"), "cls", "n", "sketch")
 
 
-def blocks(rows: DataFrame, bucket: int) -> DataFrame:
+def blocks(rows: DataFrame, bucket: int, size: int = BUCKET_BYTES) -> DataFrame:
     """Rows (key, comp, cls, n, sketch) dealt into blocks and each two blocks
     of a key under a key of their own, so that each two classes meet somewhere
-    unless they are of one component that fills blocks by itself."""
-    part = max(1, bucket // 4)
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    large = sizes.where(F.col("k") > part)
-    small = sizes.where(F.col("k") <= part).groupBy("key").agg(F.sum("k").alias("rest"))
-    placed = rows.join(large, ["key", "comp"], "left").join(small, "key", "left")
+    unless they are of one component that fills blocks by itself.  Two blocks
+    hold about half a bucket's classes, or half of ``size`` bytes of sets."""
+    limits = rows.groupBy("key").agg(F.greatest(F.least(F.lit(bucket // 4), F.floor(F.lit(size // 32) / F.greatest(F.max("n"), F.lit(1)))), F.lit(1)).cast("long").alias("part_size"))
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("k")).join(limits, "key")
+    large = sizes.where(F.col("k") > F.col("part_size")).drop("part_size")
+    small = sizes.where(F.col("k") <= F.col("part_size")).groupBy("key").agg(F.sum("k").alias("rest"))
+    placed = rows.join(limits, "key").join(large, ["key", "comp"], "left").join(small, "key", "left")
     alone = F.col("k").isNotNull()
+    parts_of = lambda c: F.ceil(F.col(c) / F.col("part_size")).cast("long")
     block = F.struct(alone.alias("alone"), F.when(alone, F.col("comp")).otherwise(0).alias("comp"),
-        F.when(alone, F.pmod(F.xxhash64("cls", F.lit(1)), F.ceil(F.col("k") / part).cast("long"))).otherwise(F.pmod(F.xxhash64("comp", F.lit(1)), F.ceil(F.col("rest") / part).cast("long"))).alias("part"))
-    placed = placed.select("key", "cls", "n", "sketch", block.alias("block"))
+        F.when(alone, F.pmod(F.xxhash64("cls", F.lit(1)), parts_of("k"))).otherwise(F.pmod(F.xxhash64("comp", F.lit(1)), parts_of("rest"))).alias("part"))
+    placed = placed.select("key", "comp", "cls", "n", "sketch", block.alias("block"))
     parts = written(placed.select("key", "block").distinct(), "blocks")
     other = parts.select("key", F.col("block").alias("other"))
     pairs = parts.join(other, "key").where((F.col("block") <= F.col("other")) & ~(F.col("block.alone") & F.col("other.alone") & (F.col("block.comp") == F.col("other.comp"))))
@@ -273,10 +288,9 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
     sets, roots = None, None
     least = similarity - MARGIN
 
-    def verify(candidates: DataFrame) -> DataFrame:
-        """Check the links exactly and renew the components; those that hold."""
-        nonlocal sets, roots
-        nodes = candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct()
+    def with_sets(nodes: DataFrame) -> DataFrame:
+        """(cls, s) of at least these classes; texts are read for new ones."""
+        nonlocal sets
         if sets is not None:
             nodes = nodes.join(sets.select("cls"), "cls", "left_anti")
         wanted = written(classes.join(nodes, "cls", "left_semi").select("cls", F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_hash")), "wanted")
@@ -285,7 +299,13 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
             read = written(_sets(read, shingle).dropDuplicates(["cls"]), "sets")
             sets = read if sets is None else sets.union(read)
         discard(wanted)
-        pairs = candidates.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
+        return sets
+
+    def verify(candidates: DataFrame) -> DataFrame:
+        """Check the links exactly and renew the components; those that hold."""
+        nonlocal roots
+        have = with_sets(candidates.select(F.col("a").alias("cls")).union(candidates.select("b")).distinct())
+        pairs = candidates.join(have.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(have.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
         good = written(pairs.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "similar")
         roots = joined(roots, good)
         return good
@@ -295,26 +315,33 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
             return rows.withColumn("comp", F.col("cls"))
         return rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
 
-    def look(rows: DataFrame, linker, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Name links in each bucket and check them: what was named, what holds."""
-        sorted_ = in_components(rows).select("key", "cls", "comp", "n", "sketch").repartition("key").sortWithinPartitions("key", "cls")
-        found = written(sorted_.mapInArrow(linker, "a long, b long, key long"), "close")
-        candidates = found.where("a IS NOT NULL").select("a", "b")
-        return found, verify((candidates if others is None else candidates.union(others)).distinct())
+    def several(rows: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold more than one component, with it."""
+        rows = in_components(rows)
+        keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        return rows.join(keys, "key", "left_semi")
 
     def compare(rows: DataFrame, others: DataFrame | None = None) -> None:
         """Link the classes of equal key until no two of different components
-        are left unchecked that their sketches let pass."""
-        found, good = look(rows, _linker(least, similarity), others)
+        are left that are similar and that their sketches let pass."""
+        nonlocal roots
+        dealt = in_components(rows).select("key", "cls", "comp", "n", "sketch").repartition("key").sortWithinPartitions("key", "cls")
+        found = written(dealt.mapInArrow(_sketch_tree(least, similarity), "a long, b long, key long"), "close")
+        named = found.select("a", "b")
+        good = verify((named if others is None else named.union(others)).distinct())
         open_ = written(found.join(good, ["a", "b"], "left_anti").select("key").distinct(), "open")
-        at, to = 0, CLOSEST
-        while not open_.isEmpty():
-            before = found, good, open_
-            found, good = look(rows.join(open_, "key", "left_semi"), _linker(least, similarity, at, to))
-            open_ = written(found.where("a IS NULL").select("key").distinct(), "open")
-            discard(*before)
-            at, to = to, to * 8
-        discard(found, good, open_)
+        discard(found)
+        if not open_.isEmpty():
+            left = written(several(rows.join(open_, "key", "left_semi")).select("key", "comp", "cls", "n", "sketch"), "unsettled")
+            heavy = left.groupBy("key").agg(F.sum("n").alias("m")).where(F.col("m") > BUCKET_BYTES // 8).select("key")
+            light = left.join(heavy, "key", "left_anti").select("key", "cls", "n", "sketch")
+            whole = in_components(light.union(blocks(left.join(heavy, "key", "left_semi"), bucket))).select("key", "cls", "comp")
+            have = with_sets(left.select("cls").distinct())
+            sorted_ = whole.join(have, "cls").repartition("key").sortWithinPartitions("key", "cls")
+            links = written(sorted_.mapInArrow(_exact_tree(similarity), "a long, b long, key long"), "exact")
+            roots = joined(roots, links.select("a", "b"))
+            discard(links, left)
+        discard(good, open_)
 
     def parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
         """Rows of hot buckets dealt at random into smaller ones."""
@@ -324,9 +351,7 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8, shingle: int = 5, radi
 
     def unsettled(rows: DataFrame, hot: DataFrame) -> DataFrame:
         """Rows of the hot buckets that hold more than one component."""
-        rows = rows.join(hot.select("key"), "key", "left_semi")
-        keys = in_components(rows).groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        return rows.join(keys, "key", "left_semi")
+        return several(rows.join(hot.select("key"), "key", "left_semi")).drop("comp")
 
     def hot_of(rows: DataFrame) -> DataFrame:
         return written(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > bucket), "hot")

@@ -311,6 +311,44 @@ def test_a_hot_passage_hides_no_pair(spark):
     assert sorted({r.doc_id for r in neardup.keep_one(docs, bucket=64).collect()}) == inverted_kept(texts)
 
 
+def test_exact_trees_of_a_bucket_equal_all_pairs():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(17)
+    for trial in range(40):
+        sets, comp = [], []
+        for c in range(int(rng.integers(1, 6))):
+            base = rng.integers(0, 2**63, int(rng.integers(3, 60)))
+            for _ in range(int(rng.integers(1, 6))):
+                own = np.unique(np.where(rng.random(len(base)) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 2**63, len(base)), base)).astype(np.uint64)
+                sets.append(own)
+                comp.append(int(rng.integers(0, 9)))
+        keys = np.sort(rng.integers(0, 3, len(sets)))
+        table = pa.table({"key": keys, "cls": np.arange(len(sets)), "comp": comp, "s": [x.tobytes() for x in sets]})
+        batches = table.to_batches(max_chunksize=int(rng.integers(1, 9)))
+        got = [(a, b, k) for out in neardup._exact_tree(0.8)(iter(batches)) for a, b, k in zip(*(out.column(i).to_pylist() for i in range(3)))]
+
+        def linked(pairs):
+            root = {}
+
+            def find(x):
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for a, b in pairs:
+                root[find(a)] = find(b)
+            return find
+
+        for key in set(keys.tolist()):
+            mine = np.flatnonzero(keys == key).tolist()
+            true = [(i, j) for i in mine for j in mine if i < j and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+            of_comp = [(i, -1 - comp[i]) for i in mine]
+            a, b = linked(true + of_comp), linked([(x, y) for x, y, k in got if k == key] + of_comp)
+            assert all((a(i) == a(j)) == (b(i) == b(j)) for i in mine for j in mine)
+            assert {(x, y) for x, y, k in got if k == key} <= set(true)
+
+
 def test_blocks_let_all_classes_of_a_hot_bucket_meet(spark):
     rows = [(7, 1 if i < 40 else 2 if i < 70 else i, i, 9, b"s") for i in range(150)] + [(8, i % 2, i, 9, b"s") for i in range(30)]
     comp = {(k, i): c for k, c, i, _, _ in rows}
