@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: set[str] = set()
-_TABLES: list[DataFrame] = []
+_TABLES: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,11 +88,19 @@ def written_since(mark: int | None = None) -> int | list[DataFrame]:
 def discard(*tables: DataFrame | None) -> None:
     """Remove tables of :func:`written` that nothing will read again."""
     for table_ in tables:
-        if getattr(table_, "_written_path", None):
-            _removed(table_.sparkSession, table_._written_path)
+        path = getattr(table_, "_written_path", None)
+        if path:
+            _removed(table_.sparkSession, path)
             table_._written_path = None
 
 
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Remove all tables written since the mark but one."""
+    for path in written_since(mark):
+        if path != getattr(keep, "_written_path", None):
+            _removed(spark, path)
+
+
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     """Let Arrow batches of texts hold a few MB instead of Spark's 64: texts
     are copied a few times on their way through Python and back.  A session

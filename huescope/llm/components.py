@@ -22,10 +22,9 @@ def components(links: DataFrame) -> DataFrame | None:
     mapping = None
     while not links.isEmpty():
         near = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-        parent = written(near.select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "parent")
+        parent = near.select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
         onward = parent.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        before, parent = parent, written(parent.join(onward, "root").select("node", F.col("further").alias("root")), "parent2")
-        discard(before)
+        parent = written(parent.join(onward, "root").select("node", F.col("further").alias("root")), "parent")
         if mapping is None:
             mapping = parent
         else:
