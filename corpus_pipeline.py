@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huescope.llm import decontaminate, neardup, packing, pii, quality
-from huescope.llm.common import discard, table, written, written_since
+from huescope.llm.common import discard, discard_since, table, written, written_since
 from huescope.llm.queries import vocabulary_path
 
 
@@ -55,6 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         mark = written_since()
         done = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
         # nothing reads a stage's own tables, or its input, once its output is written
-        discard(docs, *(t for t in written_since(mark) if t is not done))
+        discard(docs)
+        discard_since(spark, mark, done)
         docs = done
     return docs
