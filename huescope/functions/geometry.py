@@ -127,6 +127,15 @@ def rings_error(rings: Column) -> Column:
     return F.when(F.size(rings) == 0, "no rings").when(few, "a ring has under three vertices").when(outside, "a vertex lies outside the frame").when(rings_bbox(rings).isNull(), "no extent")
 
 
+def region_payload_error(x: Column, y: Column, w: Column, h: Column, rings: Column) -> Column:
+    """Why a given region is invalid, else NULL: rings, or all four numbers
+    of a rectangle inside the frame."""
+    box = rect(x, y, w, h)
+    missing = x.isNull() | y.isNull() | w.isNull() | h.isNull()
+    plain = F.when(missing, "either rings or all four numbers are required").when(clamp_unit(box).isNull(), "outside the frame, or no extent")
+    return F.when(rings.isNotNull(), rings_error(rings)).otherwise(plain)
+
+
 def crossings(rings: Column, x: Column, y: Column) -> Column:
     """Number of edges whose crossing of the height y lies right of x; edges
     count from their lower end up to, not including, their upper end."""

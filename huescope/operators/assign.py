@@ -1,7 +1,8 @@
 """Pixels against models, and theta joins among models.
 
 The models' side is small by nature (object classes of one installation);
-``models_side`` checks that before it is broadcast.
+``few`` checks that before it is broadcast or put into expressions.  A larger
+side meets the pixels by the degree of their hue.
 """
 
 from __future__ import annotations
@@ -12,20 +13,40 @@ from pyspark.sql import functions as F
 from ..functions import color
 
 
-def models_side(models: DataFrame, most: int = 1_000) -> DataFrame:
-    """The models, marked for broadcast if there are at most ``most``."""
-    return F.broadcast(models) if models.limit(most + 1).count() <= most else models
+MOST = 1_000  # models that are broadcast, or become expressions
+
+
+def few(models: DataFrame) -> bool:
+    return models.limit(MOST + 1).count() <= MOST
+
+
+def models_side(models: DataFrame) -> DataFrame:
+    """The models, marked for broadcast if they are a few."""
+    return F.broadcast(models) if few(models) else models
+
+
+def _by_degree(models: DataFrame) -> DataFrame:
+    """Each model once for every degree of hue that its band touches."""
+    low, high = F.floor(F.col("hue_center") - F.col("hue_tol")), F.floor(F.col("hue_center") + F.col("hue_tol"))
+    degrees = F.when(F.col("hue_tol") >= 180, F.sequence(F.lit(0).cast("long"), F.lit(359).cast("long"))).otherwise(F.array_distinct(F.transform(F.sequence(low, high), lambda d: F.pmod(d, F.lit(360).cast("long")))))
+    return models.select("*", F.explode(degrees).alias("_degree"))
 
 
 def match_models(pixels: DataFrame, models: DataFrame) -> DataFrame:
     """Every pixel that some model accepts, with the model and the distance.
 
-    ``models``: bin_id, hue_center, hue_tol, sat_min, val_min.  The pixels
-    stay where they are; conditions are evaluated in the join.
+    ``models``: bin_id, hue_center, hue_tol, sat_min, val_min.  A few models
+    are broadcast and the conditions evaluated in the join; more of them are
+    joined by degree of hue, where only neighbours meet.
     """
-    m = models_side(models.select("bin_id", "hue_center", "hue_tol", "sat_min", "val_min"))
+    m = models.select("bin_id", "hue_center", "hue_tol", "sat_min", "val_min")
     got = color.bin_match(*(F.col(c) for c in ("hue", "sat", "val", "hue_center", "hue_tol", "sat_min", "val_min")))
-    return pixels.join(m, got["accepted"]).withColumn("distance", got["distance"]).drop("hue_center", "hue_tol", "sat_min", "val_min")
+    if few(m):
+        joined = pixels.join(F.broadcast(m), got["accepted"])
+    else:
+        degree = F.pmod(F.floor("hue"), F.lit(360).cast("long"))
+        joined = pixels.withColumn("_degree", degree).join(_by_degree(m), "_degree").where(got["accepted"]).drop("_degree")
+    return joined.withColumn("distance", got["distance"]).drop("hue_center", "hue_tol", "sat_min", "val_min")
 
 
 def exclusive_masks(pixels: DataFrame, models: DataFrame, keys: list[str] = ["image_id", "y", "x"]) -> DataFrame:
@@ -33,11 +54,14 @@ def exclusive_masks(pixels: DataFrame, models: DataFrame, keys: list[str] = ["im
 
     Pixels are judged alone, so the (few) models' distances become columns
     of the pixel's own row instead of a window over pixel keys: no shuffle,
-    and all of it inside generated code.
+    and all of it inside generated code.  More than a few models are matched
+    by degree of hue and settled by a window over ``keys``.
     """
-    m = models.select("bin_id", "hue_center", "hue_tol", "sat_min", "val_min").orderBy("bin_id").limit(1_001).collect()
-    if len(m) > 1_000:
-        raise ValueError("over a thousand models")
+    m = models.select("bin_id", "hue_center", "hue_tol", "sat_min", "val_min").orderBy("bin_id").limit(MOST + 1).collect()
+    if len(m) > MOST:
+        pixel = Window.partitionBy(*keys)
+        near = match_models(pixels, models).withColumn("_best", F.min("distance").over(pixel)).where("distance = _best")
+        return near.withColumn("_n", F.count("*").over(pixel)).where("_n = 1").drop("_best", "_n", "distance")
     if not m:
         return pixels.withColumn("bin_id", F.lit(None).cast("string")).where(F.lit(False))
     claims = {}

@@ -254,18 +254,26 @@ def by_frame(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     no round trip each, and a task holds a batch and one group at most.
     """
     def parts(batches):
-        rest = None
+        held: list[pd.DataFrame] = []  # pieces of the group that may go on
         for rows in batches:
-            rows = rows if rest is None else pd.concat((rest, rows), ignore_index=True)
+            if not len(rows):
+                continue
             keyed = rows[keys]
             cut = np.flatnonzero((keyed != keyed.shift()).any(axis=1).to_numpy())
-            rest = rows.iloc[cut[-1] :] if len(cut) else rows
-            out = [run(rows.iloc[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+            if held and (held[-1][keys].iloc[-1] == keyed.iloc[0]).all():
+                held.append(rows.iloc[: cut[1]] if len(cut) > 1 else rows)
+                cut = cut[1:]
+            if not len(cut):
+                continue
+            done = [held] if held else []
+            done += [[rows.iloc[a:b]] for a, b in zip(cut[:-1], cut[1:])]
+            held = [rows.iloc[cut[-1] :]]
+            out = [run(g[0] if len(g) == 1 else pd.concat(g, ignore_index=True)) for g in done]
             out = [x for x in out if len(x)]
             if out:
                 yield pd.concat(out, ignore_index=True)
-        if rest is not None and len(rest):
-            yield run(rest)
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(parts, schema)
 

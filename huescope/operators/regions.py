@@ -33,6 +33,24 @@ def region_mask(grid: DataFrame, rings: Column | None, crop: Column) -> DataFram
     return grid if rings is None else polygon_mask(grid, rings, crop)
 
 
+_CELL = ["image_id", "y", "x"]
+
+
+def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells (image_id, y, x) of both masks."""
+    return a.select(*_CELL).intersect(b.select(*_CELL))
+
+
+def mask_or(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of either mask, each once."""
+    return a.select(*_CELL).union(b.select(*_CELL)).distinct()
+
+
+def mask_minus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of the first mask that the second one has not."""
+    return a.select(*_CELL).distinct().join(b.select(*_CELL), _CELL, "left_anti")
+
+
 def depth_in_polygon(cells: DataFrame) -> DataFrame:
     """Chessboard depth of every region cell (image_id, y, x) in relational
     form: the smallest distance to a cell outside, border included.

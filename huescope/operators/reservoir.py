@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import color
 from .raster import by_frame
 
 #: Members of a situation, and the distance under which frames are the same.
@@ -152,16 +151,33 @@ def situations(entries: DataFrame) -> DataFrame:
     return entries.withColumn("situation", F.concat_ws("|", F.concat_ws(",", F.array_sort("present")), F.concat_ws(",", F.array_sort("absent"))))
 
 
+def closest(sat: np.ndarray, val: np.ndarray) -> float:
+    """Smallest Chebyshev distance of two points, infinite under two: sorted
+    by one light, each point is compared with the next ones, as long as some
+    are nearer in it than the best pair."""
+    order = np.lexsort((val, sat))
+    sat, val = sat[order], val[order]
+    best = np.inf
+    for step in range(1, len(sat)):
+        gap = sat[step:] - sat[:-step]
+        near = gap < best
+        if not near.any():
+            break
+        best = min(best, float(np.maximum(gap, np.abs(val[step:] - val[:-step]))[near].min()))
+    return best
+
+
 def min_separation(frames: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Smallest distance between two frames of a group; infinite under two.
+    """Smallest distance between two frames of a group, infinite under two,
+    and the group's size; a task holds one group's points."""
+    schema = ", ".join([*(f"{k} {frames.schema[k].dataType.simpleString()}" for k in keys), "n long, min_separation double"])
+    names = [*keys, "n", "min_separation"]
 
-    A window turns each group (bounded by the capacity) into an array, and
-    pairs are compared inside the row, so nothing is joined with itself.
-    """
-    got = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "sat", "val"))).alias("m"))
-    pair = lambda i: F.array_min(F.transform(F.slice("m", i + 1, F.size("m")), lambda q: color.regime_distance(F.element_at("m", i)["sat"], F.element_at("m", i)["val"], q["sat"], q["val"])))
-    least = F.array_min(F.transform(F.sequence(F.lit(1), F.size("m")), pair))
-    return got.select(*keys, F.size("m").cast("long").alias("n"), F.coalesce(least, F.lit(float("inf"))).alias("min_separation"))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        least = closest(part.sat.to_numpy(float), part.val.to_numpy(float))
+        return pd.DataFrame([[*(part[k].iloc[0] for k in keys), len(part), least]], columns=names)
+
+    return by_frame(frames.select(*keys, "sat", "val"), keys, run, schema)
 
 
 def describe(frames: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -26,6 +26,14 @@ def bins(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BINS, "bin_id string, hue_center double, hue_tol double, sat_min double, val_min double, min_area_frac double, min_pos double, max_neg double, separable boolean")
 
 
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models out of a table: a nation is a bin, its keys give band and areas."""
+    key, region = F.col("n_nationkey"), F.col("n_regionkey")
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_name").alias("bin_id"), (key * 47 % 360).cast("double").alias("hue_center"), (region * 3 + 4).cast("double").alias("hue_tol"), (key % 4 != 0).alias("separable"),
+        F.when(key % 7 != 3, (region * 3 + 5) / 100.0).alias("min_pos"), ((key % 5 * 3 + 2) / 100.0).alias("max_neg"), (key % 5 != 1).alias("active"))
+
+
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels: a supplier's line items in order fill a frame 24 wide."""
     by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
@@ -71,6 +79,10 @@ def label_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = ", ".join("(" + ", ".join("NULL::DOUBLE" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"{v}::DOUBLE" for v in r) + ")" for r in BINS)
 CTE = {
     "bins": f"bins(bin_id, hue_center, hue_tol, sat_min, val_min, min_area_frac, min_pos, max_neg, separable) AS (VALUES {_VALUES})",
+    "catalog": """catalog AS (
+  SELECT n_name AS bin_id, CAST(n_nationkey * 47 % 360 AS DOUBLE) AS hue_center, CAST(n_regionkey * 3 + 4 AS DOUBLE) AS hue_tol, n_nationkey % 4 <> 0 AS separable,
+    CASE WHEN n_nationkey % 7 <> 3 THEN (n_regionkey * 3 + 5) / 100.0::DOUBLE END AS min_pos, (n_nationkey % 5 * 3 + 2) / 100.0::DOUBLE AS max_neg, n_nationkey % 5 <> 1 AS active
+  FROM nation)""",
     "px": """px AS (
   SELECT image_id, CAST(i // 24 AS INTEGER) AS y, CAST(i % 24 AS INTEGER) AS x, r8, g8, b8 FROM (
     SELECT l_suppkey AS image_id,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, verdicts
 from ..operators import aggregates, evidence, learning, raster, regions
-from .adapters import bins, cte, grid8, label_ev, scan, table
+from .adapters import catalog, cte, grid8, label_ev, scan, table
 from .queries import _NOW, _RECT, _RING, _evidence, _mask, _rects, _rings, query, r
 
 _IMAGES = "img AS (SELECT CAST(image_id AS VARCHAR) AS path, image_id, view_epoch, excluded, auto FROM label_ev)"
@@ -51,22 +51,24 @@ def reconcile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.reconcile_bins(declared, stored).select("name", F.col("bin_id").alias("k"), "active")
 
 
-@query("SELECT bin_id FROM (VALUES ('blue'), ('ghost'), ('green')) m(bin_id) WHERE bin_id NOT IN (SELECT unnest(['blue', 'brown', 'red', 'yellow']))")
+@query(cte("catalog") + " SELECT bin_id FROM catalog WHERE separable AND NOT active UNION ALL SELECT 'REGION ' || r_name FROM region")
 def stale_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = spark.createDataFrame([("blue",), ("ghost",), ("green",)], "bin_id string")
-    return evidence.stale_models(models, bins(spark).withColumn("active", F.col("bin_id") != "green"))
+    c = catalog(spark, sf_dir)
+    ghosts = table(spark, sf_dir, "region").select(F.concat(F.lit("REGION "), "r_name").alias("bin_id"))
+    return evidence.stale_models(c.where("separable").select("bin_id").union(ghosts), c)
 
 
-@query(cte("bins") + """ SELECT 'minimum area out of range' AS rule, bin_id AS item FROM bins WHERE min_area_frac * 6 > 1
-UNION ALL SELECT 'hue centre out of range', bin_id FROM bins WHERE hue_center + 100 >= 360
-UNION ALL SELECT 'max_neg_area_frac outside [0, 1]', bin_id FROM bins WHERE max_neg * 6 > 1
-UNION ALL SELECT 'daylight_val_max outside [0, 1]', 'profile'""")
+@query(cte("catalog") + """ SELECT 'minimum area out of range' AS rule, bin_id AS item FROM catalog WHERE max_neg * 9 > 1
+UNION ALL SELECT 'hue centre out of range', bin_id FROM catalog WHERE hue_center + 100 >= 360
+UNION ALL SELECT 'hue tolerance out of range', bin_id FROM catalog WHERE hue_tol * 6 * 2 >= 180
+UNION ALL SELECT 'max_neg_area_frac outside [0, 1]', bin_id FROM catalog WHERE max_neg * 8 > 1
+UNION ALL SELECT 'daylight_val_max outside [0, 1]', 'profile' FROM region WHERE r_regionkey = 0""")
 def profile_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile with some values out of range."""
     none = lambda t: F.lit(None).cast(t)
-    m = bins(spark).select("bin_id", (F.col("hue_center") + 100).alias("hue_center"), "hue_tol", "sat_min", "val_min", (F.col("min_area_frac") * 6).alias("min_area_frac"), F.col("min_pos").alias("min_pos_area_frac"), (F.col("max_neg") * 6).alias("max_neg_area_frac"),
+    m = catalog(spark, sf_dir).select("bin_id", (F.col("hue_center") + 100).alias("hue_center"), (F.col("hue_tol") * 6).alias("hue_tol"), F.lit(0.2).alias("sat_min"), F.lit(0.2).alias("val_min"), (F.col("max_neg") * 9).alias("min_area_frac"), F.col("min_pos").alias("min_pos_area_frac"), (F.col("max_neg") * 8).alias("max_neg_area_frac"),
         *(none("double").alias(c) for c in ("veto_qualify_min_area_frac", "shape_log_aspect_min", "shape_log_aspect_max", "shape_fill_min", "region_edge_depth_min_frac")), *(none("int").alias(c) for c in ("shape_n", "region_edge_depth_n")))
-    p = spark.range(1).select(F.lit(0.1).alias("daylight_sat_min"), F.lit(1.0).alias("overexposure_clip_max"), F.lit(1.5).alias("daylight_val_max"), F.lit(1.0).alias("row_dup_max"), F.lit("bilinear").alias("resample"), F.lit(640).alias("working_width"))
+    p = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit(0.1).alias("daylight_sat_min"), F.lit(1.0).alias("overexposure_clip_max"), F.lit(1.5).alias("daylight_val_max"), F.lit(1.0).alias("row_dup_max"), F.lit("bilinear").alias("resample"), F.lit(640).alias("working_width"))
     return evidence.profile_violations(p, m)
 
 
@@ -137,7 +139,7 @@ def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid8(spark, sf_dir)
     a, b = g.where("m").select("image_id", "y", "x"), g.where("e > 0.1 or y < 2").select("image_id", "y", "x")
     n = lambda d, op: d.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
-    return n(a.intersect(b), "and").union(n(a.union(b).distinct(), "or")).union(n(a.exceptAll(b), "minus"))
+    return n(regions.mask_and(a, b), "and").union(n(regions.mask_or(a, b), "or")).union(n(regions.mask_minus(a, b), "minus"))
 
 
 @query(cte("scan") + " SELECT event_id, round(CASE WHEN area_frac > 0 THEN area_frac * 2 * exp(abs(ln(median_sat + 0.1))) / ((1 + exp(abs(ln(median_sat + 0.1)))) * (1 + exp(abs(ln(median_sat + 0.1))))) ELSE 0 END, 8) AS rotated, round(sqrt(area_frac * clip_frac), 8) AS threshold, area_frac > 0.1 AND area_frac < 0.3 OR (clip_frac > 0.5 AND area_frac >= 0.2) AS uncertain FROM scan")

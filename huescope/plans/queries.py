@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import color, geometry, verdicts
 from ..operators import aggregates, assign, evidence, learning, raster, regions, reservoir
 from ..streaming import stability
-from .adapters import bins, cte, grid8, hsv, label_ev, px, scan, table
+from .adapters import bins, catalog, cte, grid8, hsv, label_ev, px, scan, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -214,14 +214,6 @@ def interior_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.interior_depths(grid8(spark, sf_dir).where("m or y between 2 and 5"))
 
 
-@query()
-def interior_depth_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The depth map as a join against the region's rim."""
-    return regions.depth_in_polygon(grid8(spark, sf_dir).where("m or y between 2 and 5").select("image_id", "y", "x"))
-
-
-ORACLE_SQL["interior_depth_relational"] = ORACLE_SQL["interior_depth"]
-
 @query("WITH " + _RING + _EDGE + """, bb AS (SELECT image_id, min(px) AS ox, min(py) AS oy, max(px) - min(px) AS ow, max(py) - min(py) AS oh FROM pt GROUP BY 1),
 g AS (SELECT *, greatest(CAST(round_even(CAST(20 * oh / ow AS DOUBLE), 0) AS INTEGER), 1) AS gh FROM bb),
 c AS (SELECT image_id, ox + (i + 0.5) / 20 * ow AS cx, oy + (j + 0.5) / gh * oh AS cy, 0.45 AS lo, 0.55 AS hi FROM g, range(20) t(i), range(200) u(j) WHERE j < gh),
@@ -278,9 +270,9 @@ def exclusive_keep_frac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.exclusive_keep_frac(hsv(spark, sf_dir), bins(spark)).select("bin_id", r("keep_frac", 9).alias("keep_frac"))
 
 
-@query(cte("bins") + " SELECT a.bin_id AS a, b.bin_id AS b FROM bins a JOIN bins b ON a.bin_id < b.bin_id AND abs((a.hue_center - b.hue_center + 540) % 360 - 180) <= a.hue_tol + b.hue_tol")
+@query(cte("catalog") + " SELECT a.bin_id AS a, b.bin_id AS b FROM catalog a JOIN catalog b ON a.bin_id < b.bin_id AND abs((a.hue_center - b.hue_center + 540) % 360 - 180) <= a.hue_tol + b.hue_tol")
 def hue_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign.hue_overlap_pairs(bins(spark))
+    return assign.hue_overlap_pairs(catalog(spark, sf_dir))
 
 
 # Components -------------------------------------------------------------------------------
@@ -554,10 +546,10 @@ def unmaterialized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.unmaterialised(files, table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("path")))
 
 
-@query(cte("bins") + " SELECT bin_id FROM bins WHERE min_pos IS NULL OR NOT separable")
+@query(cte("catalog") + " SELECT bin_id FROM catalog WHERE active AND (min_pos IS NULL OR NOT separable)")
 def untrained_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bins(spark).withColumn("active", F.lit(True))
-    return evidence.untrained(b, b.where("min_pos is not null and separable"))
+    c = catalog(spark, sf_dir)
+    return evidence.untrained(c, c.where("min_pos is not null and separable"))
 
 
 @query(cte("label_ev") + " SELECT CAST(image_id AS VARCHAR) AS path, bin_id FROM label_ev WHERE area_frac > 0.3 AND label = 'absent' AND NOT EXISTS (SELECT 1 FROM label_ev b WHERE b.area_frac > 0.25 AND b.label = 'absent' AND b.image_id = label_ev.image_id AND b.image_id % 2 = 0)")
@@ -566,14 +558,18 @@ def new_mistakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.new_mistakes(e.where("area_frac > 0.25 and image_id % 2 = 0"), e.where("area_frac > 0.3").select("path", "bin_id"))
 
 
-@query(cte("bins") + """, c AS (SELECT bin_id, CASE bin_id WHEN 'green' THEN 60.0 ELSE hue_center END AS hue_center, hue_tol, separable AND bin_id <> 'brown' AS separable, min_pos, max_neg * 1.1 AS max_neg FROM bins WHERE bin_id <> 'red'),
-j AS (SELECT b.bin_id, CASE WHEN c.bin_id IS NULL THEN 'no longer trainable' WHEN b.separable AND NOT c.separable THEN 'stopped separating' WHEN NOT b.separable AND c.min_pos / c.max_neg < b.min_pos / b.max_neg THEN 'overlap grew' END AS reason FROM bins b LEFT JOIN c USING (bin_id))
+_NEAR = "abs(({0}.hue_center - {1}.hue_center + 540) % 360 - 180) <= {0}.hue_tol + {1}.hue_tol"
+
+
+@query(cte("catalog") + f""", c AS (SELECT bin_id, CASE WHEN hue_center < 150 THEN (hue_center + 11) % 360 ELSE hue_center END AS hue_center, hue_tol, separable AND max_neg < 0.1 AS separable, min_pos, max_neg * 1.1 AS max_neg FROM catalog WHERE active),
+j AS (SELECT b.bin_id, CASE WHEN c.bin_id IS NULL THEN 'no longer trainable' WHEN b.separable AND NOT c.separable THEN 'stopped separating' WHEN NOT b.separable AND c.min_pos / c.max_neg < b.min_pos / b.max_neg THEN 'overlap grew' END AS reason FROM catalog b LEFT JOIN c USING (bin_id))
 SELECT * FROM j WHERE reason IS NOT NULL
-UNION ALL SELECT a.bin_id || '/' || b.bin_id, 'hue bands now overlap' FROM c a JOIN c b ON a.bin_id < b.bin_id AND abs((a.hue_center - b.hue_center + 540) % 360 - 180) <= a.hue_tol + b.hue_tol
-WHERE NOT EXISTS (SELECT 1 FROM bins p JOIN bins q ON p.bin_id = a.bin_id AND q.bin_id = b.bin_id AND abs((p.hue_center - q.hue_center + 540) % 360 - 180) <= p.hue_tol + q.hue_tol)""")
+UNION ALL SELECT a.bin_id || '/' || b.bin_id, 'hue bands now overlap' FROM c a JOIN c b ON a.bin_id < b.bin_id AND {_NEAR.format("a", "b")}
+WHERE NOT EXISTS (SELECT 1 FROM catalog p JOIN catalog q ON p.bin_id = a.bin_id AND q.bin_id = b.bin_id AND {_NEAR.format("p", "q")})""")
 def adoption_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bins(spark)
-    c = b.where("bin_id <> 'red'").withColumns({"hue_center": F.when(F.col("bin_id") == "green", 60.0).otherwise(F.col("hue_center")), "separable": F.col("separable") & (F.col("bin_id") != "brown"), "max_neg": F.col("max_neg") * 1.1})
+    b = catalog(spark, sf_dir)
+    moved = F.when(F.col("hue_center") < 150, F.pmod(F.col("hue_center") + 11, F.lit(360.0))).otherwise(F.col("hue_center"))
+    c = b.where("active").withColumns({"hue_center": moved, "separable": F.col("separable") & (F.col("max_neg") < 0.1), "max_neg": F.col("max_neg") * 1.1})
     return learning.adoption_regressions(b, c)
 
 

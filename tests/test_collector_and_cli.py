@@ -8,7 +8,7 @@ from huescope import __main__ as cli
 from huescope.functions import color, geometry
 from huescope.operators import aggregates, detector, evidence, learning
 from huescope.operators.raster import Model
-from huescope.sources import frames, store
+from huescope.sources import catalog, frames, store
 from huescope.streaming import collector, stability
 
 from .test_evidence_and_time import DOC
@@ -266,3 +266,31 @@ def test_gate_samples_end_with_the_view_they_describe(spark):
     config = lambda roi=(0.1, 0.1, 0.5, 0.5), width=640, view=1: spark.createDataFrame([(roi, None, width, view)], f"roi {box}, rings array<array<struct<x:double,y:double>>>, working_width int, view_epoch int")
     assert evidence.gates_survive(config(), config()) and evidence.gates_survive(config(), config().withColumn("rings", F.array()))
     assert not evidence.gates_survive(config(), config(roi=(0.1, 0.1, 0.5, 0.6))) and not evidence.gates_survive(config(), config(width=320)) and not evidence.gates_survive(config(), config(view=2))
+
+
+def test_entries_archives_and_vaults(spark, tmp_path):
+    assert catalog.resolve_entry(["a"]) == "a" and catalog.resolve_entry(["a", "b"], "b") == "b"
+    for loaded, asked in (([], None), (["a", "b"], None), (["a"], "b")):
+        with pytest.raises(ValueError):
+            catalog.resolve_entry(loaded, asked)
+    assert catalog.archive_folder({"z": "/z", "local": "/l"}, "/c", "e") == "/l/huescope/e"
+    assert catalog.archive_folder({"z": "/z", "b": "/b"}, "/c", "e") == "/b/huescope/e" and catalog.mirror_path({}, "/c", "e") == "/c/media/huescope/e/store.json"
+    (tmp_path / "store.json").write_text(json.dumps(DOC))
+    tables = store.tables(store.read_store(spark, str(tmp_path / "store.json")))
+    mirror = catalog.mirror_path({"local": str(tmp_path / "media")}, "", "e")
+    vault = catalog.Vault(spark, str(tmp_path / "own"), mirror)
+    assert vault.save(tables) and store.read_store(spark, mirror).count() == 1
+    assert vault.save(vault.load() | {"labels": tables["labels"].limit(0)}) and vault.load()["labels"].count() == 0
+    late = catalog.Vault(spark, str(tmp_path / "own"), mirror)
+    late.close()
+    assert not late.save(tables) and vault.load()["labels"].count() == 0
+    assert vault.remove() and not (tmp_path / "own").exists() and not vault.save(tables)
+    assert store.tables(store.read_store(spark, mirror))["images"].count() == 3
+
+
+def test_region_payloads(spark):
+    point = "struct<x:double,y:double>"
+    rows = [(0.1, 0.1, 0.5, 0.5, None), (0.1, None, 0.5, 0.5, None), (0.6, 0.1, 0.5, 0.5, None), (None, None, None, None, [[(0.1, 0.1), (0.5, 0.1), (0.3, 0.9)]]), (None, None, None, None, [[(0.1, 0.1), (0.5, 0.1)]])]
+    table = spark.createDataFrame(rows, f"x double, y double, w double, h double, rings array<array<{point}>>")
+    got = [r[0] for r in table.select(geometry.region_payload_error(*(F.col(c) for c in ("x", "y", "w", "h", "rings")))).collect()]
+    assert [g is None for g in got] == [True, False, False, True, False]

@@ -314,3 +314,50 @@ def test_resolution_of_the_tables_frames_equals_its_definition(spark):
             low, high = (m.stat(k) for k in ("min_pos_area_frac", "max_neg_area_frac"))
             between = low is not None and high is not None and min(low, high) < frac < max(low, high)
             assert v.uncertain == (between or (want.conflict[i] is not None and v.present))
+
+
+def test_depths_equal_the_relational_form(spark):
+    from huescope.operators import regions
+    from huescope.plans.adapters import grid8
+
+    from .conftest import SF
+
+    cells = grid8(spark, SF).where("m or y between 2 and 5").select("image_id", "y", "x")
+    assert sorted(map(tuple, raster.interior_depths(cells).collect())) == sorted(map(tuple, regions.depth_in_polygon(cells).collect()))
+
+
+def test_groups_that_span_batches_come_whole(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in (1, 2, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            df = spark.createDataFrame([(k, i) for k in range(9) for i in range(1 + 3 * (k % 4))], "k long, i long")
+            got = raster.by_frame(df, ["k"], lambda p: p.groupby("k", as_index=False).agg(n=("i", "size"), s=("i", "sum")), "k long, n long, s long").collect()
+            assert sorted(map(tuple, got)) == [(k, 1 + 3 * (k % 4), sum(range(1 + 3 * (k % 4)))) for k in range(9)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_closest_points_equal_all_pairs():
+    from huescope.operators import reservoir
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 40, 300):
+        for digits in (1, 6):
+            p = rng.random((n, 2)).round(digits)
+            want = min((np.abs(p[i] - p[j]).max() for i in range(n) for j in range(i)), default=np.inf)
+            assert reservoir.closest(p[:, 0], p[:, 1]) == want
+
+
+def test_many_models_are_matched_by_degree(spark, monkeypatch):
+    from huescope.operators import assign
+
+    rng = np.random.default_rng(8)
+    px = [(0, i, 0, None if i % 11 == 0 else float(h), float(a), float(v)) for i, (h, a, v) in enumerate(zip(rng.uniform(0, 360, 400).round(1), rng.random(400), rng.random(400)))]
+    pixels = spark.createDataFrame(px, "image_id long, y int, x int, hue double, sat double, val double")
+    models = spark.createDataFrame([(f"m{k:02}", float(c), float(t), 0.2, 0.2) for k, (c, t) in enumerate(zip(rng.uniform(0, 360, 40).round(1), rng.choice([0.4, 3.0, 20.0, 89.0, 200.0], 40)))], "bin_id string, hue_center double, hue_tol double, sat_min double, val_min double")
+    plain = lambda df: sorted((r.y, r.bin_id) for r in df.collect())
+    want = [plain(f(pixels, models)) for f in (assign.match_models, assign.exclusive_masks)]
+    monkeypatch.setattr(assign, "MOST", 10)
+    assert [plain(f(pixels, models)) for f in (assign.match_models, assign.exclusive_masks)] == want
+    assert assign.exclusive_masks(pixels, models).columns == [*pixels.columns, "bin_id"]
