@@ -67,7 +67,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_path = path
-    _TABLES.append(back)
+    _TABLES.append(path)  # not the frame: that would keep its plan alive on the driver
     return back
 
 
@@ -80,8 +80,8 @@ def _removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written_since(mark: int | None = None) -> int | list[DataFrame]:
-    """Without a mark: one for now.  With it: the tables written since."""
+def written_since(mark: int | None = None) -> int | list[str]:
+    """Without a mark: one for now.  With it: the paths written since."""
     return len(_TABLES) if mark is None else _TABLES[mark:]
 
 
